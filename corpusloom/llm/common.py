@@ -85,7 +85,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             e = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # written first, so that the join's large side can be split where one node has many links
+        least = materialise(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         joined = e.join(least, "a")
         out = joined.where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         if not large:

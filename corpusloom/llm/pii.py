@@ -80,13 +80,13 @@ def confident_patterns(found: DataFrame, rounds: int = ROUNDS, support: int = SU
     """(pattern, confidence) and (value, score) after the last round."""
     pairs = found.select(F.explode("near").alias("x")).groupBy("x.pattern", "x.value").agg(F.max(F.col("x.seed").cast("double")).alias("seed"))
     pairs = materialise(pairs, "pairs")
-    scores = pairs.groupBy("value").agg(F.max("seed").alias("score"))
+    scores = materialise(pairs.groupBy("value").agg(F.max("seed").alias("score")), "scores")
     patterns = None
     for _ in range(rounds):
         patterns = pairs.join(scores, "value").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count_if(F.col("seed") == 1).alias("seeds"))
         patterns = materialise(patterns.where(F.col("seeds") >= support).select("pattern", "confidence"), "patterns")
         miss = F.sum(F.log(F.greatest(1 - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-9))))
-        scores = pairs.join(patterns, "pattern", "left").groupBy("value").agg(F.greatest(F.max("seed"), 1 - F.exp(miss)).alias("score"))
+        scores = materialise(pairs.join(patterns, "pattern", "left").groupBy("value").agg(F.greatest(F.max("seed"), 1 - F.exp(miss)).alias("score")), "scores")
     return patterns, scores.where(F.col("score") >= threshold)
 
 

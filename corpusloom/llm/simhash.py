@@ -167,7 +167,7 @@ def exact_shards(distinct: DataFrame, hot: int = HOT_SHARD) -> DataFrame:
     pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
     keys = ", ".join(f"shiftleft({n}L, 32) | shiftleft({block[i]}, 16) | {block[j]}" for n, (i, j) in enumerate(pairs))
     dealt = distinct.select("node", "f0", F.explode(F.expr(f"array({keys})")).alias("key"))
-    crowded = dealt.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("crowded"))
+    crowded = materialise(dealt.groupBy("key").count().where(F.col("count") > hot).select("key", F.lit(True).alias("crowded")), "crowded")
 
     def parts(n: int) -> str:
         rest = [b for b in range(4) if b not in pairs[n]]
@@ -264,7 +264,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int =
     speakers = keyed.join(classes.where("node IS NOT NULL").select(F.col("node").alias("doc_id"), F.col("same").alias("own")), "doc_id").where("same = own")
     sketched = materialise(map_rows(speakers.select(F.col("doc_id").alias("node"), "text"), make, "node long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>, again array<long>"), "sketches")
     dealt = sketched.select("node", F.explode("bands").alias("key"))
-    counts = dealt.groupBy("key").count().where("count > 1")
+    counts = materialise(dealt.groupBy("key").count().where("count > 1"), "bands")
     met = dealt.join(counts, "key").join(sketched.drop("bands"), "node")
     shards = met.select("key", "node", *names, F.explode(F.when(F.col("count") > hot, F.col("again")).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"))
     roots = components(shard_links(shards.dropDuplicates(["key", "sub", "node"]), hamming_bound(similarity, 64 * LONG), LONG))
