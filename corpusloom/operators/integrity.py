@@ -15,12 +15,12 @@ def row_fingerprint(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
 
 
-def table_fingerprint(df: DataFrame, key: str, *columns: str) -> DataFrame:
+def table_fingerprint(df: DataFrame, key: str, *columns: str, fingerprint: Column | None = None) -> DataFrame:
     """One row with the SHA-256 of all rows' fingerprints in order of ``key``.
 
     Fingerprints are first combined by their leading byte, so no task holds more than a 256th of them as text.
     """
-    marked = df.select(F.col(key).alias("k"), row_fingerprint(*columns).alias("f")).withColumn("b", F.substring("f", 1, 2))
+    marked = df.select(F.col(key).alias("k"), (row_fingerprint(*columns) if fingerprint is None else fingerprint).alias("f")).withColumn("b", F.substring("f", 1, 2))
     parts = marked.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "f"))), lambda x: x["f"]), "\n").cast("binary"), 256).alias("part"), F.count("*").alias("n"))
     return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "part"))), lambda x: x["part"]), "\n").cast("binary"), 256).alias("fingerprint"), F.sum("n").alias("n"))
 

@@ -37,8 +37,8 @@ def is_valid(v: Column, dim: int) -> Column:
     return (F.size(v) == dim) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def dense_top_k(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank) of the k passages nearest to each query; ties by id.
+def dense_top_k(queries: DataFrame, passages: DataFrame, k: int, places: int = 12) -> DataFrame:
+    """(qid, id, score, rank) of the k passages nearest to each query; ties by id, scores to ``places`` decimals.
 
     ``queries(qid, v)`` is a stated set: it is counted, and sent to the passages in blocks of at most QUERY_BLOCK, so
     neither side is collected. Each passage task keeps its own best k of each query before the shuffle by query.
@@ -67,7 +67,7 @@ def dense_top_k(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
                     continue
                 x = np.stack(batch.v.to_numpy()).astype(np.float64)
                 x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-                s = np.concatenate([best_s, np.round(q @ x.T, 12)], axis=1)
+                s = np.concatenate([best_s, np.round(q @ x.T, places)], axis=1)
                 i = np.concatenate([best_i, np.broadcast_to(batch.id.to_numpy(), (len(qids), len(batch)))], axis=1)
                 order = np.lexsort((i, -s), axis=1)[:, :k]
                 best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)

@@ -1,3 +1,6 @@
-"""Queries by name."""
+"""All queries by name, and DuckDB SQL for those that SQL can express."""
 
-QUERIES, ORACLES = {}, {}
+from . import evaluation_queries, retrieval_queries, text_queries
+
+QUERIES = dict(sorted({**text_queries.QUERIES, **retrieval_queries.QUERIES, **evaluation_queries.QUERIES}.items()))
+ORACLES = {**text_queries.ORACLES, **retrieval_queries.ORACLES, **evaluation_queries.ORACLES}
