@@ -101,14 +101,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
                     yield key, *t
 
     cuts = materialise(map_rows(keyed.select("key", "text"), cut, "key long, start int, n int, mini long, whole long", 16384), "superkmers")
-    again = cuts.groupBy("mini").count().where("count > 1").select("mini")
+    # counts are written before they are joined, so that the join can split a minimiser with many rows
+    again = materialise(cuts.groupBy("mini").count().where("count > 1").select("mini"), "again")
     left = materialise(cuts.join(again, "mini"), "repeated")
     kinds = left.groupBy("mini", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("one"))
     kinds = materialise(kinds.select("mini", "whole", "copies", "one.*"), "kinds")
     # equal super-k-mers that occur twice: every window of theirs is repeated
     copied = left.join(kinds.where("copies > 1").select("mini", "whole"), ["mini", "whole"], "left_semi").select("key", "start", "n")
     # different super-k-mers of one minimiser: one of each travels
-    several = kinds.groupBy("mini").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = materialise(kinds.groupBy("mini").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     sent = kinds.join(several, "mini").groupBy("key").agg(F.collect_list(F.struct("start", "n", "mini", (F.col("kinds") > hot).alias("split"))).alias("parts"))
 
     def pack(batches):
@@ -144,7 +145,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
     buckets = packed.where("mini IS NOT NULL").repartition("mini").sortWithinPartitions("mini")
     counted = map_rows(buckets.select("mini", "key", "start", "words"), count, "key long, start int, n int")
     alone = packed.where("mini IS NULL").select("key", "start", F.sha2("words", 256).alias("window"))
-    twice = alone.groupBy("window").count().where("count > 1").select("window")
+    twice = materialise(alone.groupBy("window").count().where("count > 1").select("window"), "twice")
     spread = alone.join(twice, "window", "left_semi").select("key", "start", F.lit(1).alias("n"))
     return keyed, copied.unionByName(counted).unionByName(spread)
 
