@@ -2,9 +2,10 @@
 
 The index is over the items: postings of each word sorted by item, in blocks of item ids with the greatest impact of
 each block. Impacts are divided by the item's score for its own text, so one threshold holds for all: a passage that
-holds a whole item scores 1 on it. A passage is skipped when the greatest impacts of its words sum to less than the threshold, then each
-block of items when its block maxima do; only items of the blocks left are scored (block-max WAND, over all
-passages of a batch at once). Passages are ``length`` words every ``length`` / 2, so an item of up to half that
+holds a whole item scores 1 on it. The longest lists are not opened at first; what they can add at most to an item is
+known from the index. A passage is skipped when the greatest impacts of its other words and that bound sum to less than
+the threshold, then each block of items when its block maxima do; only items of the blocks left are scored, and the
+long lists are added for pairs that can still pass (block-max WAND, over all passages of a batch at once). Passages are ``length`` words every ``length`` / 2, so an item of up to half that
 length lies whole in one; longer items get passages of their own length. Retrieved pairs are verified on the
 document's words around the passage: the question part and the answer part (after the last question mark, or the last
 quarter) must each share enough of their word 3-grams with it.
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import map_rows, rows
 
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.7, 0.6
-LENGTH, BLOCK = 128, 64
+LENGTH, BLOCK = 128, 16
+#: Mean share of an item's score that the lists left closed at first may hold.
+CLOSED = 0.3
 #: Words of the items that are broadcast at once.
 SHARD_WORDS = 2_000_000
 K1, B = 1.2, 0.75
@@ -58,7 +61,8 @@ def parts(text: str | None) -> tuple[list[str], list[str]]:
 class Index:
     """Postings with normalised impacts, and their maxima by block."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+        self.threshold = threshold
         self.items = [(i, t) for i, t in items if item_words(t)]
         bags = [Counter(item_words(t)) for _, t in self.items]
         n, mean = len(bags), sum(sum(b.values()) for b in bags) / max(1, len(bags))
@@ -87,6 +91,18 @@ class Index:
             blocks += [(t, b, x) for b, x in top.items()]
         self.ids, self.impacts = np.array(ids, np.int64), np.array(impacts)
         self.best = np.array(best)
+        # the longest lists stay closed until they hold the share CLOSED of an item's score on average
+        self.closed = np.zeros(len(df), bool)
+        self.rest = np.zeros(self.blocks * BLOCK)
+        for t in np.argsort(-np.diff(self.starts), kind="stable"):
+            added = self.rest.copy()
+            np.add.at(added, self.ids[self.starts[t] : self.starts[t + 1]], self.impacts[self.starts[t] : self.starts[t + 1]])
+            if added.sum() > CLOSED * n or self.starts[t + 1] - self.starts[t] < 2:
+                break
+            if added.max() >= 0.9 * threshold:  # else an item could pass by closed lists alone
+                continue
+            self.closed[t], self.rest = True, added
+        self.block_rest = self.rest.reshape(self.blocks, BLOCK).max(axis=1) if n else np.zeros(0)
         self.block_starts = np.searchsorted([t for t, _, _ in blocks], np.arange(len(df) + 1)) if blocks else np.zeros(1, np.int64)
         self.block_ids, self.block_best = np.array([b for _, b, _ in blocks], np.int64), np.array([x for *_, x in blocks])
         self.longest = max((sum(b.values()) for b in bags), default=0)
@@ -100,30 +116,46 @@ class Index:
         code, back = np.unique(code, return_inverse=True)
         return code, np.bincount(back, weights=values[at], minlength=len(code))
 
-    def retrieve(self, passage: np.ndarray, term: np.ndarray, threshold: float):
-        """(passage, item, score) with scores of at least ``threshold``, from distinct (passage, term) pairs sorted by passage."""
+    def retrieve(self, passage: np.ndarray, term: np.ndarray):
+        """(passage, item, score) with scores of at least the threshold, from distinct (passage, term) pairs sorted by passage."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        least = threshold - 1e-9
-        bound = np.bincount(passage, weights=self.best[term])
+        least = self.threshold - 1e-9
+        if not self.n:
+            return none
+        shut = self.closed[term]
+        shut_passage, shut_term = passage[shut], term[shut]
+        passage, term = passage[~shut], term[~shut]
+        bound = np.bincount(passage, weights=self.best[term]) + self.rest.max()
         alive = bound[passage] >= least
         passage, term = passage[alive], term[alive]
         if not passage.size:
             return none
         code, bound = self._sums(passage, term, self.block_starts, self.block_ids, self.block_best, self.blocks)
-        code = code[bound >= least]
+        code = code[bound + self.block_rest[code % self.blocks] >= least]
         if not code.size:
             return none
         alive = np.isin(passage, code // self.blocks)
-        passage, term = passage[alive], term[alive]
-        lo, many = self.starts[term], self.starts[term + 1] - self.starts[term]
-        at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        p, item, x = np.repeat(passage, many), self.ids[at], self.impacts[at]
+        p, item, x = self._postings(passage[alive], term[alive])
         inside = np.isin(p * self.blocks + item // BLOCK, code)
         pair, back = np.unique(p[inside] * self.n + item[inside], return_inverse=True)
         score = np.bincount(back, weights=x[inside], minlength=len(pair))
+        near = score + self.rest[pair % self.n] >= least
+        pair, score = pair[near], score[near]
+        alive = np.isin(shut_passage, pair // self.n)
+        p, item, x = self._postings(shut_passage[alive], shut_term[alive])
+        code = p * self.n + item
+        at = np.minimum(np.searchsorted(pair, code), max(0, len(pair) - 1))
+        hit = pair[at] == code if len(pair) else np.zeros(len(code), bool)
+        np.add.at(score, at[hit], x[hit])
         keep = score >= least
         return pair[keep] // self.n, pair[keep] % self.n, score[keep]
 
+    def _postings(self, passage: np.ndarray, term: np.ndarray):
+        """(passage, item, impact) of all postings of the terms."""
+        lo, many = self.starts[term], self.starts[term + 1] - self.starts[term]
+        at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.repeat(passage, many), self.ids[at], self.impacts[at]
+
 
 def shards(items: DataFrame, shard_words: int):
     """Lists of items of ``shard_words`` words at most, read one by one."""
@@ -146,7 +178,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         index_of = spark.sparkContext.broadcast(held)
 
         def make(batches):
-            index = Index(index_of.value)
+            index = Index(index_of.value, threshold)
             size = max(length, 2 * index.longest)
             half = size // 2
             get, term_of = index.term.get, index.term
@@ -168,7 +200,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                 numbers, passage = np.unique(code // terms, return_inverse=True)
                 if not numbers.size:
                     return
-                p, item, score = index.retrieve(passage, code % terms, threshold)
+                p, item, score = index.retrieve(passage, code % terms)
                 best: dict[tuple[int, int], tuple] = {}
                 for p, item, s in zip(p.tolist(), item.tolist(), score.tolist(), strict=True):
                     d, m = divmod(int(numbers[p]), most)
