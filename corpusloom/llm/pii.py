@@ -103,7 +103,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in square brackets; rows, order of columns and other columns stay."""
     kept = materialise(docs.withColumn("_row", F.xxhash64("doc_id", "text")), "redact")
     spans = scan(kept.select(F.col("_row").alias("doc_id"), "text"))
-    listed = spans.select(F.col("doc_id").alias("_row"), ranked([(k, F.col(k)) for k in (*KINDS, "context")], True).alias("spans")).where("size(spans) > 0").dropDuplicates(["_row"])
+    listed = spans.select(F.col("doc_id").alias("_row"), ranked([(k, F.col(k)) for k in (*KINDS, "context")], True).alias("_spans")).where("size(_spans) > 0").dropDuplicates(["_row"])
 
     def step(a: Column, x: Column) -> Column:
         # of overlapping spans the first is replaced and the others are covered by it
@@ -111,8 +111,8 @@ def redact(docs: DataFrame) -> DataFrame:
         inside = x["k1"] < a["at"]
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(inside, a["out"]).otherwise(part).alias("out"))
 
-    text = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    columns = [F.when(F.col("spans").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    text = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    columns = [F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return kept.join(listed, "_row", "left").select(*columns)
 
 

@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keys: tuple[str, ...] = ("doc_id",), training: DataFrame | None = None) -> DataFrame:
-    """``keys`` of each row with its score and prediction; fitted on ``training``, or on ``docs`` itself."""
+    """(key, score, predicted) of each row, ``key`` a struct of the columns ``keys``; fitted on ``training``, or on ``docs`` itself."""
     entries, w, mean, scale = fit(docs if training is None else training, labels, sample)
 
     def make(batches):
@@ -205,16 +205,15 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keys: tuple[
             p = 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
             yield key, p, int(p >= 0.5)
 
-    kinds = ", ".join(f"{k}: {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return map_rows(docs.select(F.struct(*keys).alias("key"), "text"), make, f"key struct<{kinds}>, score double, predicted int").select("key.*", "score", "predicted")
+    kinds = ", ".join(f"`{k}`: {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return map_rows(docs.select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("key"), "text"), make, f"key struct<{kinds}>, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that the model rejects."""
-    keys = tuple(docs.columns)
-    return score(docs, labels, keys=keys).where("predicted = 0").select(*keys)
+    return score(docs, labels, keys=tuple(docs.columns)).where("predicted = 0").select("key.*")
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
-    return scored.select("doc_id", in_fold("doc_id", 5).alias("held_out"), "score", "predicted")
+    return scored.select("key.doc_id", in_fold("key.doc_id", 5).alias("held_out"), "score", "predicted")
