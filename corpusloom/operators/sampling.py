@@ -55,8 +55,8 @@ def smoke_set(items: DataFrame, targets: dict[str, int], seed: int, dimensions:
             pool = items.where((F.col("label") == label) & ~F.col("question_id").isin(picked or [""]))
             # of several refusals one is outside the domain and one inside, where there are such
             outside = F.when(F.col("domain") == "out_of_domain", 1).otherwise(0)
-            first = outside.desc() if label == "refuse" and targets[label] >= 2 and slot == 0 else outside.asc() if label == "refuse" and targets[label] >= 2 and slot == 1 else F.lit(0).asc()
-            best = pool.orderBy(first, worth.desc(), F.desc("_tie")).limit(1).collect()
+            first = [outside.desc() if slot == 0 else outside.asc()] if label == "refuse" and targets[label] >= 2 and slot < 2 else []
+            best = pool.orderBy(*first, worth.desc(), F.desc("_tie")).limit(1).collect()
             if not best:
                 raise ValueError(f"no item is left for {label}")
             picked.append(best[0].question_id)
