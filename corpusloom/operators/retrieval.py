@@ -87,13 +87,13 @@ def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b:
     postings of query terms are joined; the statistics come from grouped counts.
     """
     sized = docs.select("doc_id", "tokens", F.size("tokens").alias("n"))
-    n_docs, mean = sized.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(1.0))).first()
-    tf = sized.select("doc_id", "n", F.explode("tokens").alias("term")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.select("term", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    low = (raw.agg(F.avg("idf")).first()[0] or 0.0) * floor
-    terms = raw.withColumn("idf", F.when(F.col("idf") < 0, low).otherwise(F.col("idf")))
+    n_docs, mean = sized.agg(F.count("*")).scalar(), sized.agg(F.avg("n")).scalar()
     asked = queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    df = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.select("term", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    terms = raw.join(asked.select("term").distinct(), "term").withColumn("idf", F.when(F.col("idf") < 0, raw.agg(F.avg("idf")).scalar() * floor).otherwise(F.col("idf")))
+    # only postings of words that are asked for are counted
+    tf = sized.select("doc_id", "n", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
     hits = asked.join(terms, "term").join(tf, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / mean))
     scored = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
