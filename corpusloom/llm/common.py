@@ -56,8 +56,20 @@ def record_batches(tuples: Iterable[tuple], schema, size: int = 4096):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
+#: Rows and bytes of the Arrow batches that a task gets at once, where the session does not say otherwise.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts make batches of the default number of rows large; a session's own setting stays."""
+    for key, ours in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, ours)
+
+
 def map_rows(df: DataFrame, make, out: str, size: int = 4096) -> DataFrame:
     """``make``: an iterator of Arrow batches to an iterator of tuples; ``out``: the schema in DDL."""
+    small_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
