@@ -56,4 +56,4 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_html_extract, op4_decontaminate, op5_toxicity, op6_bpe, op7_quality_rules, op8_substring_dedup, op9_simhash, op10_lattice_lm)}
-ORACLES = {"op7_quality_rules": quality.ORACLE}
+ORACLES = {"op7_quality_rules": quality.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
