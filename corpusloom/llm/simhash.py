@@ -196,16 +196,18 @@ def query(docs: DataFrame) -> DataFrame:
 
 # --- near-duplicate documents by similarity -----------------------------------------------------------------
 
-#: 64-bit words of a long fingerprint; bands and bits of a band that pick the pairs to compare.
-LONG, BANDS, BAND_BITS = 4, 40, 32
-_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
+#: 64-bit words of the shingles' and of the words' long fingerprints; bands and bits of a band that pick the pairs to compare.
+LONG, WORD_LONG, BANDS, BAND_BITS = 8, 4, 40, 32
+#: Deviations that the radius allows above the mean of pairs at the similarity asked for.
+DEVIATIONS = 1.5
+_STEP, _SPREAD, _CHAIN = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """(n, LONG) hashes from n."""
-    out = h[:, None] * np.array(_MIX[:LONG], np.uint64)
+def _mixed(h: np.ndarray, width: int) -> np.ndarray:
+    """(n, width) hashes from n."""
+    out = h[:, None] * (np.uint64(_STEP) * np.arange(1, 2 * width, 2, dtype=np.uint64))
     out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out *= np.uint64(_SPREAD)
     return out ^ (out >> np.uint64(32))
 
 
@@ -221,30 +223,30 @@ def long_fingerprints(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]
     n = max(1, len(h) - k + 1)
     s = np.zeros(n, np.uint64)
     for j in range(min(k, len(h))):
-        s = (s ^ (s >> np.uint64(31))) * np.uint64(_MIX[2]) + h[j : j + n]
-    return majority(_mixed(np.unique(h))), majority(_mixed(np.unique(s)))
+        s = (s ^ (s >> np.uint64(31))) * np.uint64(_CHAIN) + h[j : j + n]
+    return majority(_mixed(np.unique(h), WORD_LONG)), majority(_mixed(np.unique(s), LONG))
 
 
 def hamming_bound(similarity: float, bits: int) -> int:
-    """Bits that shingle sets of this Jaccard similarity differ in, on average and one deviation more.
+    """Bits that shingle sets of this Jaccard similarity differ in, on average and DEVIATIONS more.
 
     Their cosine is 2J / (1 + J) for equal sizes.
     """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + DEVIATIONS * np.sqrt(bits * p * (1 - p)))
 
 
 def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int = HOT_SHARD) -> DataFrame:
     """(doc_id, group_id): documents whose k-word shingle sets are alike, group_id the least doc_id of the group.
 
     Equal texts are one class. Of each class a 256-bit SimHash of its words gives BANDS samples of BAND_BITS bits; classes
-    that agree on a sample share a BK-tree, whose radius on the 256-bit SimHash of the shingles stands for
+    that agree on a sample share a BK-tree, whose radius on the 512-bit SimHash of the shingles stands for
     ``similarity``. At 0.8 a sample agrees with probability 0.09, so 0.98 of such pairs meet, 0.999 at 0.9. A crowded
     shard is dealt again by eight further samples. Texts without words are one group if equal, never linked otherwise.
     """
     rng = np.random.default_rng(20)
-    picks = [rng.permutation(64 * LONG)[:BAND_BITS] for _ in range(BANDS)]
-    again = [rng.permutation(64 * LONG)[:16] for _ in range(8)]
+    picks = [rng.permutation(64 * WORD_LONG)[:BAND_BITS] for _ in range(BANDS)]
+    again = [rng.permutation(64 * WORD_LONG)[:16] for _ in range(8)]
 
     def sample(bits: np.ndarray, pick: np.ndarray) -> int:
         return int(np.packbits(bits[pick], bitorder="little").tobytes()[::-1].hex(), 16)
