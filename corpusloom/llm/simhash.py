@@ -77,7 +77,11 @@ def bk_groups(shard: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
         return label
     root = np.maximum.accumulate(np.where(np.r_[True, shard[1:] != shard[:-1]], np.arange(n), 0))
     stride = 64 * w + 1
-    apart = lambda a, b: np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)
+    most = (1 << 21) // w  # pairs compared at once
+
+    def apart(a, b):
+        return np.concatenate([np.bitwise_count(fp[a[s : s + most]] ^ fp[b[s : s + most]]).sum(axis=1, dtype=np.int64) for s in range(0, a.size, most)])
+
 
     waiting = np.flatnonzero(root != np.arange(n))
     at, keys, kids = root[waiting], [], []
@@ -111,7 +115,7 @@ def bk_groups(shard: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     todo = [(several[s : s + 8192], root[several[s : s + 8192]]) for s in range(0, several.size, 8192)]
     while todo:
         q, node = todo.pop()
-        if q.size > 1 << 18:
+        if q.size > min(1 << 18, most):
             half = q.size // 2
             todo += [(q[:half], node[:half]), (q[half:], node[half:])]
             continue
@@ -146,7 +150,7 @@ def shard_links(dealt: DataFrame, radius: int, words: int) -> DataFrame:
             x = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)], axis=1).astype(np.int64, copy=False)
             held.append(x)
             size += len(x)
-            if size >= 1 << 17:  # whole shards only: what follows the last change of shard waits
+            if size >= (1 << 20) // (words + 7):  # whole shards only: what follows the last change of shard waits
                 x = np.concatenate(held)
                 change = np.flatnonzero((x[1:, 0] != x[:-1, 0]) | (x[1:, 1] != x[:-1, 1]))
                 cut = change[-1] + 1 if change.size else 0
@@ -197,9 +201,9 @@ def query(docs: DataFrame) -> DataFrame:
 # --- near-duplicate documents by similarity -----------------------------------------------------------------
 
 #: 64-bit words of the shingles' and of the words' long fingerprints; bands and bits of a band that pick the pairs to compare.
-LONG, WORD_LONG, BANDS, BAND_BITS = 8, 4, 40, 32
+LONG, WORD_LONG, BANDS, BAND_BITS = 32, 4, 40, 32
 #: Deviations that the radius allows above the mean of pairs at the similarity asked for.
-DEVIATIONS = 1.5
+DEVIATIONS = 2.0
 _STEP, _SPREAD, _CHAIN = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
@@ -240,8 +244,9 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int =
     """(doc_id, group_id): documents whose k-word shingle sets are alike, group_id the least doc_id of the group.
 
     Equal texts are one class. Of each class a 256-bit SimHash of its words gives BANDS samples of BAND_BITS bits; classes
-    that agree on a sample share a BK-tree, whose radius on the 512-bit SimHash of the shingles stands for
-    ``similarity``. At 0.8 a sample agrees with probability 0.09, so 0.98 of such pairs meet, 0.999 at 0.9. A crowded
+    that agree on a sample share a BK-tree, whose radius on the 2,048-bit SimHash of the shingles stands for
+    ``similarity``. At 0.8 a sample agrees with probability 0.09, so 0.98 of such pairs meet, 0.999 at 0.9. Samples shared by
+    the same classes give the same tree, so one of them is built. A crowded
     shard is dealt again by eight further samples. Texts without words are one group if equal, never linked otherwise.
     """
     rng = np.random.default_rng(20)
@@ -266,7 +271,11 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int =
     speakers = keyed.join(classes.where("node IS NOT NULL").select(F.col("node").alias("doc_id"), F.col("same").alias("own")), "doc_id").where("same = own")
     sketched = materialise(map_rows(speakers.select(F.col("doc_id").alias("node"), "text"), make, "node long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>, again array<long>"), "sketches")
     dealt = sketched.select("node", F.explode("bands").alias("key"))
-    counts = materialise(dealt.groupBy("key").count().where("count > 1"), "bands")
+    # samples with the same members have the same number, exclusive or and sums of hashes
+    marks = {"m0": "bit_xor(xxhash64(node))", "m1": "sum(CAST(hash(node) AS BIGINT))", "m2": "sum(CAST(hash(node, 1) AS BIGINT))"}
+    counts = dealt.groupBy("key").agg(F.count("*").alias("count"), *[F.expr(e).alias(m) for m, e in marks.items()]).where("count > 1")
+    counts = counts.groupBy("count", *marks).agg(F.min("key").alias("key"))
+    counts = materialise(counts.select("key", "count"), "bands")
     met = dealt.join(counts, "key").join(sketched.drop("bands"), "node")
     shards = met.select("key", "node", *names, F.explode(F.when(F.col("count") > hot, F.col("again")).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"))
     roots = components(shard_links(shards.dropDuplicates(["key", "sub", "node"]), hamming_bound(similarity, 64 * LONG), LONG))
