@@ -82,6 +82,11 @@ def map_rows(df: DataFrame, make, out: str, size: int = 4096) -> DataFrame:
     return df.mapInArrow(run, kind)
 
 
+def row_key() -> Column:
+    """128 bits that stand for a row's ``doc_id`` and ``text``, so that what is found in a text finds its row again; missing and empty text are one."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
+
+
 def in_fold(column: str, modulus: int) -> Column:
     """Whether crc32 of the id as text leaves remainder 0; a missing id is in no fold."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == 0, F.lit(False))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, rows
+from .common import map_rows, materialise, row_key, rows
 
 WIDTH, GRAM, HOT = 35, 8, 2000
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -89,7 +89,7 @@ def repeated_windows(strings: list[bytes], width: int) -> list[list[int]]:
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` with a row key, and (key, start, n): n windows from word ``start`` that are repeated."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    keyed = docs.select("doc_id", "text", row_key().alias("key"))
     signed = lambda x: x.view(np.int64).tolist()
 
     def cut(batches):
@@ -100,7 +100,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
                 for t in zip(start.tolist(), n.tolist(), signed(mini), signed(whole), strict=True):
                     yield key, *t
 
-    cuts = materialise(map_rows(keyed.select("key", "text"), cut, "key long, start int, n int, mini long, whole long", 16384), "superkmers")
+    cuts = materialise(map_rows(keyed.select("key", "text"), cut, "key binary, start int, n int, mini long, whole long", 16384), "superkmers")
     # counts are written before they are joined, so that the join can split a minimiser with many rows
     again = materialise(cuts.groupBy("mini").count().where("count > 1").select("mini"), "again")
     left = materialise(cuts.join(again, "mini"), "repeated")
@@ -123,7 +123,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
                     for j in range(s, s + n):
                         yield None, key, j, b" ".join(words[j : j + width])
 
-    packed = map_rows(keyed.join(sent, "key").select("key", "text", "parts"), pack, "mini long, key long, start int, words binary", 1024)
+    packed = map_rows(keyed.join(sent, "key").select("key", "text", "parts"), pack, "mini long, key binary, start int, words binary", 1024)
     packed = materialise(packed, "packed")
 
     def count(batches):
@@ -143,7 +143,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
         yield from done()
 
     buckets = packed.where("mini IS NOT NULL").repartition("mini").sortWithinPartitions("mini")
-    counted = map_rows(buckets.select("mini", "key", "start", "words"), count, "key long, start int, n int")
+    counted = map_rows(buckets.select("mini", "key", "start", "words"), count, "key binary, start int, n int")
     alone = packed.where("mini IS NULL").select("key", "start", F.sha2("words", 256).alias("window"))
     twice = materialise(alone.groupBy("window").count().where("count > 1").select("window"), "twice")
     spread = alone.join(twice, "window", "left_semi").select("key", "start", F.lit(1).alias("n"))
