@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, rows
+from .common import map_rows, row_key, rows
 
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.7, 0.6
 LENGTH, BLOCK = 128, 16
@@ -170,8 +170,8 @@ def shards(items: DataFrame, shard_words: int):
     yield held
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, length: int = LENGTH, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each verified pair."""
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, length: int = LENGTH, shard_words: int = SHARD_WORDS, id_type: str = "long") -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each verified pair, doc_id as ``id_type``."""
     spark = docs.sparkSession
 
     def one(held: list) -> DataFrame:
@@ -223,7 +223,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
             if group:
                 yield from answer_for(group)
 
-        return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        return map_rows(docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text"), make, f"doc_id {id_type}, item_id long, score double, question_overlap double, answer_overlap double")
 
     found = None
     for held in shards(items, shard_words):
@@ -233,8 +233,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item; rows without an id are judged by their text."""
-    marked = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    bad = find_leaks(marked.select(F.col("_key").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_key")).distinct()
+    marked = docs.withColumn("_key", row_key())
+    bad = find_leaks(marked.select(F.col("_key").alias("doc_id"), "text"), items, id_type="binary").select(F.col("doc_id").alias("_key")).distinct()
     return marked.join(bad, "_key", "left_anti").drop("_key")
 
 
