@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import components, map_rows, materialise, rows
 
-#: Shards with more distinct fingerprints than this are dealt again.
+#: Shards with more distinct fingerprints or texts than this are dealt again.
 HOT_SHARD = 20_000
 
 
@@ -246,12 +246,11 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int =
     Equal texts are one class. Of each class a 256-bit SimHash of its words gives BANDS samples of BAND_BITS bits; classes
     that agree on a sample share a BK-tree, whose radius on the 2,048-bit SimHash of the shingles stands for
     ``similarity``. At 0.8 a sample agrees with probability 0.09, so 0.98 of such pairs meet, 0.999 at 0.9. Samples shared by
-    the same classes give the same tree, so one of them is built. A crowded
-    shard is dealt again by eight further samples. Texts without words are one group if equal, never linked otherwise.
+    the same classes give the same tree, so one of them is built. A shard of
+    more than ``hot`` is searched block by block, with the same links. Texts without words are one group if equal, never linked otherwise.
     """
     rng = np.random.default_rng(20)
     picks = [rng.permutation(64 * WORD_LONG)[:BAND_BITS] for _ in range(BANDS)]
-    again = [rng.permutation(64 * WORD_LONG)[:16] for _ in range(8)]
 
     def sample(bits: np.ndarray, pick: np.ndarray) -> int:
         return int(np.packbits(bits[pick], bitorder="little").tobytes()[::-1].hex(), 16)
@@ -262,14 +261,14 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int =
             if got:
                 bits = np.unpackbits(got[0].view(np.uint8), bitorder="little")
                 bands = [(b << 32) | sample(bits, p) for b, p in enumerate(picks)]
-                yield node, *got[1].view(np.int64).tolist(), bands, [(b << 16) | sample(bits, p) for b, p in enumerate(again)]
+                yield node, *got[1].view(np.int64).tolist(), bands
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("same"))
     classes = materialise(keyed.groupBy("same").agg(F.min("doc_id").alias("node")), "classes")
     names = [f"f{i}" for i in range(LONG)]
     # the row that holds a class's least id speaks for it; a repeated row speaks twice and changes nothing
     speakers = keyed.join(classes.where("node IS NOT NULL").select(F.col("node").alias("doc_id"), F.col("same").alias("own")), "doc_id").where("same = own")
-    sketched = materialise(map_rows(speakers.select(F.col("doc_id").alias("node"), "text"), make, "node long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>, again array<long>"), "sketches")
+    sketched = materialise(map_rows(speakers.select(F.col("doc_id").alias("node"), "text"), make, "node long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>"), "sketches")
     dealt = sketched.select("node", F.explode("bands").alias("key"))
     # samples with the same members have the same number, exclusive or and sums of hashes
     marks = {"m0": "bit_xor(xxhash64(node))", "m1": "sum(CAST(hash(node) AS BIGINT))", "m2": "sum(CAST(hash(node, 1) AS BIGINT))"}
@@ -277,7 +276,10 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int =
     counts = counts.groupBy("count", *marks).agg(F.min("key").alias("key"))
     counts = materialise(counts.select("key", "count"), "bands")
     met = dealt.join(counts, "key").join(sketched.drop("bands"), "node")
-    shards = met.select("key", "node", *names, F.explode(F.when(F.col("count") > hot, F.col("again")).otherwise(F.array(F.lit(-1).cast("long")))).alias("sub"))
+    # the members of a crowded shard are dealt to blocks and each pair of blocks is a shard, so all its pairs still meet
+    blocks = met.withColumn("blocks", F.expr(f"CAST(ceil(2 * count / {hot}) AS BIGINT)")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+    others = "transform(filter(sequence(0L, blocks - 1), j -> j <> block), j -> least(j, block) * blocks + greatest(j, block))"
+    shards = blocks.select("key", "node", *names, F.explode(F.expr(f"CASE WHEN count > {hot} THEN {others} ELSE array(-1L) END")).alias("sub"))
     roots = components(shard_links(shards.dropDuplicates(["key", "sub", "node"]), hamming_bound(similarity, 64 * LONG), LONG))
     named = classes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("group_id"))
     return keyed.select("doc_id", "same").join(named, "same").select("doc_id", "group_id")
