@@ -200,8 +200,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 # --- near-duplicate documents by similarity -----------------------------------------------------------------
 
-#: 64-bit words of the shingles' and of the words' long fingerprints; bands and bits of a band that pick the pairs to compare.
-LONG, WORD_LONG, BANDS, BAND_BITS = 32, 4, 40, 32
+#: 64-bit words of the shingles' long fingerprint; bands of min-hashes that pick the pairs to compare, and min-hashes in a band.
+LONG, BANDS, BAND_ROWS = 32, 28, 6
 #: Deviations that the radius allows above the mean of pairs at the similarity asked for.
 DEVIATIONS = 2.0
 _STEP, _SPREAD, _CHAIN = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -215,8 +215,8 @@ def _mixed(h: np.ndarray, width: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def long_fingerprints(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """SimHashes of the distinct words and of the distinct k-word shingles; None without words."""
+def sketch(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Min-hashes (32 bits each) and SimHash of the distinct k-word shingles; None without words."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
@@ -228,7 +228,11 @@ def long_fingerprints(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]
     s = np.zeros(n, np.uint64)
     for j in range(min(k, len(h))):
         s = (s ^ (s >> np.uint64(31))) * np.uint64(_CHAIN) + h[j : j + n]
-    return majority(_mixed(np.unique(h), WORD_LONG)), majority(_mixed(np.unique(s), LONG))
+    s = np.unique(s)
+    least = np.full(BANDS * BAND_ROWS, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(s), 4096):
+        least = np.minimum(least, _mixed(s[at : at + 4096], BANDS * BAND_ROWS // 2).view(np.uint32).min(axis=0))
+    return least, majority(_mixed(s, LONG))
 
 
 def hamming_bound(similarity: float, bits: int) -> int:
@@ -243,25 +247,21 @@ def hamming_bound(similarity: float, bits: int) -> int:
 def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int = HOT_SHARD) -> DataFrame:
     """(doc_id, group_id): documents whose k-word shingle sets are alike, group_id the least doc_id of the group.
 
-    Equal texts are one class. Of each class a 256-bit SimHash of its words gives BANDS samples of BAND_BITS bits; classes
-    that agree on a sample share a BK-tree, whose radius on the 2,048-bit SimHash of the shingles stands for
-    ``similarity``. At 0.8 a sample agrees with probability 0.09, so 0.98 of such pairs meet, 0.999 at 0.9. Samples shared by
-    the same classes give the same tree, so one of them is built. A shard of
+    Equal texts are one class. Of each class BANDS bands of BAND_ROWS min-hashes of its shingles are taken; classes that
+    agree on a band share a BK-tree, whose radius on the 2,048-bit SimHash of the shingles stands for ``similarity``. A
+    band agrees with the probability J ** BAND_ROWS whatever the edit: at 0.8 a share of 0.9998 of the pairs meets. Bands
+    shared by the same classes give the same tree, so one of them is built. A shard of
     more than ``hot`` is searched block by block, with the same links. Texts without words are one group if equal, never linked otherwise.
     """
-    rng = np.random.default_rng(20)
-    picks = [rng.permutation(64 * WORD_LONG)[:BAND_BITS] for _ in range(BANDS)]
-
-    def sample(bits: np.ndarray, pick: np.ndarray) -> int:
-        return int(np.packbits(bits[pick], bitorder="little").tobytes()[::-1].hex(), 16)
 
     def make(batches):
+        import xxhash
+
         for node, text in rows(batches, "node", "text"):
-            got = long_fingerprints(text, k)
+            got = sketch(text, k)
             if got:
-                bits = np.unpackbits(got[0].view(np.uint8), bitorder="little")
-                bands = [(b << 32) | sample(bits, p) for b, p in enumerate(picks)]
-                yield node, *got[1].view(np.int64).tolist(), bands
+                bands = [xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(got[0].reshape(BANDS, BAND_ROWS))]
+                yield node, *got[1].view(np.int64).tolist(), [x - (1 << 64) if x >> 63 else x for x in bands]
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("same"))
     classes = materialise(keyed.groupBy("same").agg(F.min("doc_id").alias("node")), "classes")
@@ -270,7 +270,7 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int =
     speakers = keyed.join(classes.where("node IS NOT NULL").select(F.col("node").alias("doc_id"), F.col("same").alias("own")), "doc_id").where("same = own")
     sketched = materialise(map_rows(speakers.select(F.col("doc_id").alias("node"), "text"), make, "node long, " + ", ".join(f"{n} long" for n in names) + ", bands array<long>"), "sketches")
     dealt = sketched.select("node", F.explode("bands").alias("key"))
-    # samples with the same members have the same number, exclusive or and sums of hashes
+    # bands with the same members have the same number, exclusive or and sums of hashes
     marks = {"m0": "bit_xor(xxhash64(node))", "m1": "sum(CAST(hash(node) AS BIGINT))", "m2": "sum(CAST(hash(node, 1) AS BIGINT))"}
     counts = dealt.groupBy("key").agg(F.count("*").alias("count"), *[F.expr(e).alias(m) for m, e in marks.items()]).where("count > 1")
     counts = counts.groupBy("count", *marks).agg(F.min("key").alias("key"))

@@ -21,3 +21,20 @@ def test_crowded_shards_keep_their_links(spark):
     whole = groups_of(simhash.near_groups(table))
     assert groups_of(simhash.near_groups(table, hot=2)) == whole
     assert len({g for _, g in whole}) < 100
+
+
+def test_block_edits_are_near_copies(spark):
+    rng, rows, n = random.Random(32), [], 0
+    for words in (150, 250, 400):
+        for kind in ("appended", "prepended", "cut"):
+            for _ in range(30):
+                text, block = prose(rng, words), prose(rng, int(words * 0.21))
+                short = " ".join(text.split()[: int(words * 0.83)])
+                rows += [(2 * n, text), (2 * n + 1, {"appended": f"{text} {block}", "prepended": f"{block} {text}", "cut": short}[kind])]
+                n += 1
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    assert all(0.8 <= len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) <= 0.85 for i in range(0, 2 * n, 2))
+    got = dict(groups_of(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))))
+    found = sum(got[i] == got[i + 1] for i in range(0, 2 * n, 2)) / n
+    assert found >= 0.95, found
+    assert len(set(got.values())) >= n  # nothing else is linked
