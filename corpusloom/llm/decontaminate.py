@@ -8,7 +8,7 @@ the threshold, then each block of items when its block maxima do; only items of
 long lists are added for pairs that can still pass (block-max WAND, over all passages of a batch at once). Passages are ``length`` words every ``length`` / 2, so an item of up to half that
 length lies whole in one; longer items get passages of their own length. Retrieved pairs are verified on the
 document's words around the passage: the question part and the answer part (after the last question mark, or the last
-quarter) must each share enough of their word 3-grams with it.
+quarter) must each share enough of their word 3-grams with it (n-grams of its own length for a part of one or two words).
 
 Words are runs of letters and digits of the lower-cased text. Null or empty texts hold nothing; items without words match nothing.
 Repeated rows and items each appear. A null doc_id stays null. Items are broadcast in shards of ``shard_words`` words
@@ -30,6 +30,8 @@ from .common import map_rows, row_key, rows
 
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.7, 0.6
 LENGTH, BLOCK = 128, 16
+#: Words between the starts of a question and an answer of one or two words each, at most.
+NEXT = 8
 #: Mean share of an item's score that the lists left closed at first may hold.
 CLOSED = 0.3
 #: Words of the items that are broadcast at once.
@@ -58,6 +60,19 @@ def parts(text: str | None) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def overlaps(split: tuple[list[str], list[str]], near: list[str]) -> list[float]:
+    """Shares of the n-grams of the question and of the answer among the words ``near``; 1 for a part without words.
+
+    n is 3, or the length of a shorter part. Two short parts could both stand there by chance: they must lie within NEXT words.
+    """
+    shared = [len(grams(x, n) & grams(near, n)) / len(grams(x, n)) if (n := min(3, len(x))) else 1.0 for x in split]
+    if all(shared) and all(0 < len(x) < 3 for x in split):
+        q, a = ([i for i in range(len(near)) if near[i : i + len(x)] == x] for x in split)
+        if min(abs(i - j) for i in q for j in a) > NEXT:
+            return [0.0, 0.0]
+    return shared
+
+
 class Index:
     """Postings with normalised impacts, and their maxima by block."""
 
@@ -205,8 +220,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                 for p, item, s in zip(p.tolist(), item.tolist(), score.tolist(), strict=True):
                     d, m = divmod(int(numbers[p]), most)
                     words = group[d][1]
-                    near = grams(words[max(0, m * half - half) : m * half + size + half])
-                    shared = [len(g & near) / len(g) if (g := grams(x)) else 1.0 for x in index.split[item]]
+                    shared = overlaps(index.split[item], words[max(0, m * half - half) : m * half + size + half])
                     if shared[0] >= question and shared[1] >= answer:
                         best[d, item] = max(best.get((d, item), (0.0, 0.0, 0.0)), (s, *shared))
                 for (d, item), got in best.items():

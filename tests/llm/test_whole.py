@@ -2,7 +2,7 @@
 
 import random
 
-from corpusloom.llm import simhash
+from corpusloom.llm import decontaminate, simhash
 
 from .conftest import prose
 
@@ -38,3 +38,13 @@ def test_block_edits_are_near_copies(spark):
     found = sum(got[i] == got[i + 1] for i in range(0, 2 * n, 2)) / n
     assert found >= 0.95, found
     assert len(set(got.values())) >= n  # nothing else is linked
+
+
+def test_short_answers_are_verified(spark):
+    rng = random.Random(33)
+    items = [(0, "Which town lies on the river Seine? Paris"), (1, "Who wrote the long book of whales? Herman Melville"), (2, "alpha beta gamma delta"), (3, "Why? Vexillology")]
+    copied = [(i, f"{prose(rng, 150)} {t} {prose(rng, 150)}") for i, t in items]
+    other = [(10, prose(rng, 200) + " which town lies on the river seine london " + prose(rng, 20)), (11, f"why {prose(rng, 60)} vexillology")]
+    got = decontaminate.find_leaks(spark.createDataFrame(copied + other, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i, _ in items}
+    assert all(r.question_overlap == r.answer_overlap == 1.0 for r in got)
