@@ -74,16 +74,20 @@ def overlaps(split: tuple[list[str], list[str]], near: list[str]) -> list[float]
 
 
 class Index:
-    """Postings with normalised impacts, and their maxima by block."""
+    """Postings with normalised impacts, and their maxima by block.
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    ``counts``: number of items with words, their words, and the items that hold each word, where ``items`` are a shard of more.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, counts: tuple[int, int, dict[str, int]] | None = None):
         self.threshold = threshold
         self.items = [(i, t) for i, t in items if item_words(t)]
         bags = [Counter(item_words(t)) for _, t in self.items]
-        n, mean = len(bags), sum(sum(b.values()) for b in bags) / max(1, len(bags))
-        df = Counter(w for b in bags for w in b)
+        n, df = len(bags), Counter(w for b in bags for w in b)
         self.term = {w: i for i, w in enumerate(df)}
-        idf = {w: math.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
+        every, length, held_by = counts or (n, sum(sum(b.values()) for b in bags), df)
+        mean = length / max(1, every)
+        idf = {w: math.log(1 + (every - held_by[w] + 0.5) / (held_by[w] + 0.5)) for w in df}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for item, bag in enumerate(bags):
             size = sum(bag.values())
@@ -172,6 +176,17 @@ class Index:
         return np.repeat(passage, many), self.ids[at], self.impacts[at]
 
 
+def item_counts(items: DataFrame) -> tuple[int, int, Counter]:
+    """Number of items with words, their words, and the items that hold each word; read one by one."""
+    n = length = 0
+    df: Counter = Counter()
+    for r in items.select("text").toLocalIterator():
+        words = item_words(r.text)
+        n, length = n + bool(words), length + len(words)
+        df.update(set(words))
+    return n, length, df
+
+
 def shards(items: DataFrame, shard_words: int):
     """Lists of items of ``shard_words`` words at most, read one by one."""
     held, size = [], 0
@@ -188,12 +203,14 @@ def shards(items: DataFrame, shard_words: int):
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, length: int = LENGTH, shard_words: int = SHARD_WORDS, id_type: str = "long") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each verified pair, doc_id as ``id_type``."""
     spark = docs.sparkSession
+    n_items, n_words, df = item_counts(items)
 
     def one(held: list) -> DataFrame:
-        index_of = spark.sparkContext.broadcast(held)
+        # a shard's scores are those of the whole list of items
+        index_of = spark.sparkContext.broadcast((held, (n_items, n_words, {w: df[w] for _, t in held for w in item_words(t)})))
 
         def make(batches):
-            index = Index(index_of.value, threshold)
+            index = Index(index_of.value[0], threshold, index_of.value[1])
             size = max(length, 2 * index.longest)
             half = size // 2
             get, term_of = index.term.get, index.term

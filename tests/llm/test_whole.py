@@ -48,3 +48,13 @@ def test_short_answers_are_verified(spark):
     got = decontaminate.find_leaks(spark.createDataFrame(copied + other, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(i, i) for i, _ in items}
     assert all(r.question_overlap == r.answer_overlap == 1.0 for r in got)
+
+
+def test_scores_do_not_depend_on_shards(spark):
+    rng = random.Random(34)
+    items = [(i, prose(rng, 10 + i % 40)) for i in range(60)]
+    docs = spark.createDataFrame([(i, f"{prose(rng, 60)} {' '.join(t.split()[: -(i % 3) or None])} {prose(rng, 60)}") for i, t in items], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, table, shard_words=n).collect()} for n in (10**6, 100))
+    assert len(one) > 30 and one.keys() == many.keys()
+    assert all(abs(s - many[k]) < 1e-9 for k, s in one.items())
