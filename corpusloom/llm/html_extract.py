@@ -5,7 +5,8 @@ elements (tag, id and class). Over each path the lengths and punctuation marks o
 number of blocks; both ratios are smoothed along the page and fused by a geometric mean, weighted by the share of
 text outside links. Paths above a share of the deviation are content; the deepest element that holds ``share`` of
 the content's weight is the article, and every block inside it that is not set apart by its element or its names is
-kept, so short paragraphs and headings stay. Where the page marks an ``article`` or ``main``, the heaviest such element is the article.
+kept, so short paragraphs and headings stay. An ``article`` or ``main`` with content counts double and is kept whole, each of several;
+where the deepest element lies outside them, its other blocks above the threshold stay as well.
 
 Null or empty html, or a page without text: empty text. Unclosed tags, unclosed comments and a cut-off end are read as far as they go.
 Repeated rows each get a row; null page_id and url stay null. Further columns are ignored.
@@ -61,10 +62,10 @@ _FENCE = frozenset("html body div article section main table ul ol dl td th asid
 
 
 class _Block:
-    __slots__ = ("path", "text", "linked", "apart", "marked")
+    __slots__ = ("path", "text", "linked", "apart")
 
-    def __init__(self, path, text, linked, apart, marked):
-        self.path, self.text, self.linked, self.apart, self.marked = path, text, linked, apart, marked
+    def __init__(self, path, text, linked, apart):
+        self.path, self.text, self.linked, self.apart = path, text, linked, apart
 
 
 def blocks(source: str) -> list[_Block]:
@@ -83,7 +84,7 @@ def blocks(source: str) -> list[_Block]:
             heading = any(s[0] in _HEADING for s in held)
             # a header inside the article gives its headings only
             apart = any(s[2] for s in held) or (any(s[0] == "header" for s in held) and not (inside and heading))
-            out.append(_Block(tuple((s[1], s[3]) for s in held), text, min(linked, len(text)), apart, inside))
+            out.append(_Block(tuple((s[1], s[3]) for s in held), text, min(linked, len(text)), apart))
         parts.clear()
         linked = 0
 
@@ -169,30 +170,34 @@ def main_text(source: str | None) -> str:
     score = path_scores(found)
     score = np.array([s for s, b in zip(score.tolist(), found, strict=True) if not b.apart])
     weight = score * np.array([len(b.text) for b in usable])
-    if any(b.marked for b in usable):
-        weight *= [b.marked for b in usable]
-    else:
-        weight *= score >= min(DEVIATION * score.std(), score.max())
+    weight *= score >= min(DEVIATION * score.std(), score.max())
+    content = weight > 0
+    holder = [next((e for e in reversed(b.path) if e[0].split(".")[0] in ("article", "main")), None) for b in usable]
+    marked = {e for b, c in zip(usable, content.tolist(), strict=True) if c for e in b.path if e[0].split(".")[0] in ("article", "main")}
+    weight *= [1 + (h in marked) for h in holder]
     inside: dict[tuple, float] = defaultdict(float)
     depth: dict[tuple, int] = {}
     for b, w in zip(usable, weight.tolist(), strict=True):
         for d, element in enumerate(b.path):
             inside[element] += w
             depth[element] = d
-    marked = [e for e in inside if e[0].split(".")[0] in ("article", "main")]
-    if marked:
-        root = max(marked, key=lambda e: (inside[e], depth[e]))
-    else:
-        total = weight.sum()
-        holders = [e for e, w in inside.items() if w >= SHARE * total]
-        root = max(holders, key=depth.get) if holders else None
-        # not a single paragraph: its parent also holds the headings and the other paragraphs
-        path = next((b.path for b in usable if root in b.path), ())
-        at = path.index(root) if root in path else 0
-        while at and path[at][0].split(".")[0] in ("p", "li", "ul", "ol", "blockquote", "pre", *_HEADING):
-            at -= 1
-        root = path[at] if path else None
-    return "\n".join(b.text for b in usable if root is None or root in b.path)
+    total = weight.sum()
+    holders = [e for e, w in inside.items() if w >= SHARE * total]
+    root = max(holders, key=depth.get) if holders else None
+    # not a single paragraph: its parent also holds the headings and the other paragraphs
+    path = next((b.path for b in usable if root in b.path), ())
+    at = path.index(root) if root in path else 0
+    while at and path[at][0].split(".")[0] in ("p", "li", "ul", "ol", "blockquote", "pre", *_HEADING):
+        at -= 1
+    root = path[at] if path else None
+    # beside the articles with content only content stays, and nothing where an article is the deepest holder or holds it
+    alone = not any(root is None or root in b.path for b, h in zip(usable, holder, strict=True) if h in marked)
+    held = any(e in marked for e in path[: at + 1])
+
+    def stays(b, h, c):
+        return h in marked or (not held and (root is None or root in b.path) and (alone or c))
+
+    return "\n".join(b.text for b, h, c in zip(usable, holder, content.tolist(), strict=True) if stays(b, h, c))
 
 
 def extract(pages: DataFrame) -> DataFrame:

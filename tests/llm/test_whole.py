@@ -2,7 +2,7 @@
 
 import random
 
-from corpusloom.llm import decontaminate, simhash
+from corpusloom.llm import decontaminate, html_extract, simhash
 
 from .conftest import prose
 
@@ -58,3 +58,15 @@ def test_scores_do_not_depend_on_shards(spark):
     one, many = ({(r.doc_id, r.item_id): r.score for r in decontaminate.find_leaks(docs, table, shard_words=n).collect()} for n in (10**6, 100))
     assert len(one) > 30 and one.keys() == many.keys()
     assert all(abs(s - many[k]) < 1e-9 for k, s in one.items())
+
+
+def test_articles_do_not_replace_the_threshold():
+    say = lambda what, n: " ".join(f"The {what} says a thing, and more of it." for _ in range(n))
+    several = "".join(f"<article><h2>Part {i}</h2><p>{say(i, 4 + 8 * i)}</p><p>Short.</p></article>" for i in range(3))
+    got = html_extract.main_text(f"<html><body><nav><a href='/'>Home</a></nav>{several}<footer>me</footer></body></html>")
+    assert got == "\n".join(f"Part {i}\n{say(i, 4 + 8 * i)}\nShort." for i in range(3))
+    text = "".join(f"<p>{say(i, 8)}</p>" for i in range(6))
+    got = html_extract.main_text(f"<html><body><div class='story'><h1>Title</h1>{text}</div><div><article><a href='/x'>Read on</a></article></div></body></html>")
+    assert got == "\n".join(["Title", *(say(i, 8) for i in range(6))])
+    got = html_extract.main_text(f"<html><body><main><h1>Title</h1><article>{text}</article></main></body></html>")
+    assert got == "\n".join(["Title", *(say(i, 8) for i in range(6))])
