@@ -81,10 +81,14 @@ x AS (SELECT doc_id, bi, j, kind, ls[j] AS text FROM (SELECT *, unnest(range(1,
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY bi, j) - 1 AS part_ix, kind, sha256(text) AS text_sha256 FROM x"""
 
 
-def headed(docs: DataFrame) -> DataFrame:
-    """Documents as Markdown: every third line becomes a heading of a level from its place and the document's id."""
+def headed(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Documents as Markdown: every third line becomes a heading of a level from its place and the document's id.
+
+    The heading is the line's first 24 characters. With ``whole`` the line itself follows it as text; without, as in the SQL of
+    q05 and q41, the rest of the line is lost.
+    """
     level = lambda i: F.pmod(F.floor(i / 3).cast("long") * 7 + F.col("doc_id"), F.lit(3)).cast("int") + 1
-    return docs.withColumn("text", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.repeat(F.lit("#"), level(i)), F.lit(" "), F.substring(x, 1, 24))).otherwise(x)), "\n"))
+    return docs.withColumn("text", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.repeat(F.lit("#"), level(i)), F.lit(" "), F.substring(x, 1, 24), *([F.lit("\n"), x] if whole else []))).otherwise(x)), "\n"))
 
 
 def q05_sections(spark, sf_dir):
@@ -142,7 +146,7 @@ SELECT sha256(string_agg(part, chr(10) ORDER BY b)) AS fingerprint, CAST(sum(n)
 
 
 def q37_section_chunks(spark, sf_dir):
-    c = chunking.chunk_documents(headed(docs_of(spark, sf_dir)), 128, 16)
+    c = chunking.chunk_documents(headed(docs_of(spark, sf_dir), whole=True), 128, 16)
     return c.select("doc_id", "ordinal", "chunk_id", F.array_join("heading_path", " > ").alias("path"), "token_count", sha(F.col("text")).alias("text_sha256"))
 
 
