@@ -286,7 +286,12 @@ def near_groups(docs: DataFrame, k: int = 5, similarity: float = 0.8, hot: int =
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with the row of the least doc_id of each near-duplicate group; rows without an id stay once for each text."""
-    groups = near_groups(docs.where("doc_id IS NOT NULL"), k, similarity).where("doc_id = group_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(groups, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    """``docs`` with one row of each near-duplicate group: that of the least doc_id, or one without an id if no row has one.
+
+    Every row is a text of its own, whatever its id.
+    """
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")  # written, so the numbers stay
+    groups = near_groups(numbered.select(F.col("_row").alias("doc_id"), "text"), k, similarity).withColumnRenamed("doc_id", "_row")
+    ids = numbered.select("_row", F.col("doc_id").cast("long").alias("own"))
+    first = groups.join(ids, "_row").groupBy("group_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "_row")).alias("first"))
+    return numbered.join(first.select("first._row"), "_row", "left_semi").drop("_row")

@@ -70,3 +70,12 @@ def test_articles_do_not_replace_the_threshold():
     assert got == "\n".join(["Title", *(say(i, 8) for i in range(6))])
     got = html_extract.main_text(f"<html><body><main><h1>Title</h1><article>{text}</article></main></body></html>")
     assert got == "\n".join(["Title", *(say(i, 8) for i in range(6))])
+
+
+def test_rows_without_an_id_and_shared_ids_are_texts(spark):
+    rng = random.Random(35)
+    a, b, c, d = (prose(rng, 200) for _ in range(4))
+    rows = [(5, a), (None, f"{a} end"), (None, b), (None, f"{b} end"), (7, c), (7, d), (9, f"{d} end"), (2, f"{a} too")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 2, 7, 7]
+    assert {r.text[:50] for r in got} == {x[:50] for x in (a, b, c, d)}
