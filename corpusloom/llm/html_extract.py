@@ -1,22 +1,29 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as a stream of tags with HTML's implied ends. Text gathers in blocks, each with its path of open
-elements (tag, id and class). Over each path the lengths and punctuation marks of its blocks are summed and divided by the
-number of blocks; both ratios are smoothed along the page and fused by a geometric mean, weighted by the share of
-text outside links. Paths above a share of the deviation are content; the deepest element that holds ``share`` of
-the content's weight is the article, and every block inside it that is not set apart by its element or its names is
-kept, so short paragraphs and headings stay. An ``article`` or ``main`` with content counts double and is kept whole, each of several;
-where the deepest element lies outside them, its other blocks above the threshold stay as well.
+A page is read as a stream of tags with HTML's implied ends. Text gathers in blocks; each has the tag path of its open block
+elements (tag, id and class, digits left out). Over each path the lengths, punctuation marks and linked lengths of its
+blocks are summed and divided by the number of blocks. The length and punctuation ratios are smoothed along the page and
+fused by a geometric mean, times the share of text outside links, times a prior of the path's names: low for elements
+and names that mark menus, headers, footers, sidebars, notices, adverts, forms and comments, double inside ``article`` and ``main``.
+
+Two thresholds select content nodes. Paths whose score exceeds a share of the deviation are strong; the deepest element
+that holds ``share`` of the strong weight is the content node. Inside it paths above a tenth of the threshold stay, so short
+paragraphs and headings do, while low paths (comments, adverts, lists of links) go; outside it only paths of at least half the
+mean score of its strong text stay, and headings just above what stays. Where that node is the whole page, or holds several articles, it is narrowed to its
+children with strong text and to headings beside them.
+
+The work is linear in the page: an element holds its parent's number, a path is interned, and sums run from children to parents.
 
 Null or empty html, or a page without text: empty text. Unclosed tags, unclosed comments and a cut-off end are read as far as they go.
-Repeated rows each get a row; null page_id and url stay null. Further columns are ignored.
+Very long pages are read whole, however deep. Elements of equal weight: the deepest, then the first. Repeated rows each get a
+row; null page_id and url stay null; an empty table gives an empty one. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,18 +31,22 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, rows
 
-#: Share of the content's weight that the article's element holds, and share of the deviation that a path must exceed.
-SHARE, DEVIATION = 0.8, 0.3
+#: Share of the strong weight that the content node holds; share of the deviation that a strong path exceeds; share of that for the others;
+#: share of the content node's mean score for paths outside it.
+SHARE, DEVIATION, WEAK, OUTSIDE = 0.8, 0.3, 0.1, 0.5
+#: Priors of a path with a set-apart element, and of one inside an article.
+APART, INSIDE = 0.001, 2.0
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(id|class|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-#: Elements that hold no article text wherever they stand.
-_APART = frozenset("head script style noscript template iframe nav footer aside form button select textarea input option svg canvas object embed menu dialog audio video map title search fieldset".split())
+#: Elements whose text is not shown as text, and elements of the page around an article.
+_UNSEEN = frozenset("head script style noscript template iframe svg canvas object embed audio video map title button select textarea option".split())
+_APART = frozenset("nav footer aside form menu dialog search fieldset".split())
 _APART_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adslot|adsense|sponsors?|sponsored|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|login"
-    r"|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|side|sidebars?|aside|widgets?|related|recommended|recommendations?|share|sharing|social|comments?|commentlist|disqus|replies|respond|footers?|foot|masthead|toolbar|skip|copyright|legal|hidden|navigation|complementary|contentinfo|search)(?:$|[\s_-])",
+    r"|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|sidebars?|aside|widgets?|related|recommended|recommendations?|share|sharing|social|comments?|commentlist|disqus|replies|respond|footers?|foot|masthead|toolbar|skip|copyright|hidden|complementary|contentinfo|search)(?:$|[\s_-])",
     re.I,
 )
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -61,143 +72,181 @@ def _closed_by(tag: str) -> frozenset:
 _FENCE = frozenset("html body div article section main table ul ol dl td th aside nav header footer form blockquote".split())
 
 
-class _Block:
-    __slots__ = ("path", "text", "linked", "apart")
-
-    def __init__(self, path, text, linked, apart):
-        self.path, self.text, self.linked, self.apart = path, text, linked, apart
-
-
-def blocks(source: str) -> list[_Block]:
-    """Blocks with text, in page order; a path has the name of each open block element and a number for the element itself."""
-    out: list[_Block] = []
-    stack: list[tuple[str, str, bool, int]] = []  # tag, name, set apart, number
-    parts: list[str] = []
-    linked = number = 0
-
-    def flush():
-        nonlocal linked
-        text = " ".join("".join(parts).split())
-        if text:
-            held = [s for s in stack if s[0] in _BLOCK or s[2]]
-            inside = any(s[0] in ("article", "main") for s in held)
-            heading = any(s[0] in _HEADING for s in held)
-            # a header inside the article gives its headings only
-            apart = any(s[2] for s in held) or (any(s[0] == "header" for s in held) and not (inside and heading))
-            out.append(_Block(tuple((s[1], s[3]) for s in held), text, min(linked, len(text)), apart))
-        parts.clear()
-        linked = 0
-
-    at, end = 0, len(source)
-    while at < end:
-        m = _TOKEN.search(source, at)
-        chunk = source[at : m.start()] if m else source[at:]
-        if chunk:
-            # a tag cut off at the end of the page is no text
-            text = html.unescape(chunk)
-            parts.append(text)
-            if any(s[0] == "a" for s in stack):
-                linked += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            parts.append(" ")
-            continue
-        if tag in _BLOCK:
-            flush()
-        if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _FENCE and tag not in _BLOCK:
-                    break
-            continue
-        ends = _closed_by(tag)
-        if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _FENCE:
-                    break
-        if tag in _RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-            at = stop.end() if stop else end
-            continue
-        if tag in _VOID or attributes.rstrip().endswith("/") and tag not in _BLOCK:
-            continue
+#: Elements that no content node is: its parent also holds the headings and the other paragraphs.
+_LEAVES = frozenset({"p", "li", "ul", "ol", "blockquote", "pre", *_HEADING})
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+class Page:
+    """Blocks in page order, and the elements that hold them.
+
+    An element has a parent, a tag, a path (interned: names from the root) and flags that its children inherit; number 0 is the page.
+    """
+
+    def __init__(self, source: str):
+        self.parent, self.tag, self.path, self.prior = [-1], [""], [0], [1.0]
+        self.unseen, self.inside, self.header, self.heading = [False], [False], [False], [False]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.text: list[str] = []
+        self.linked: list[int] = []
+        self.element: list[int] = []
+        self._read(source)
+
+    def _open(self, above: int, tag: str, attributes: str) -> int:
         names, hidden = [], False
-        for key, value in _NAMES.findall(attributes):
+        for key, value in _NAMES.findall(attributes) if attributes else ():
             key, value = key.lower(), value.strip("\"'")
             if key in ("id", "class", "role"):
-                names.append(value)
-            hidden = hidden or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None)
-        apart = tag in _APART or hidden or (tag not in ("html", "body", "article", "main") and any(_APART_NAMES.search(n) for n in names))
-        number += 1
-        stack.append((tag, ".".join([tag, *names]), apart, number))
-    flush()
-    return out
-
-
-def path_scores(found: list[_Block]) -> np.ndarray:
-    """Fused, smoothed ratio of each block's path."""
-    length, marks, linked, count = (defaultdict(float) for _ in range(4))
-    paths = [tuple(name for name, _ in b.path) for b in found]
-    for path, b in zip(paths, found, strict=True):
-        length[path] += len(b.text)
-        marks[path] += len(_PUNCTUATION.findall(b.text))
-        linked[path] += b.linked
-        count[path] += 1
-    text = np.array([length[p] / count[p] for p in paths])
-    mark = np.array([marks[p] / count[p] for p in paths])
-    plain = np.array([1 - linked[p] / length[p] for p in paths])
+                names.append(re.sub(r"\d+", "", value).lower())
+            hidden = hidden or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value) is not None)
+        framed = tag in ("article", "main")
+        apart = tag in _APART or (tag not in ("html", "body") and not framed and any(_APART_NAMES.search(n) for n in names))
+        self.parent.append(above)
+        self.tag.append(tag)
+        block = tag in _BLOCK or apart
+        self.path.append(self.paths.setdefault((self.path[above], ".".join([tag, *names])), len(self.paths) + 1) if block else self.path[above])
+        self.unseen.append(self.unseen[above] or hidden or tag in _UNSEEN)
+        self.inside.append(self.inside[above] or framed)
+        self.header.append(self.header[above] or tag == "header")
+        self.heading.append(self.heading[above] or tag in _HEADING)
+        self.prior.append(self.prior[above] * (APART if apart else 1.0) * (INSIDE if framed and not self.inside[above] else 1.0))
+        return len(self.tag) - 1
+
+    def _read(self, source: str) -> None:
+        stack, parts, linked = [0], [], 0
+        # tags that are open, and tags that are open since each fence
+        opened: Counter = Counter()
+        scopes: list[Counter] = [Counter()]
+
+        def flush():
+            nonlocal linked
+            text = " ".join("".join(parts).split())
+            if text and not self.unseen[stack[-1]]:
+                self.text.append(text)
+                self.linked.append(min(linked, len(text)))
+                self.element.append(stack[-1])
+            parts.clear()
+            linked = 0
+
+        def close_through(tags) -> None:
+            while True:
+                tag = self.tag[stack.pop()]
+                opened[tag] -= 1
+                scopes[-1][tag] -= 1
+                if tag in _FENCE:
+                    scopes.pop()
+                if tag in tags:
+                    return
+
+        at, end = 0, len(source)
+        while at < end:
+            m = _TOKEN.search(source, at)
+            chunk = source[at : m.start()] if m else source[at:]
+            if chunk:
+                text = html.unescape(chunk)
+                parts.append(text)
+                if opened["a"] > 0:
+                    linked += len(text.strip())
+            if not m:
+                break
+            at = m.end()
+            close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            if not tag:
+                continue
+            tag = tag.lower()
+            if tag == "br":
+                parts.append(" ")
+                continue
+            if tag in _BLOCK:
+                flush()
+            if close:
+                # the end of an inline element does not reach beyond a fence
+                if (opened if tag in _BLOCK else scopes[-1])[tag] > 0:
+                    close_through((tag,))
+                continue
+            ends = _closed_by(tag)
+            if any(scopes[-1][t] > 0 for t in ends):
+                close_through(ends)
+            if tag in _RAW:
+                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                at = stop.end() if stop else end
+                continue
+            if tag in _VOID or attributes.rstrip().endswith("/") and tag not in _BLOCK:
+                continue
+            stack.append(self._open(stack[-1], tag, attributes))
+            opened[tag] += 1
+            if tag in _FENCE:
+                scopes.append(Counter())
+            scopes[-1][tag] += 1
+        flush()
+
+    def low(self, block: int) -> float:
+        """The prior of a block's path; a header inside an article gives its headings only."""
+        e = self.element[block]
+        return self.prior[e] * (APART if self.header[e] and not (self.inside[e] and self.heading[e]) else 1.0)
+
+
+def path_ratios(path: list[int], length: list[int], marks: list[int], linked: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each block its path's text ratio, punctuation ratio and share outside links."""
+    _, at, count = np.unique(path, return_inverse=True, return_counts=True)
+    total = [np.bincount(at, weights=x) for x in (length, marks, linked)]
+    return total[0][at] / count[at], total[1][at] / count[at], 1 - total[2][at] / total[0][at]
+
+
+def path_scores(page: Page) -> np.ndarray:
+    """Fused, smoothed ratio of each block's path, times its prior."""
+    path = [page.path[e] for e in page.element]
+    text, mark, plain = path_ratios(path, [len(t) for t in page.text], [len(_PUNCTUATION.findall(t)) for t in page.text], page.linked)
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     smooth = lambda x: np.convolve(np.pad(x, 2, mode="edge"), kernel / kernel.sum(), mode="valid")
-    return np.sqrt(smooth(text) * (smooth(mark) + 0.1)) * plain
+    return np.sqrt(smooth(text) * (smooth(mark) + 0.1)) * plain * [page.low(b) for b in range(len(path))]
 
 
 def main_text(source: str | None) -> str:
-    found = blocks(source or "")
-    usable = [b for b in found if not b.apart]
-    if not usable:
+    page = Page(source or "")
+    n = len(page.text)
+    if not n:
+        return ""
+    score = path_scores(page)
+    least = min(DEVIATION * score.std(), score.max())
+    if not score.max() >= APART * INSIDE:  # only text that is set apart
         return ""
-    score = path_scores(found)
-    score = np.array([s for s, b in zip(score.tolist(), found, strict=True) if not b.apart])
-    weight = score * np.array([len(b.text) for b in usable])
-    weight *= score >= min(DEVIATION * score.std(), score.max())
-    content = weight > 0
-    holder = [next((e for e in reversed(b.path) if e[0].split(".")[0] in ("article", "main")), None) for b in usable]
-    marked = {e for b, c in zip(usable, content.tolist(), strict=True) if c for e in b.path if e[0].split(".")[0] in ("article", "main")}
-    weight *= [1 + (h in marked) for h in holder]
-    inside: dict[tuple, float] = defaultdict(float)
-    depth: dict[tuple, int] = {}
-    for b, w in zip(usable, weight.tolist(), strict=True):
-        for d, element in enumerate(b.path):
-            inside[element] += w
-            depth[element] = d
-    total = weight.sum()
-    holders = [e for e, w in inside.items() if w >= SHARE * total]
-    root = max(holders, key=depth.get) if holders else None
-    # not a single paragraph: its parent also holds the headings and the other paragraphs
-    path = next((b.path for b in usable if root in b.path), ())
-    at = path.index(root) if root in path else 0
-    while at and path[at][0].split(".")[0] in ("p", "li", "ul", "ol", "blockquote", "pre", *_HEADING):
-        at -= 1
-    root = path[at] if path else None
-    # beside the articles with content only content stays, and nothing where an article is the deepest holder or holds it
-    alone = not any(root is None or root in b.path for b, h in zip(usable, holder, strict=True) if h in marked)
-    held = any(e in marked for e in path[: at + 1])
-
-    def stays(b, h, c):
-        return h in marked or (not held and (root is None or root in b.path) and (alone or c))
-
-    return "\n".join(b.text for b, h, c in zip(usable, holder, content.tolist(), strict=True) if stays(b, h, c))
+    strong = (score >= least) & (score > 0)
+    weight = np.where(strong, score * [len(t) for t in page.text], 0.0)
+    inside = np.zeros(len(page.tag))
+    np.add.at(inside, page.element, weight)
+    for e in range(len(page.tag) - 1, 0, -1):  # children come after their parents
+        inside[page.parent[e]] += inside[e]
+    depth = [0] * len(page.tag)
+    for e in range(1, len(page.tag)):
+        depth[e] = depth[page.parent[e]] + 1
+    root = max((e for e in range(len(page.tag)) if inside[e] >= SHARE * inside[0]), key=lambda e: (depth[e], -e))
+    while root and (page.tag[root] in _LEAVES or page.tag[root] not in _BLOCK):
+        root = page.parent[root]
+    # what lies in the root, and which of its children holds it
+    child = [0] * len(page.tag)
+    for e in range(1, len(page.tag)):
+        up = page.parent[e]
+        child[e] = e if up == root else child[up]
+    several = any(page.tag[e] in ("article", "main") and child[e] and inside[e] > 0 for e in range(len(page.tag)))
+    narrow = (page.tag[root] in ("", "html", "body") or several) and not page.inside[root]
+
+    held = np.array([e == root or child[e] > 0 for e in page.element])
+    outer = OUTSIDE * np.average(score[held & strong], weights=weight[held & strong])
+
+    def stays(b: int) -> bool:
+        e = page.element[b]
+        if not held[b]:
+            return bool(score[b] >= max(least, outer))
+        if score[b] < WEAK * least:
+            return False
+        return bool(not narrow or page.heading[e] or (inside[child[e]] > 0 if child[e] else strong[b]))
+
+    kept = [stays(b) for b in range(n)]
+    for b in range(n - 2, -1, -1):  # a heading just above what stays
+        if kept[b + 1] and not kept[b] and page.heading[page.element[b]]:
+            kept[b] = bool(score[b] >= WEAK * least)
+    return "\n".join(t for b, t in enumerate(page.text) if kept[b])
 
 
 def extract(pages: DataFrame) -> DataFrame:
