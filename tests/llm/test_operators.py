@@ -356,24 +356,67 @@ def test_components_of_a_chain_and_a_star(spark):
 # --- 10 -----------------------------------------------------------------------------------------------------------
 
 
-def segmentations(word, first, further, start=True):
-    table = first if start else further
-    if not word:
-        yield 0.0
-    for n in range(1, len(word) + 1):
-        if word[:n] in table:
-            for rest in segmentations(word[n:], first, further, False):
-                yield table[word[:n]] + rest
+def segmentations(word, pieces, byte):
+    """(log probability, pieces and bytes) of every way to cut the word."""
+
+    def cut(i):
+        if i == len(word):
+            yield 0.0, ()
+            return
+        for j in range(i + 1, len(word) + 1):
+            if word[i:j] in pieces:
+                yield from ((pieces[word[i:j]] + x, (word[i:j], *rest)) for x, rest in cut(j))
+        own = tuple(word[i].encode())
+        yield from ((sum(byte[b] for b in own) + x, own + rest) for x, rest in cut(i + 1))
+
+    return list(cut(0))
 
 
 def test_lattice_sums_all_segmentations():
-    first = {"": -30.0, "a": -1.0, "ab": -2.0, "b": -1.5, "abc": -3.0}
-    further = {"": -30.0, "b": -1.0, "c": -0.5, "bc": -1.1, "a": -2.0}
-    lattice = lattice_lm.Lattice(first, further, -0.25)
-    for word in ("a", "ab", "abc", "abcb", "bca"):
-        want = math.log(sum(math.exp(x) for x in segmentations(word, first, further))) - 0.25
-        assert abs(lattice.log_p(word) - want) < 1e-6
-    assert math.isfinite(lattice.log_p("é" * 3000))
+    import numpy as np
+
+    pieces = {"▁": -3.0, "▁a": -1.0, "▁ab": -2.0, "b": -1.0, "c": -0.5, "bc": -1.1, "a": -2.0, "▁abc": -3.0, "é": -4.0}
+    byte = [-5.0 - b / 100 for b in range(256)]
+    lattice = lattice_lm.Lattice(pieces, byte)
+    words = ["a", "ab", "abc", "abcb", "bca", "é", "xé", "abcabcabc"]
+    every = [segmentations("▁" + w, pieces, byte) for w in words]
+    want = [math.log(sum(math.exp(x) for x, _ in ways)) for ways in every]
+    assert np.allclose(lattice.log_p(words), want)
+    assert np.allclose([lattice.log_p([w])[0] for w in words], want)
+    got, of_bytes = np.zeros(len(pieces)), np.zeros(256)
+    lattice.expect(words, [2] * len(words), got, of_bytes)
+    expected = Counter()
+    for ways, total in zip(every, want, strict=True):
+        for x, parts in ways:
+            for p in parts:
+                expected[p] += 2 * math.exp(x - total)
+    assert np.allclose(got, [expected[p] for p in lattice.names]) and np.allclose(of_bytes, [expected[b] for b in range(256)])
+    assert np.isfinite(lattice.log_p(["é" * 3000])[0])
+
+
+def test_score_is_the_enumerated_marginal(spark):
+    texts = ["the cat sat", "the mat", "a Cat é", "", None, "on the mat on"]
+    rows = list(enumerate(texts))
+    path = vocabulary("piece_bpe_32k.model")
+    got = by_id(lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), path))
+    train = [t or "" for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    pieces, byte = lattice_lm.known_scores(path)
+    assert abs(sum(map(math.exp, pieces.values())) + sum(map(math.exp, byte)) - 1) < 1e-9
+    start = {**{p: math.exp(x) for p, x in pieces.items()}, **{b: math.exp(x) for b, x in enumerate(byte)}}
+    prior = {k: lattice_lm.PRIOR * len(start) * x / sum(start.values()) for k, x in start.items()}
+    for _ in range(lattice_lm.ROUNDS):
+        mass = Counter(prior)
+        for w in " ".join(train).lower().split():
+            ways = segmentations("▁" + w, pieces, byte)
+            total = sum(math.exp(x) for x, _ in ways)
+            for x, parts in ways:
+                for p in parts:
+                    mass[p] += math.exp(x) / total
+        total = sum(mass.values()) + len(train) + lattice_lm.PRIOR
+        pieces, byte, stop = {p: math.log(mass[p] / total) for p in pieces}, [math.log(mass[b] / total) for b in range(256)], math.log((len(train) + lattice_lm.PRIOR) / total)
+    for i, t in rows:
+        want = stop + sum(math.log(sum(math.exp(x) for x, _ in segmentations("▁" + w, pieces, byte))) for w in (t or "").lower().split())
+        assert abs(got[i].score - want / math.log(10)) < 1e-6
 
 
 @pytest.mark.parametrize("common", [3, 150_000])
