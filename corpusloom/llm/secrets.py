@@ -4,12 +4,15 @@ Long strings over an encoding's alphabet are tested for randomness: chi-squared
 inferred alphabet, Wald-Wolfowitz runs about the alphabet's middle, and lag-one serial correlation. The least of the
 three p-values, times three, is the battery's. A string is called random if the battery does not reject it (p of
 at least ``level``) and the false discoveries among strings of its length class stay below ``rate``: strings of
-letters only (long words) are the decoys of each class, and their share that looks as random bounds the share of false
-calls. Short classes have less power, so their decoys pass more often and their threshold is stricter.
+letters only (long words, and for each string as many of the letters before it) are the decoys, and the share of them that looks
+as random, times the strings that are not random (from those the battery rejects), bounds the false calls. Short classes have
+less power, so their decoys pass more often and their threshold is stricter; classes with few decoys borrow from their neighbours.
 
 All of it is Column expressions. The only thing that leaves the executors is a histogram of at most 6 x 41 cells.
 
-Null or empty text: no spans. Repeated rows each get a row, a null doc_id stays null, further columns are ignored.
+Null or empty text: no spans. Very long texts and very many matches cost little more than linear time. Strings of equal surprise
+are called alike. Repeated rows each get a row and each count, a null doc_id stays null, an empty table gives an empty one, further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .spans import clear_of, find_spans, ranked, written
+from .spans import SPAN, clear_of, cut, ends_of, find_spans, once, places, ranked, written
 
 #: The patterns whose matches the base result lists. Runs are possessive or start at a run's beginning, so long runs cost linear time.
 ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]++)"
@@ -88,25 +91,59 @@ def battery(spans: Column) -> Column:
 
 
 def thresholds(tested: DataFrame, level: float = LEVEL, rate: float = RATE) -> dict[int, int]:
-    """For each length class the greatest surprise that is still called random; -1: none."""
+    """For each length class the greatest surprise that is still called random; -1: none.
+
+    A class's false calls at a threshold are its strings that are not random (those the battery rejects at ``level``, divided by the
+    share of decoys it rejects) times the share of decoys that look random; decoys of other classes count half for each
+    class between, and one more, half of it random-looking, stands for none. Taken are the threshold and the classes with the most
+    calls whose false ones stay below ``rate`` altogether; classes left out get the greatest lower threshold that keeps it so.
+    """
     import math
 
     cells = tested.select(F.explode("tested").alias("x")).groupBy("x.class", "x.decoy", "x.surprise").count().collect()
-    total = {d: sum(r["count"] for r in cells if r.decoy == d) for d in (True, False)}
-    out = {}
-    for c in range(len(CLASSES) + 1):
-        out[c] = -1
-        own = sum(r["count"] for r in cells if r["class"] == c and r.decoy)
-        for s in range(math.floor(-10 * math.log10(level))):
-            calls = sum(r["count"] for r in cells if r["class"] == c and not r.decoy and r.surprise <= s)
-            decoys = sum(r["count"] for r in cells if r.decoy and r.surprise <= s and (own == 0 or r["class"] == c))
-            share = (decoys + 1) / ((own or total[True]) + 1)  # of strings that are not random, those that look so
-            strings = sum(r["count"] for r in cells if r["class"] == c and not r.decoy)
-            if calls and share * strings <= rate * calls:
-                out[c] = s
+    last = math.ceil(-10 * math.log10(level)) - 1
+    calls: dict[tuple[int, int], int] = {}
+    false: dict[tuple[int, int], float] = {}
+    classes = range(len(CLASSES) + 1)
+    for c in classes:
+        own = {s: sum(r["count"] for r in cells if r["class"] == c and not r.decoy and r.surprise <= s) for s in (*range(last + 1), 40)}
+        near = {s: 0.5 + sum(0.5 ** abs(r["class"] - c) * r["count"] for r in cells if r.decoy and r.surprise <= s) for s in own}
+        whole = near[40] + 0.5
+        for s in range(last + 1):
+            calls[c, s], false[c, s] = own[s], near[s] / whole * (own[40] - own[last]) / (1 - near[last] / whole)
+    best, out = 0, dict.fromkeys(classes, -1)
+    for s in range(last + 1):
+        got, wrong, chosen = 0, 0.0, dict.fromkeys(classes, -1)
+        for c in sorted((c for c in classes if calls[c, s]), key=lambda c: (false[c, s] / calls[c, s], c)):  # noqa: B023
+            if wrong + false[c, s] <= rate * (got + calls[c, s]):
+                got, wrong, chosen[c] = got + calls[c, s], wrong + false[c, s], s
+        for c in classes:
+            for t in range(s - 1, -1, -1) if chosen[c] < 0 else ():
+                if calls[c, t] and wrong + false[c, t] <= rate * (got + calls[c, t]):
+                    got, wrong, chosen[c] = got + calls[c, t], wrong + false[c, t], t
+                    break
+        if got >= best:
+            best, out = got, chosen
     return out
 
 
+def candidates(text: Column) -> Column:
+    """Strings to test, each with a decoy of its own length where there are letters enough: the last ASCII letters before it (s and e -1)."""
+
+    def spans(pieces: Column) -> Column:
+        n = F.size(pieces) - 1
+        return F.flatten(F.zip_with(F.slice(pieces, 1, n), F.slice(ends_of(pieces), 1, n), one))
+
+    def one(x: Column, e: Column) -> Column:
+        size = F.length(F.rtrim(x["m"], F.lit("=")))
+        found = F.struct((e - F.length(x["m"])).alias("s"), e.alias("e"), x["m"].alias("m"))
+        decoy = lambda letters: F.struct(F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.when(F.length(letters) >= size, F.substring(letters, -size, size)).alias("m"))
+        return F.array(found, once(F.regexp_replace(x["g"], "[^A-Za-z]+", ""), decoy))
+
+    every = F.when(text.rlike(CANDIDATE), once(cut(text, CANDIDATE), spans)).otherwise(F.array().cast(SPAN))
+    return F.filter(every, lambda x: x["m"].rlike("[0-9A-Za-z]{8}"))
+
+
 def scan(docs: DataFrame, level: float = LEVEL, rate: float = RATE) -> DataFrame:
     """(doc_id, assign, access, hex, random): spans of each kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -115,15 +152,14 @@ def scan(docs: DataFrame, level: float = LEVEL, rate: float = RATE) -> DataFrame
         F.filter(find_spans(text, ASSIGN, F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6).alias("assign"),
         F.filter(find_spans(text, ACCESS, F.contains(text, F.lit("AKIA"))), lambda x: x["e"] - x["s"] >= 20).alias("access"),
         find_spans(text, HEX).alias("hex"),
-        F.filter(find_spans(text, CANDIDATE), lambda x: x["m"].rlike("[0-9A-Za-z]{8}")).alias("long"),
+        candidates(text).alias("long"),
     )
-    short = lambda c: F.transform(c, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(c)
-    tested = base.select("doc_id", short("assign"), short("access"), short("hex"), battery(F.col("long")).alias("tested"))
+    tested = base.select("doc_id", *[places(F.col(k)).alias(k) for k in ("assign", "access", "hex")], battery(F.col("long")).alias("tested"))
     tested = materialise(tested, "secrets")
     limit = F.create_map(*[F.lit(v) for kv in thresholds(tested, level, rate).items() for v in kv])
     called = F.filter("tested", lambda x: ~x["decoy"] & (x["surprise"] <= limit[x["class"]]))
     free = clear_of(called, [F.col("assign"), F.col("access"), F.col("hex")])
-    return tested.select("doc_id", "assign", "access", "hex", F.transform(free, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias("random"))
+    return tested.select("doc_id", "assign", "access", "hex", places(free).alias("random"))
 
 
 def query(docs: DataFrame) -> DataFrame:

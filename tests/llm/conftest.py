@@ -4,7 +4,7 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use themselves.
-CLASH = "key string, start int, spans string, score double, predicted int, same string, node long, fp long, words string, lines string, hex string"
+CLASH = "key string, start int, spans string, score double, predicted int, same string, node long, fp long, words string, lines string, hex string, _row long, _spans string, _key string, _s string, near string, kind string, email string, assign string, row long, task int"
 
 
 def prose(rng, n):
@@ -39,7 +39,7 @@ def docs(spark, texts):
 def awkward(spark, texts):
     """Null ids, repeated rows and columns with clashing names."""
     some = [None, "", texts[4], texts[4], "password = abcdefgh", "x@y.example.com", *texts[:3]]
-    rows = [(i if i % 4 else None, t, "en", "s", 0) + ("k", 1, "s", 0.5, 1, "same", 7, 8, "w", "l", "h") for i, t in enumerate(some)]
+    rows = [(i if i % 4 else None, t, "en", "s", 0) + ("k", 1, "s", 0.5, 1, "same", 7, 8, "w", "l", "h", 9, "x", "y", "z", "n", "k", "e", "a", 4, 5) for i, t in enumerate(some)]
     rows += rows[-2:]
     return spark.createDataFrame(rows, f"{DOCS}, {CLASH}")
 
