@@ -5,28 +5,34 @@ each block. Impacts are divided by the item's score for its own text, so one thr
 holds a whole item scores 1 on it. The longest lists are not opened at first; what they can add at most to an item is
 known from the index. A passage is skipped when the greatest impacts of its other words and that bound sum to less than
 the threshold, then each block of items when its block maxima do; only items of the blocks left are scored, and the
-long lists are added for pairs that can still pass (block-max WAND, over all passages of a batch at once). Passages are ``length`` words every ``length`` / 2, so an item of up to half that
-length lies whole in one; longer items get passages of their own length. Retrieved pairs are verified on the
+long lists are added for pairs that can still pass (block-max WAND, over all passages of a batch at once). Passages are ``length``
+words every ``length`` / 2, so an item of up to half that length lies whole in one; longer items are searched for in passages of
+twice the length, and so on, each by its own length only. Retrieved pairs are verified on the
 document's words around the passage: the question part and the answer part (after the last question mark, or the last
 quarter) must each share enough of their word 3-grams with it (n-grams of its own length for a part of one or two words).
 
 Words are runs of letters and digits of the lower-cased text. Null or empty texts hold nothing; items without words match nothing.
-Repeated rows and items each appear. A null doc_id stays null. Items are broadcast in shards of ``shard_words`` words
-at most, one pass over the documents for each; longer lists of items cost more passes, not more memory.
-Further columns are ignored.
+Repeated rows and items each appear; a null doc_id or item_id stays null. Of passages that hold an item equally well the one with the
+greatest overlaps counts. Very long texts are read whole, some 200,000 words at a time and at least a document. An empty table of
+documents or items gives an empty result. Items are indexed on the driver and broadcast in shards of ``shard_words`` words at
+most, with the statistics of all items, one pass over the documents for each; longer lists of items cost more passes, not more
+memory: where there are several, each pass is written before the next. Further columns are ignored by the search and kept by
+``drop_leaks``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, row_key, rows
+from .common import map_rows, materialise, row_key, rows
 
 THRESHOLD, QUESTION, ANSWER = 0.6, 0.7, 0.6
 LENGTH, BLOCK = 128, 16
@@ -81,8 +87,8 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, counts: tuple[int, int, dict[str, int]] | None = None):
         self.threshold = threshold
-        self.items = [(i, t) for i, t in items if item_words(t)]
-        bags = [Counter(item_words(t)) for _, t in self.items]
+        kept = [(i, t) for i, t in items if item_words(t)]
+        bags = [Counter(item_words(t)) for _, t in kept]
         n, df = len(bags), Counter(w for b in bags for w in b)
         self.term = {w: i for i, w in enumerate(df)}
         every, length, held_by = counts or (n, sum(sum(b.values()) for b in bags), df)
@@ -124,8 +130,8 @@ class Index:
         self.block_rest = self.rest.reshape(self.blocks, BLOCK).max(axis=1) if n else np.zeros(0)
         self.block_starts = np.searchsorted([t for t, _, _ in blocks], np.arange(len(df) + 1)) if blocks else np.zeros(1, np.int64)
         self.block_ids, self.block_best = np.array([b for _, b, _ in blocks], np.int64), np.array([x for *_, x in blocks])
-        self.longest = max((sum(b.values()) for b in bags), default=0)
-        self.split = [parts(t) for _, t in self.items]
+        self.split = [parts(t) for _, t in kept]
+        self.items = [i for i, _ in kept]
 
     def _sums(self, passage: np.ndarray, term: np.ndarray, starts, ids, values, width: int):
         """Sums of values by (passage, id) over the terms' lists: sorted codes passage * width + id, and sums."""
@@ -187,86 +193,103 @@ def item_counts(items: DataFrame) -> tuple[int, int, Counter]:
     return n, length, df
 
 
-def shards(items: DataFrame, shard_words: int):
-    """Lists of items of ``shard_words`` words at most, read one by one."""
-    held, size = [], 0
+def passage_length(n_words: int, length: int) -> int:
+    """Words of the passages that an item of ``n_words`` words is searched for in."""
+    while n_words > length // 2:
+        length *= 2
+    return length
+
+
+def shards(items: DataFrame, shard_words: int, length: int):
+    """(passage length, items) with ``shard_words`` words at most, read one by one."""
+    held: dict[int, list] = defaultdict(list)
+    size: Counter = Counter()
     for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text").toLocalIterator():
         n = len(item_words(r.text))
-        if held and size + n > shard_words:
-            yield held
-            held, size = [], 0
-        held.append((r.item_id, r.text))
-        size += n
-    yield held
+        if not n:
+            continue
+        own = passage_length(n, length)
+        if held[own] and size[own] + n > shard_words:
+            yield own, held.pop(own)
+            size[own] = 0
+        held[own].append((r.item_id, r.text))
+        size[own] += n
+    yield from sorted(held.items())
+
+
+def search(index: Index, group: list[tuple], size: int, question: float, answer: float):
+    """Verified pairs of the documents ``group`` of (id, words), in passages of ``size`` words."""
+    half, get, terms = size // 2, index.term.get, max(1, len(index.term))
+    ids, lens = [], []
+    for _, words in group:
+        ids += [get(w, -1) for w in words]
+        lens.append(len(words))
+    ids, lens = np.array(ids, np.int64), np.array(lens, np.int64)
+    doc = np.repeat(np.arange(len(group)), lens)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(lens) - lens, lens)
+    known = ids >= 0
+    ids, doc, half_no = ids[known], doc[known], place[known] // half
+    # passage m of a document holds its halves m and m + 1
+    most = int(half_no.max(initial=0)) + 2
+    code = np.unique(np.r_[(doc * most + half_no) * terms + ids, (doc * most + np.maximum(half_no - 1, 0)) * terms + ids])
+    numbers, passage = np.unique(code // terms, return_inverse=True)
+    if not numbers.size:
+        return
+    p, item, score = index.retrieve(passage, code % terms)
+    best: dict[tuple[int, int], tuple] = {}
+    for p, item, s in zip(p.tolist(), item.tolist(), score.tolist(), strict=True):
+        d, m = divmod(int(numbers[p]), most)
+        shared = overlaps(index.split[item], group[d][1][max(0, m * half - half) : m * half + size + half])
+        if shared[0] >= question and shared[1] >= answer:
+            best[d, item] = max(best.get((d, item), (0.0, 0.0, 0.0)), (s, *shared))
+    for (d, item), got in best.items():
+        yield group[d][0], index.items[item], *got
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, length: int = LENGTH, shard_words: int = SHARD_WORDS, id_type: str = "long") -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each verified pair, doc_id as ``id_type``."""
     spark = docs.sparkSession
-    n_items, n_words, df = item_counts(items)
+    counts = item_counts(items)
+    kind = f"doc_id {id_type}, item_id long, score double, question_overlap double, answer_overlap double"
 
-    def one(held: list) -> DataFrame:
-        # a shard's scores are those of the whole list of items
-        index_of = spark.sparkContext.broadcast((held, (n_items, n_words, {w: df[w] for _, t in held for w in item_words(t)})))
+    def one(size: int, held: list) -> tuple[DataFrame, Broadcast]:
+        sent = spark.sparkContext.broadcast(Index(held, threshold, counts))
 
         def make(batches):
-            index = Index(index_of.value[0], threshold, index_of.value[1])
-            size = max(length, 2 * index.longest)
-            half = size // 2
-            get, term_of = index.term.get, index.term
-
-            def answer_for(group):
-                ids, lens = [], []
-                for _, words in group:
-                    ids += [get(w, -1) for w in words]
-                    lens.append(len(words))
-                ids, lens = np.array(ids, np.int64), np.array(lens, np.int64)
-                doc = np.repeat(np.arange(len(group)), lens)
-                place = np.arange(len(ids)) - np.repeat(np.cumsum(lens) - lens, lens)
-                known = ids >= 0
-                ids, doc, half_no = ids[known], doc[known], place[known] // half
-                # passage m of a document holds its halves m and m + 1
-                most = int(half_no.max(initial=0)) + 2
-                terms = max(1, len(term_of))
-                code = np.unique(np.r_[(doc * most + half_no) * terms + ids, (doc * most + np.maximum(half_no - 1, 0)) * terms + ids])
-                numbers, passage = np.unique(code // terms, return_inverse=True)
-                if not numbers.size:
-                    return
-                p, item, score = index.retrieve(passage, code % terms)
-                best: dict[tuple[int, int], tuple] = {}
-                for p, item, s in zip(p.tolist(), item.tolist(), score.tolist(), strict=True):
-                    d, m = divmod(int(numbers[p]), most)
-                    words = group[d][1]
-                    shared = overlaps(index.split[item], words[max(0, m * half - half) : m * half + size + half])
-                    if shared[0] >= question and shared[1] >= answer:
-                        best[d, item] = max(best.get((d, item), (0.0, 0.0, 0.0)), (s, *shared))
-                for (d, item), got in best.items():
-                    yield group[d][0], index.items[item][0], *got
-
-            group, size_now = [], 0
+            index = sent.value
+            group, words = [], 0
             for doc_id, text in rows(batches, "doc_id", "text"):
                 if text:
                     group.append((doc_id, item_words(text)))
-                    size_now += len(group[-1][1])
-                if size_now > 200_000:
-                    yield from answer_for(group)
-                    group, size_now = [], 0
+                    words += len(group[-1][1])
+                if words > 200_000:
+                    yield from search(index, group, size, question, answer)
+                    group, words = [], 0
             if group:
-                yield from answer_for(group)
+                yield from search(index, group, size, question, answer)
 
-        return map_rows(docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text"), make, f"doc_id {id_type}, item_id long, score double, question_overlap double, answer_overlap double")
+        return map_rows(docs.select(F.col("doc_id").cast(id_type).alias("doc_id"), "text"), make, kind), sent
 
     found = None
-    for held in shards(items, shard_words):
-        found = one(held) if found is None else found.unionByName(one(held))
-    return found
+    every = shards(items, shard_words, length)
+    now = next(every, None)
+    while now is not None:
+        part, sent = one(*now)
+        now = next(every, None)
+        if now is None and found is None:  # a single pass need not be written
+            return part
+        part = materialise(part, "leaks")
+        sent.destroy()
+        found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], kind) if found is None else found
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item; rows without an id are judged by their text."""
-    marked = docs.withColumn("_key", row_key())
-    bad = find_leaks(marked.select(F.col("_key").alias("doc_id"), "text"), items, id_type="binary").select(F.col("doc_id").alias("_key")).distinct()
-    return marked.join(bad, "_key", "left_anti").drop("_key")
+    key = f"key-{uuid.uuid4().hex}"  # no table has such a column
+    marked = docs.withColumn(key, row_key())
+    bad = find_leaks(marked.select(F.col(f"`{key}`").alias("doc_id"), "text"), items, id_type="binary").select(F.col("doc_id").alias(key)).distinct()
+    return marked.join(bad, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:

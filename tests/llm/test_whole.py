@@ -40,6 +40,43 @@ def test_block_edits_are_near_copies(spark):
     assert len(set(got.values())) >= n  # nothing else is linked
 
 
+def test_pairs_below_are_not_linked(spark):
+    """Each pair near but below the similarity asked for, far from all others: the exact test tells them apart."""
+    rng, rows, n = random.Random(36), [], 60
+    for i in range(n):
+        words = prose(rng, 300).split()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: int(300 * rng.uniform(0.72, 0.79))]))]
+    got = dict(groups_of(simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert len(set(got.values())) == 2 * n
+
+
+def test_a_large_group_of_near_copies_is_whole(spark):
+    rng = random.Random(37)
+    words = prose(rng, 200).split()
+    rows = []
+    for i in range(1200):
+        own = list(words)
+        for _ in range(3):
+            own[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    rows += [(2000 + i, prose(rng, 120)) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot, room in ((20_000, 1 << 30), (50, 1 << 30), (20_000, 100_000)):
+        got = dict(groups_of(simhash.near_groups(table, hot=hot, room=room)))
+        assert all(got[i] == 0 for i in range(1200)) and all(got[2000 + i] == 2000 + i for i in range(40)), hot
+
+
+def test_long_items_do_not_change_the_others(spark):
+    rng = random.Random(38)
+    items = [(i, prose(rng, 20)) for i in range(20)]
+    long = [(100, prose(rng, 900)), (101, prose(rng, 150))]
+    docs = spark.createDataFrame([(i, f"{prose(rng, 90)} {t} {prose(rng, 300)}") for i, t in items + long], "doc_id long, text string")
+    find = lambda some, **more: {(r.doc_id, r.item_id): r.question_overlap for r in decontaminate.find_leaks(docs, spark.createDataFrame(some, "item_id long, text string"), **more).collect()}
+    short, every = find(items), find(items + long)
+    assert set(every) == {(i, i) for i, _ in items + long} and short == {k: v for k, v in every.items() if k[0] < 100}
+    assert find(items + long, shard_words=200) == every
+
+
 def test_short_answers_are_verified(spark):
     rng = random.Random(33)
     items = [(0, "Which town lies on the river Seine? Paris"), (1, "Who wrote the long book of whales? Herman Melville"), (2, "alpha beta gamma delta"), (3, "Why? Vexillology")]
