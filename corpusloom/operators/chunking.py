@@ -1,13 +1,16 @@
-"""Chunks under a token budget: word windows with overlap, and sections packed along the heading tree.
+"""Chunks under a token budget: word windows with overlap, and sections kept whole or cut along the heading tree.
 
-Sections are packed with ``mapInArrow``-style row functions (one document in, its chunks out, no shuffle) because a chunk's
-start depends on where the one before it ended. The token counter is a parameter; the default counts CJK characters and words.
+A document is one row and its chunks are made where it lies, without a shuffle: a chunk's start depends on where the one before it
+ended. A tokeniser is a parameter: a function that gives the place where each token of a text starts. The tokens of any span are then
+the difference of two searches, so a text is tokenised once however often it is cut. The default takes CJK characters and words.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,140 +18,153 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Where a text may be cut, coarsest first; tree nodes of up to 1.5 budgets stay whole, texts of up to 2 are not cut.
+#: Where a text may be cut, coarsest first; subtrees of up to 1.5 budgets stay whole, texts of up to 2 are not cut.
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ", "，", ", ", " ")
 WHOLE, UNCUT = 1.5, 2
-_CJK = re.compile("[一-鿿㐀-䶿＀-￯　-〿]")
 _ATOM = re.compile("[一-鿿㐀-䶿＀-￯　-〿]|[^\\s一-鿿㐀-䶿＀-￯　-〿]+")
-Counter = Callable[[str], int]
+#: The start of each token of a text, in order.
+Offsets = Callable[[str], list[int]]
+Section = tuple[int, str | None, str]
+
+
+def word_offsets(text: str) -> list[int]:
+    return [m.start() for m in _ATOM.finditer(text)]
 
 
 def count_words(text: str) -> int:
-    return len(_ATOM.findall(text))
+    return len(word_offsets(text))
+
 
+def tail(text: str, n: int, offsets: Offsets = word_offsets) -> str:
+    """The last ``n`` tokens of a text; nothing for none."""
+    if n <= 0:
+        return ""
+    at = offsets(text)
+    return text[at[-n] if len(at) > n else 0 :].strip()
 
-def hard_split(text: str, budget: int) -> list[str]:
-    """Pieces of ``budget`` default tokens each; together they are the text."""
-    ends = [m.end() for m in _ATOM.finditer(text)][budget - 1 :: budget]
-    if len(ends) > 0 and ends[-1] < len(text) and not _ATOM.search(text, ends[-1]):
-        ends[-1] = len(text)
-    cuts = [0, *ends] if ends and ends[-1] == len(text) else [0, *ends, len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+def joined(*pieces: str) -> str:
+    return "\n\n".join(filter(None, map(str.strip, pieces)))
 
 
-def split_to_size(text: str, budget: int, count: Counter = count_words) -> list[str]:
-    """Pieces within the budget, cut at the coarsest separator that helps; separators stay with the piece before them."""
+def runs(sizes: list[int], budget: int) -> Iterator[tuple[int, int]]:
+    """Consecutive runs of things of these sizes, each as long as the budget allows and at least one."""
+    sums = [0, *accumulate(sizes)]
+    first = 0
+    while first < len(sizes):
+        last = max(first + 1, bisect_right(sums, sums[first] + budget) - 1)
+        yield first, last
+        first = last
+
+
+def split_to_size(text: str, budget: int, offsets: Offsets = word_offsets) -> list[str]:
+    """Pieces within the budget, cut at the coarsest separator that helps; separators stay with the piece before them.
+
+    Spans wait with the separators that they have not been cut at: a span between two separators of one kind has none of that or a coarser
+    kind inside, so each is tried once. Spans of white space go. Where no separator is left, every ``budget``-th token starts a piece.
+    """
     if budget <= 0:
         raise ValueError("the budget must be positive")
-    text = text.strip()
-    if not text or count(text) <= budget:
-        return [text] if text else []
-    for sep in SEPARATORS:
-        parts = [p for p in re.split(f"(?<={re.escape(sep)})", text) if p.strip()] if sep in text else []
-        groups, total = [], 0
-        for p in parts:
-            size = count(p)
-            if groups and total + size <= budget:
-                groups[-1] += p
-                total += size
-            else:
-                groups.append(p)
-                total = size
-        if len(groups) > 1:
-            return [piece for g in groups for piece in split_to_size(g, budget, count)]
-    return hard_split(text, budget)
-
-
-def tail(text: str, n: int) -> str:
-    """The last ``n`` tokens of a text."""
-    found = [m.start() for m in _ATOM.finditer(text)]
-    return text[found[-n] :].strip() if len(found) > n else text.strip()
+    at = offsets(text)
 
+    def between(lo: int, hi: int) -> int:
+        return bisect_left(at, hi) - bisect_left(at, lo)
 
-def joined(*pieces: str) -> str:
-    return "\n\n".join(p for p in (x.strip() for x in pieces) if p)
+    out: list[str] = []
+    waiting: list[tuple[int, int, int] | str] = [(0, len(text), 0)]
+    while waiting:
+        now = waiting.pop()
+        if isinstance(now, str):
+            out.append(now)
+            continue
+        lo, hi, kind = now
+        piece = text[lo:hi]
+        lo, hi = lo + len(piece) - len(piece.lstrip()), lo + len(piece.rstrip())
+        if lo >= hi:
+            continue
+        if between(lo, hi) <= budget:
+            out.append(text[lo:hi])
+            continue
+        spans: list[tuple[int, int]] = []
+        while kind < len(SEPARATORS) and len(spans) < 2:
+            cuts = re.compile(re.escape(SEPARATORS[kind])).finditer(text, lo, hi)
+            spans = [(a, b) for a, b in pairwise([lo, *(m.end() for m in cuts), hi]) if text[a:b].strip()]
+            kind += 1
+        if len(spans) < 2:
+            inner = at[bisect_left(at, lo) : bisect_left(at, hi)][budget::budget]
+            out += [text[a:b] for a, b in pairwise([lo, *inner, hi]) if a < b]
+            continue
+        parts = [(*spans[a], kind) if b == a + 1 else "".join(text[x:y] for x, y in spans[a:b]).strip() for a, b in runs([between(x, y) for x, y in spans], budget)]
+        waiting += reversed(parts)
+    return out
 
 
-def with_overlap(pieces: list[str], overlap: int) -> list[str]:
-    """Each piece after the first preceded by the tail of the one before."""
-    if overlap <= 0:
-        return pieces
-    return pieces[:1] + [joined(tail(a, overlap), b) for a, b in zip(pieces, pieces[1:], strict=False)]
+def with_overlap(pieces: list[str], overlap: int, offsets: Offsets = word_offsets) -> list[str]:
+    """Pieces, each headed by the last ``overlap`` tokens of the one before."""
+    return [joined(tail(a, overlap, offsets), b) for a, b in pairwise(["", *pieces])]
 
 
-def pack(units: list[str], budget: int, overlap: int = 0, count: Counter = count_words) -> list[str]:
-    """Units packed greedily; a new chunk starts with the tail of the last one where there is overlap."""
+def pack(units: list[str], budget: int, overlap: int = 0, offsets: Offsets = word_offsets) -> list[str]:
+    """Units in chunks within the budget, in order; a chunk after the first starts with the last ``overlap`` tokens before it."""
+    held = [u for u in map(str.strip, units) if u]
+    ends = list(accumulate(len(offsets(u)) for u in held))
     chunks: list[str] = []
-    held: list[str] = []
-    size = 0
-    for unit in filter(None, (u.strip() for u in units)):
-        n = count(unit)
-        if held and size + n > budget:
-            chunks.append(joined(*held))
-            held = [tail(chunks[-1], overlap)] if overlap > 0 else []
-            size = sum(map(count, held))
-        held.append(unit)
-        size += n
-    return [*chunks, joined(*held)] if held else chunks
-
-
-class _Section:
-    def __init__(self, level: int, heading: str | None, text: str, path: list[str]):
-        self.level, self.heading, self.text, self.path, self.below = level, heading, text, path, []
-
-    def render(self) -> str:
-        return joined(self.text, *(joined(f"{'#' * s.level} {s.heading}", s.render()) for s in self.below))
-
-    def tokens(self, count: Counter) -> int:
-        return count(self.text) + sum(count(f"{'#' * s.level} {s.heading}") + s.tokens(count) for s in self.below)
-
-
-def tree(sections: list[tuple[int, str | None, str]]) -> _Section:
-    root = _Section(0, None, "", [])
-    open_ = [root]
-    for level, heading, text in sections:
-        if heading is None:
-            root.text = text
-            continue
-        while open_[-1].level >= level:
-            open_.pop()
-        node = _Section(level, heading, text, [*open_[-1].path, heading])
-        open_[-1].below.append(node)
-        open_.append(node)
-    return root
+    done = 0
+    while done < len(held):
+        lead = tail(chunks[-1], overlap, offsets) if chunks else ""
+        room = (ends[done - 1] if done else 0) + budget - len(offsets(lead))
+        upto = max(done + 1, bisect_right(ends, room))
+        chunks.append(joined(lead, *held[done:upto]))
+        done = upto
+    return chunks
+
 
+def subtree_ends(levels: list[int]) -> list[int]:
+    """For each section of a document the place of the next one that is not below it: a subtree is a range of sections."""
+    outer = {x: [*(i for i, y in enumerate(levels) if y <= x), len(levels)] for x in set(levels)}
+    return [outer[x][bisect_right(outer[x], i)] for i, x in enumerate(levels)]
 
-def section_chunks(sections: list[tuple[int, str | None, str]], budget: int, overlap: int = 0, count: Counter = count_words, keep_bare_headings: bool = True) -> Iterator[tuple[list[str], str]]:
-    """(heading path, text) of each chunk.
 
-    A node whose subtree fits 1.5 budgets is one chunk, prefixed by its path; a larger node passes its own text to its first
-    child. A prefixed text beyond two budgets is cut to size. A leaf with a heading only is a chunk of that
-    heading under its parent's path, unless ``keep_bare_headings`` is off (the older strategy loses it).
+def section_chunks(sections: list[Section], budget: int, overlap: int = 0, offsets: Offsets = word_offsets, keep_bare_headings: bool = True) -> Iterator[tuple[list[str], str]]:
+    """(heading path, text) of each chunk, from a document's flat sections in one pass.
+
+    A subtree that fits 1.5 budgets is one chunk, prefixed by its path, and the pass goes on behind it; else its heading's own text
+    goes ahead of the next section, the first below it. A prefixed text beyond two budgets is cut to size. A leaf with a heading only is a chunk
+    of that heading under its parent's path, unless ``keep_bare_headings`` is off (the older strategy loses it).
     """
+    listed = [*([] if sections and sections[0][1] is None else [(0, None, "")]), *sections]
+    title = [f"{'#' * level} {heading}" if heading is not None else "" for level, heading, _ in listed]
+    ends = subtree_ends([level for level, *_ in listed])
+    sums = [0, *accumulate(len(offsets(t)) + len(offsets(x)) for t, (*_, x) in zip(title, listed, strict=True))]
 
     def prefixed(path: list[str], text: str) -> str:
         return f"[{' > '.join(path)}]\n{text}" if path else text
 
-    def visit(node: _Section, lead: str) -> Iterator[tuple[list[str], str]]:
-        if node.below and node.tokens(count) + count(lead) > WHOLE * budget:
-            own = joined(lead, node.text)
-            for i, child in enumerate(node.below):
-                yield from visit(child, own if i == 0 else "")
-            return
-        text = joined(lead, node.render()) if lead else node.render()
-        if text.strip():
-            full = prefixed(node.path, text)
-            if count(full) > UNCUT * budget:
-                yield from ((node.path, prefixed(node.path, p)) for p in with_overlap(split_to_size(text, budget, count), overlap))
-            else:
-                yield node.path, full
-        elif node.heading and keep_bare_headings:
-            yield node.path, prefixed(node.path[:-1], node.heading)
-
-    yield from visit(tree(sections), "")
-
-
-def chunk_documents(docs: DataFrame, budget: int, overlap: int = 0, count: Counter = count_words, keep_bare_headings: bool = True) -> DataFrame:
+    above: list[int] = []
+    lead, i, seen = "", 0, 0
+    while i < len(listed):
+        for j in range(seen, i + 1):  # open headings, those of whole subtrees passed over included
+            above = [*(a for a in above if ends[a] > j), j]
+        seen = i + 1
+        size = sums[ends[i]] - sums[i] - len(offsets(title[i])) + len(offsets(lead))
+        if ends[i] > i + 1 and size > WHOLE * budget:
+            lead, i = joined(lead, listed[i][2]), i + 1
+            continue
+        path = [listed[a][1] for a in above if listed[a][1] is not None]
+        below = (part for j in range(i + 1, ends[i]) for part in (title[j], listed[j][2]))
+        text = joined(lead, listed[i][2], *below)
+        full = prefixed(path, text)
+        if not text:
+            if listed[i][1] and keep_bare_headings:
+                yield path, prefixed(path[:-1], path[-1])
+        elif len(offsets(full)) <= UNCUT * budget:
+            yield path, full
+        else:
+            yield from ((path, prefixed(path, piece)) for piece in with_overlap(split_to_size(text, budget, offsets), overlap, offsets))
+        lead, i = "", ends[i]
+
+
+def chunk_documents(docs: DataFrame, budget: int, overlap: int = 0, offsets: Offsets = word_offsets, keep_bare_headings: bool = True) -> DataFrame:
     """(doc_id, ordinal, chunk_id, heading_path, text, token_count) from ``docs(doc_id, text)`` in Markdown."""
     from .sections import flat_sections
 
@@ -157,8 +173,8 @@ def chunk_documents(docs: DataFrame, budget: int, overlap: int = 0, count: Count
             out = []
             for doc_id, sections in zip(batch.doc_id, batch.sections, strict=True):
                 listed = [(s["level"], s["heading"], s["text"]) for s in sections]
-                for n, (path, text) in enumerate(section_chunks(listed, budget, overlap, count, keep_bare_headings)):
-                    out.append((doc_id, n, f"{doc_id}::c{n:04d}", path, text, count(text)))
+                for n, (path, text) in enumerate(section_chunks(listed, budget, overlap, offsets, keep_bare_headings)):
+                    out.append((doc_id, n, f"{doc_id}::c{n:04d}", path, text, len(offsets(text))))
             yield pd.DataFrame(out, columns=["doc_id", "ordinal", "chunk_id", "heading_path", "text", "token_count"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -81,14 +81,11 @@ x AS (SELECT doc_id, bi, j, kind, ls[j] AS text FROM (SELECT *, unnest(range(1,
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY bi, j) - 1 AS part_ix, kind, sha256(text) AS text_sha256 FROM x"""
 
 
-def headed(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """Documents as Markdown: every third line becomes a heading of a level from its place and the document's id.
-
-    The heading is the line's first 24 characters. With ``whole`` the line itself follows it as text; without, as in the SQL of
-    q05 and q41, the rest of the line is lost.
-    """
+def headed(docs: DataFrame) -> DataFrame:
+    """Documents as Markdown: above every third line stands a heading, its first 24 characters, of a level from its place and the document's id."""
     level = lambda i: F.pmod(F.floor(i / 3).cast("long") * 7 + F.col("doc_id"), F.lit(3)).cast("int") + 1
-    return docs.withColumn("text", F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.repeat(F.lit("#"), level(i)), F.lit(" "), F.substring(x, 1, 24), *([F.lit("\n"), x] if whole else []))).otherwise(x)), "\n"))
+    line = lambda x, i: F.when(i % 3 == 0, F.concat(F.repeat(F.lit("#"), level(i)), F.lit(" "), F.substring(x, 1, 24), F.lit("\n"), x)).otherwise(x)
+    return docs.withColumn("text", F.array_join(F.transform(F.split("text", "\n"), line), "\n"))
 
 
 def q05_sections(spark, sf_dir):
@@ -98,7 +95,7 @@ def q05_sections(spark, sf_dir):
 
 _SECTIONS = r"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 s AS (SELECT doc_id, i // 3 AS sec_ix, CAST((i // 3 * 7 + doc_id) % 3 + 1 AS INTEGER) AS level, trim(substr(line, 1, 24)) AS heading FROM l WHERE i % 3 = 0),
-t AS (SELECT doc_id, i // 3 AS sec_ix, string_agg(line, chr(10) ORDER BY i) AS text FROM l WHERE i % 3 <> 0 GROUP BY ALL)"""
+t AS (SELECT doc_id, i // 3 AS sec_ix, string_agg(line, chr(10) ORDER BY i) AS text FROM l GROUP BY ALL)"""
 Q05 = rf"""WITH {_SECTIONS},
 p AS (SELECT s.doc_id, s.sec_ix, a.sec_ix AS a_ix, a.heading FROM s JOIN s a ON a.doc_id = s.doc_id AND a.sec_ix < s.sec_ix AND a.level < s.level
  WHERE NOT EXISTS (SELECT 1 FROM s m WHERE m.doc_id = s.doc_id AND m.sec_ix > a.sec_ix AND m.sec_ix < s.sec_ix AND m.level <= a.level)),
@@ -146,7 +143,7 @@ SELECT sha256(string_agg(part, chr(10) ORDER BY b)) AS fingerprint, CAST(sum(n)
 
 
 def q37_section_chunks(spark, sf_dir):
-    c = chunking.chunk_documents(headed(docs_of(spark, sf_dir), whole=True), 128, 16)
+    c = chunking.chunk_documents(headed(docs_of(spark, sf_dir)), 128, 16)
     return c.select("doc_id", "ordinal", "chunk_id", F.array_join("heading_path", " > ").alias("path"), "token_count", sha(F.col("text")).alias("text_sha256"))
 
 
@@ -158,7 +155,7 @@ def q41_clean(spark, sf_dir):
 Q41 = rf"""WITH {_SECTIONS},
 u AS (SELECT doc_id, sec_ix, level, heading, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\([\[\]\$\*])', '\1', 'g'), '[ \t]+(\n|$)', '\1', 'g'), '^\s+|\s+$', '', 'g') AS t FROM s LEFT JOIN t USING (doc_id, sec_ix)),
 g AS (SELECT doc_id, string_agg(repeat('#', level) || ' ' || heading || CASE WHEN regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g') = '' THEN '' ELSE chr(10) || chr(10) || regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g') END, chr(10) || chr(10) ORDER BY sec_ix) AS c FROM u GROUP BY doc_id),
-n AS (SELECT doc_id, len(regexp_extract_all(text, '\\[\[\]\$\*]')) AS e FROM documents)
+n AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(line, '\\[\[\]\$\*]')) + CASE WHEN i % 3 = 0 THEN len(regexp_extract_all(substr(line, 1, 24), '\\[\[\]\$\*]')) ELSE 0 END) AS BIGINT) AS e FROM l GROUP BY doc_id)
 SELECT doc_id, CAST(0 AS BIGINT) AS sections_dropped, e AS escapes_fixed, length(regexp_replace(c, '^\s+|\s+$', '', 'g')) + 1 AS cleaned_chars FROM g JOIN n USING (doc_id)"""
 
 QUERIES = {f.__name__: f for f in (q01_profile, q02_redaction, q03_language_hint, q04_plain_text_parts, q05_sections, q06_word_windows, q07_overlap, q08_text_reuse, q34_fingerprints, q37_section_chunks, q41_clean)}
