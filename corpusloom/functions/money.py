@@ -49,6 +49,11 @@ def input_upper_bound(messages_json: Column) -> Column:
     return F.octet_length(messages_json) + 1024
 
 
+def forecast(model: str, messages_json: Column, max_tokens: Column, attempts: Column | int = 1) -> Column:
+    """Upper bound of what a call can cost: nothing cached, every token of the limit, at peak, as often as it may be tried. Sum it over the calls."""
+    return price(model, input_upper_bound(messages_json).cast("long"), max_tokens, F.lit(0)) * (attempts if isinstance(attempts, Column) else F.lit(attempts))
+
+
 def retry_class(status: Column, finish: Column) -> Column:
     """What a call's outcome leads to: by HTTP status (null: none came) and finish reason."""
     return (

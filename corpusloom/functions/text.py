@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: Code point ranges, phrases and patterns that results depend on.
 CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{FF00}-\x{FFEF}\x{3000}-\x{303F}]"
@@ -125,6 +126,25 @@ def redact_map(m: Column) -> Column:
     return F.transform_values(m, lambda k, v: F.when(F.translate(F.lower(k), "-", "_").isin(*SECRET_KEYS), "[REDACTED]").otherwise(redact(v)))
 
 
+def redact_payload(c: Column, kind: DataType) -> Column:
+    """A value of any type with its strings redacted and the values of secret keys replaced, however deep; types and field names stay.
+
+    A secret field that is no string becomes null.
+    """
+    secret = lambda name: F.translate(F.lower(name), "-", "_").isin(*SECRET_KEYS)
+    hide = lambda t: F.lit("[REDACTED]" if isinstance(t, StringType) else None).cast(t)
+    if isinstance(kind, StringType):
+        return redact(c)
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: redact_payload(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(c, lambda k, v: F.when(secret(k), hide(kind.valueType)).otherwise(redact_payload(v, kind.valueType)) if isinstance(kind.keyType, StringType) else redact_payload(v, kind.valueType))
+    if isinstance(kind, StructType):
+        field = lambda f: hide(f.dataType) if f.name.lower().replace("-", "_") in SECRET_KEYS else redact_payload(c.getField(f.name), f.dataType)
+        return F.when(c.isNotNull(), F.struct(*[field(f).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def language_hint(c: Column) -> Column:
     """The language to answer in, from counts of CJK and of ASCII letters."""
     cjk, latin = F.regexp_count(c, F.lit(CJK_HINT)), F.regexp_count(c, F.lit("[A-Za-z]"))

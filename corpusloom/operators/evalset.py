@@ -69,3 +69,33 @@ def reusable(before: DataFrame, after: DataFrame, key: str = "question_id") -> D
     """Generations that hold for a later release: the same messages and the same request hash."""
     now = after.select(key, F.sha2(F.col("messages").cast("binary"), 256).alias("_m"), F.col("request_hash").alias("_h"))
     return before.join(now, key).where((F.sha2(F.col("messages").cast("binary"), 256) == F.col("_m")) & (F.col("request_hash") == F.col("_h"))).select(*before.columns)
+
+
+def document_format(docs: Column) -> Column:
+    """Format of the first of an item's documents."""
+    return F.coalesce(F.get(docs, 0)["format"], F.lit("unknown"))
+
+
+def distinct_inputs(verdicts: DataFrame, *columns: str, by: list[str] | None = None) -> DataFrame:
+    """Exact number of different inputs: a hash of the columns, length and null of each kept apart, is counted once."""
+    whole = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+    return verdicts.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.count_distinct(whole).alias("distinct_inputs"))
+
+
+def changed_rows(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of two versions side by side by their place (such as split and ordinal): (key, before_sha256, after_sha256, changed_fields).
+
+    Only rows that differ are returned; a place that one version lacks differs in all fields and has a null hash there.
+    """
+    fields = sorted((set(before.columns) | set(after.columns)) - set(key))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        values = [F.to_json(F.struct(F.col(c).alias("v"))) if c in df.columns else F.lit(None).cast("string") for c in fields]
+        whole = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(set(df.columns) - set(key))]), {"ignoreNullFields": "false"}).cast("binary"), 256)
+        return df.select(*key, F.array(*values).alias(f"_{name}"), whole.alias(f"{name}_sha256"))
+
+    both = side(before, "before").join(side(after, "after"), key, "full")
+    value = lambda name, i: F.get(F.col(f"_{name}"), i)
+    missing = F.col("before_sha256").isNull() | F.col("after_sha256").isNull()
+    named = F.array_compact(F.array(*[F.when(missing | ~value("before", i).eqNullSafe(value("after", i)), F.lit(c)) for i, c in enumerate(fields)]))
+    return both.select(*key, "before_sha256", "after_sha256", named.alias("changed_fields")).where(F.size("changed_fields") > 0)

@@ -26,17 +26,44 @@ def spending(got: DataFrame, by: list[str] | None = None) -> DataFrame:
 def admit(calls: DataFrame, key: str, cap: float) -> DataFrame:
     """``calls(key, ordinal, amount)`` in order with ``admitted`` and the spending after each; rejected calls cost nothing.
 
-    Later decisions depend on earlier ones, so each key's calls are one fold over its sorted array.
+    Later decisions depend on earlier ones, so a key's calls are sorted within its partition and folded as they stream by: what
+    is held is one sum, whatever the length of a key's history. A call without an amount is neither admitted nor rejected.
     """
-    listed = calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "amount"))).alias("calls"))
-    start = F.expr("named_struct('spent', 0.0D, 'out', CAST(array() AS array<struct<ordinal:bigint,amount:double,admitted:boolean,spent:double>>))")
-
-    def step(a: Column, c: Column) -> Column:
-        fits = a["spent"] + c["amount"] <= F.lit(cap + TOLERANCE)
-        spent = F.when(fits, a["spent"] + c["amount"]).otherwise(a["spent"])
-        return F.struct(spent.alias("spent"), F.concat(a["out"], F.array(F.struct(c["ordinal"].cast("long").alias("ordinal"), c["amount"].alias("amount"), fits.alias("admitted"), spent.alias("spent")))).alias("out"))
-
-    return listed.select(key, F.inline(F.aggregate("calls", start, step, lambda a: a["out"])))
+    kind = calls.schema[key].dataType.simpleString()
+    ordered = calls.select(F.col(key), F.col("ordinal").cast("long").alias("ordinal"), F.col("amount").cast("double").alias("amount")).repartition(key).sortWithinPartitions(key, "ordinal", F.col("amount").asc_nulls_last())
+
+    def run(batches):
+        import pyarrow as pa
+
+        owner, spent = None, 0.0
+        for batch in batches:
+            keys, amounts = batch.column(0), batch.column(2).to_pylist()
+            fits, sums = [], []
+            for k, amount in zip(keys.to_pylist(), amounts, strict=True):
+                if (k,) != owner:
+                    owner, spent = (k,), 0.0
+                fit = None if amount is None else spent + amount <= cap + TOLERANCE
+                spent += amount if fit else 0.0
+                fits.append(fit)
+                sums.append(spent)
+            yield pa.RecordBatch.from_arrays([keys, batch.column(1), batch.column(2), pa.array(fits, pa.bool_()), pa.array(sums, pa.float64())], names=[key, "ordinal", "amount", "admitted", "spent"])
+
+    return ordered.mapInArrow(run, f"`{key}` {kind}, ordinal long, amount double, admitted boolean, spent double")
+
+
+def stage_latencies(marks: dict[str, Column]) -> list[Column]:
+    """Milliseconds from each mark to the next, named after the later one, and ``total_ms``; marks are timestamps in order."""
+    names = list(marks)
+    ms = lambda a, b: F.unix_micros(marks[b].cast("timestamp")) / 1000 - F.unix_micros(marks[a].cast("timestamp")) / 1000
+    return [*(ms(a, b).alias(f"{b}_ms") for a, b in zip(names, names[1:], strict=False)), ms(names[0], names[-1]).alias("total_ms")]
+
+
+def acceptance(turns: DataFrame, load: DataFrame, limit_s: float = 10) -> DataFrame:
+    """One row over ``turns(session_id, http_status, status)`` and ``load(http_status, wall_seconds)``: what succeeded, and how fast."""
+    good = F.col("http_status") == 200
+    spoken = turns.agg(F.count("*").alias("turns"), F.count_if(good & (F.col("status") == "ok")).alias("turns_ok"), F.count_distinct("session_id").alias("sessions"))
+    served = load.agg(F.count("*").alias("requests"), F.count_if(good).alias("http_200"), F.count_if(good & (F.col("wall_seconds") <= limit_s)).alias("within_limit"), F.max("wall_seconds").alias("max_seconds"))
+    return spoken.join(served)  # one row each
 
 
 def service_level(requests: DataFrame, planned: Column, by: list[str], limit_ms: float = 10_000) -> DataFrame:

@@ -102,6 +102,12 @@ def completeness(plan: DataFrame, done: DataFrame, keys: list[str]) -> dict[str,
     return {"pending": plan.join(done, keys, "left_anti"), "unplanned": done.join(plan, keys, "left_anti")}
 
 
+def next_tasks(plan: DataFrame, done: DataFrame, keys: list[str], order: str, limit: int) -> DataFrame:
+    """The first ``limit`` planned tasks in ``order`` that are not done, each with ``planned``, the number of all: reports divide by that."""
+    total = plan.agg(F.count("*").alias("planned"))
+    return plan.join(done.select(*keys), keys, "left_anti").orderBy(order, *keys).limit(limit).join(F.broadcast(total))  # one row
+
+
 def export(plan: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
     """A row for every planned case, with status 'not_submitted' where there is no result."""
     return plan.join(results, keys, "left").withColumn("status", F.coalesce("status", F.lit("not_submitted")))

@@ -24,20 +24,28 @@ def release(df: DataFrame, path: str) -> None:
 
 
 def replace_changed(new: DataFrame, path: str, key: str, payload: list[str]) -> int:
-    """Write ``new`` beside the stored table only where it differs; returns the number of differing rows."""
+    """Write ``new`` beside the stored table only where it differs; returns the number of differing rows.
+
+    The stored table is moved aside before the new one takes its place and goes last, so at any moment one of them is whole; a call
+    that finds a table aside and none in place puts it back first.
+    """
     spark = new.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    jpath, staged, aside = at(path), at(path + ".next"), at(path + ".before")
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(jpath):
-        new.write.parquet(path)
-        return new.count()
+        if not fs.exists(aside):
+            new.write.parquet(path)
+            return new.count()
+        fs.rename(aside, jpath)
     old = spark.read.parquet(path)
     changed = new.count() if old.schema != new.schema else table_diff(old, new, key, payload).count()
     if changed:
-        staged = spark._jvm.org.apache.hadoop.fs.Path(path + ".next")
         new.write.mode("overwrite").parquet(path + ".next")
-        fs.delete(jpath, True)
+        fs.delete(aside, True)
+        fs.rename(jpath, aside)
         fs.rename(staged, jpath)
+        fs.delete(aside, True)
     return changed
 
 

@@ -55,9 +55,10 @@ def admitted_calls(calls: DataFrame, cap: float, tolerance: float = 1e-12) -> Da
 
 
 def first_requests(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Requests whose exact input has not come before within the watermark; failures are not cached and pass."""
+    """Requests whose exact input has not been answered before within the watermark; failures are not cached, so each of them passes."""
     hashed = requests.withColumn("request_hash", F.sha2(F.col("messages").cast("binary"), 256)).withWatermark("ts", delay)
-    return hashed.where("status = 'ok'").dropDuplicatesWithinWatermark(["request_hash"])
+    good = F.coalesce(F.col("status") == "ok", F.lit(False))
+    return hashed.where(good).dropDuplicatesWithinWatermark(["request_hash"]).unionByName(hashed.where(~good))
 
 
 def service_windows(requests: DataFrame, width: str = "1 day", delay: str = "1 hour", limit_ms: float = 10_000) -> DataFrame:
