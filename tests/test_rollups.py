@@ -89,6 +89,6 @@ def test_chunks_by_a_given_tokeniser():
     assert chunking.subtree_ends([0, 1, 2, 2, 1, 3]) == [6, 4, 3, 4, 6, 6]
     sections = [(0, None, "intro"), (1, "A", "a " * 30), (2, "B", "b " * 30), (3, "C", "c"), (2, "D", ""), (1, "E", "e")]
     got = list(chunking.section_chunks(sections, 20))
-    assert {tuple(p) for p, _ in got[:-2]} == {("A", "B")} and [p for p, _ in got[-2:]] == [["A", "D"], ["E"]] and got[-2][1] == "[A]\nD"
+    assert {tuple(p) for p, _ in got[:-2]} == {("A", "B", "C")} and [p for p, _ in got[-2:]] == [["A", "D"], ["E"]] and got[-2][1] == "[A]\nD"
     words = " ".join(t for _, t in got).split()
     assert words.count("a") == 30 and words.count("b") == 30 and "intro" in words and "c" in words
