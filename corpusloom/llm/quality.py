@@ -2,7 +2,7 @@
 
 The ledger holds each document's measurements and one bit for each rule it fails. A policy is a version's name and the
 mask of the bits that reject; ablations count documents by their bits (at most 2 to the number of rules groups) and work
-on the counts. Repeated three-word windows are found by sorting the windows' hashes within the document, so no row
+on the counts. The query returns the ledger itself, so what is stored serves later policies and ablations without a text. Repeated three-word windows are found by sorting the windows' hashes within the document, so no row
 leaves its task.
 
 Null or empty text: no words, so it fails the rule on length. Repeated rows each get a row, a null doc_id stays null,
@@ -95,7 +95,7 @@ def ablations(entries: DataFrame, version: str = "v1") -> DataFrame:
 def query(docs: DataFrame) -> DataFrame:
     judged = apply_policy(ledger(docs))
     failed = F.col("failures").bitwiseAND(F.lit(mask(POLICIES["v0"]))) != 0
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "n_lines", "n_upper", "failures")
 
 
 #: Policy v1 for DuckDB.
@@ -111,7 +111,6 @@ m AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x
       length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g')) AS n_upper, coalesce(n, 0) AS n_repeat_words
       FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
-  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 50 * n_lines
-       OR 100 * n_upper > 60 * word_chars OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
-FROM m"""
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failures & 3 <> 0 AS base_failed, failures = 0 AS kept, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_upper AS BIGINT) AS n_upper, failures
+FROM (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (100 * n_symbols > 10 * word_chars)::INT + 8 * (100 * n_dup_lines > 50 * n_lines)::INT
+      + 16 * (100 * n_upper > 60 * word_chars)::INT + 32 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT AS BIGINT) AS failures FROM m)"""

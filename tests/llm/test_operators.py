@@ -273,6 +273,14 @@ def test_policies_and_ablations(docs):
             assert cut[n] == (sum(bool(r.failures & bit) for r in rows), sum(r.failures & use == bit for r in rows))
 
 
+def test_stored_ledger_serves_policies(docs, tmp_path):
+    quality.query(docs).write.parquet(str(tmp_path / "ledger"))
+    stored = docs.sparkSession.read.parquet(str(tmp_path / "ledger"))
+    for version in quality.POLICIES:
+        assert sorted(quality.ablations(stored, version).collect()) == sorted(quality.ablations(quality.ledger(docs), version).collect())
+    assert stored.where("kept <> (failures = 0) OR base_failed <> (failures & 3 <> 0)").isEmpty()
+
+
 # --- 8, 9 ---------------------------------------------------------------------------------------------------------
 
 
