@@ -3,13 +3,16 @@
 Each window has a minimiser, the first least hash among its ``gram``-word runs; consecutive windows with one minimiser
 at one place form a super-k-mer. Equal windows have equal minimisers, so only super-k-mers whose minimiser occurs elsewhere can
 hold a repeated window: the others are told apart by counting minimisers and never travel. Of those left, equal
-super-k-mers (a group of copies has each thousands of times) are counted first, with partial sums; one of each kind
-travels, as one string of words, to the bucket of its minimiser, where sorting the windows counts them exactly. A
-minimiser with more than ``hot`` different super-k-mers deals out its windows one by one instead, each to the bucket
-of its own words. Words covered by a repeated window go; the texts are joined to the spans by a row key.
+super-k-mers, by a 128-bit cryptographic hash of their words, are found first: a group of copies has each of them
+thousands of times, so the members are dealt over DEALS parts, and one member of each part meets those of the others.
+One of each kind travels, as one string of words, to the bucket of its minimiser, where sorting the windows counts
+them exactly. A minimiser with more than ``hot`` different super-k-mers deals out its windows one by one instead, each
+to the bucket of its own words. Words covered by a repeated window go; the texts are joined to the spans by a row key.
 
 Null or empty text: no words. A text shorter than a window keeps all words. Repeated rows are documents of their own,
-so each makes the other's windows repeated. A null doc_id stays null. Further columns are ignored.
+so each makes the other's windows repeated; their spans, which are the same, are held once. Which of equal super-k-mers
+travels (least row key, then place) changes no result. A null doc_id stays null. An empty table gives an empty result.
+Further columns are ignored. A very long text is one row's work: time and memory grow with its length.
 """
 
 from __future__ import annotations
@@ -17,13 +20,16 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialise, row_key, rows
 
 WIDTH, GRAM, HOT = 35, 8, 2000
-_A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Parts that the members of a group of equal super-k-mers are dealt over.
+DEALS = 64
+_A = 0x9E3779B97F4A7C15
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -52,7 +58,7 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def super_kmers(words: list[bytes], width: int, gram: int):
-    """(first window, number of windows, minimiser, hash of all its words) of each super-k-mer, as arrays."""
+    """(first window, number of windows, minimiser, 128-bit hash of all its words) of each super-k-mer."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
@@ -61,16 +67,11 @@ def super_kmers(words: list[bytes], width: int, gram: int):
     at = _least(grams, width - gram + 1)
     cut = np.flatnonzero(at[1:] != at[:-1]) + 1
     start, end = np.r_[0, cut], np.r_[cut, len(at)]
-    # the hash of words s .. e: differences of prefix sums of word hashes, each weighted by its place from s
-    power = np.full(len(h) + 1, _B, np.uint64)
-    power[0] = 1
-    power = np.multiply.accumulate(power)
-    prefix = np.r_[np.uint64(0), np.add.accumulate(_mix(h) * power[:-1])]
-    inverse = np.full(len(h) + 1, pow(_B, -1, 1 << 64), np.uint64)
-    inverse[0] = 1
-    inverse = np.multiply.accumulate(inverse)
-    whole = _mix((prefix[end + width - 1] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
-    return start, end - start, grams[at[start]], whole
+    # words s .. e, joined, are a slice of all words, joined
+    joined, place = b" ".join(words), np.cumsum([0, *(len(w) + 1 for w in words)])
+    slices = zip(place[start].tolist(), (place[end + width - 1] - 1).tolist(), strict=True)
+    whole = [hashlib.blake2b(joined[i:j], digest_size=16).digest() for i, j in slices]
+    return start.tolist(), (end - start).tolist(), grams[at[start]].view(np.int64).tolist(), whole
 
 
 def repeated_windows(strings: list[bytes], width: int) -> list[list[int]]:
@@ -90,24 +91,29 @@ def repeated_windows(strings: list[bytes], width: int) -> list[list[int]]:
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """``docs(doc_id, text)`` with a row key, and (key, start, n): n windows from word ``start`` that are repeated."""
     keyed = docs.select("doc_id", "text", row_key().alias("key"))
-    signed = lambda x: x.view(np.int64).tolist()
 
     def cut(batches):
+        dealt = TaskContext.get().partitionId()
         for key, text in rows(batches, "key", "text"):
             words = (text or "").encode("utf-8", "replace").split()
             if len(words) >= width:
-                start, n, mini, whole = super_kmers(words, width, gram)
-                for t in zip(start.tolist(), n.tolist(), signed(mini), signed(whole), strict=True):
-                    yield key, *t
+                for t in zip(*super_kmers(words, width, gram), strict=True):
+                    yield key, *t, dealt % DEALS
+                dealt += 1
 
-    cuts = materialise(map_rows(keyed.select("key", "text"), cut, "key binary, start int, n int, mini long, whole long", 16384), "superkmers")
+    cuts = materialise(map_rows(keyed.select("key", "text"), cut, "key binary, start int, n int, mini long, whole binary, deal int", 16384), "superkmers")
     # counts are written before they are joined, so that the join can split a minimiser with many rows
     again = materialise(cuts.groupBy("mini").count().where("count > 1").select("mini"), "again")
-    left = materialise(cuts.join(again, "mini"), "repeated")
-    kinds = left.groupBy("mini", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("key", "start", "n")).alias("one"))
-    kinds = materialise(kinds.select("mini", "whole", "copies", "one.*"), "kinds")
+    part = Window.partitionBy("whole", "deal").orderBy("key", "start")
+    dealt = cuts.join(again, "mini").select("key", "start", "n", "mini", "whole", F.row_number().over(part).alias("nth"), F.lead(F.lit(1)).over(part).isNotNull().alias("copied"))
+    dealt = materialise(dealt, "dealt")
+    # the first of each part: at most DEALS of a kind
+    kind = Window.partitionBy("whole").orderBy("key", "start")
+    met = dealt.where("nth = 1").withColumn("nth", F.row_number().over(kind)).withColumn("copied", F.col("copied") | (F.col("nth") > 1) | F.lead(F.lit(1)).over(kind).isNotNull())
+    met = materialise(met.drop("whole"), "met")
     # equal super-k-mers that occur twice: every window of theirs is repeated
-    copied = left.join(kinds.where("copies > 1").select("mini", "whole"), ["mini", "whole"], "left_semi").select("key", "start", "n")
+    copied = dealt.where("nth > 1").select("key", "start", "n").unionByName(met.where("copied").select("key", "start", "n"))
+    kinds = met.where("nth = 1").select("key", "start", "n", "mini")
     # different super-k-mers of one minimiser: one of each travels
     several = materialise(kinds.groupBy("mini").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     sent = kinds.join(several, "mini").groupBy("key").agg(F.collect_list(F.struct("start", "n", "mini", (F.col("kinds") > hot).alias("split"))).alias("parts"))
@@ -127,7 +133,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
     packed = materialise(packed, "packed")
 
     def count(batches):
-        bucket, held = None, []
+        bucket, held, last = None, [], None
 
         def done():
             if len(held) > 1:
@@ -139,10 +145,12 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: i
             if mini != bucket:
                 yield from done()
                 bucket, held = mini, []
-            held.append((key, start, words))
+            if (mini, key, start) != last:  # a repeated row sends its strings again
+                held.append((key, start, words))
+            last = mini, key, start
         yield from done()
 
-    buckets = packed.where("mini IS NOT NULL").repartition("mini").sortWithinPartitions("mini")
+    buckets = packed.where("mini IS NOT NULL").repartition("mini").sortWithinPartitions("mini", "key", "start")
     counted = map_rows(buckets.select("mini", "key", "start", "words"), count, "key binary, start int, n int")
     alone = packed.where("mini IS NULL").select("key", "start", F.sha2("words", 256).alias("window"))
     twice = materialise(alone.groupBy("window").count().where("count > 1").select("window"), "twice")
@@ -161,7 +169,7 @@ def covered(spans: list[tuple[int, int]], n_words: int, width: int) -> np.ndarra
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): the text that is left, words joined by one space."""
     keyed, spans = repeated_spans(docs, width, gram, hot)
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    spans = materialise(spans.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("spans")), "spans")
 
     def make(batches):
         for doc_id, text, spans in rows(batches, "doc_id", "text", "spans"):

@@ -299,6 +299,21 @@ def test_repeated_rows_are_documents(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 50), (1, 50), (2, 0)]
 
 
+@pytest.mark.parametrize("deals", [1, 2, 64])
+def test_large_groups_of_copies_are_dealt(spark, monkeypatch, deals):
+    monkeypatch.setattr(substring_dedup, "DEALS", deals)
+    passage = [f"p{i}" for i in range(45)]
+    texts = [" ".join([f"a{n}{i}" for i in range(n % 3 * 20)] + passage + [f"z{n}{i}" for i in range(n % 2 * 40)]) for n in range(150)]
+    texts += [texts[0]] * 50 + [" ".join(f"u{i}" for i in range(60)), "", None]
+    want = substring_dedup.brute_force(texts)
+    # some copies have one id, so that whole rows are repeated
+    ids = [min(i, 170) if 150 <= i < 200 else i for i in range(len(texts))]
+    got = substring_dedup.query(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(7)).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, *w) for i, w in zip(ids, want, strict=True))
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert substring_dedup.query(empty).isEmpty()
+
+
 @pytest.mark.parametrize("hot", [1, 20_000])
 def test_simhash_components(spark, hot):
     import random
