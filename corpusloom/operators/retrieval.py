@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 #: Queries that are broadcast to the passages at most (a few hundred MB of vectors); more go in blocks.
 QUERY_BLOCK = 20_000
 
@@ -40,8 +42,9 @@ def is_valid(v: Column, dim: int) -> Column:
 def dense_top_k(queries: DataFrame, passages: DataFrame, k: int, places: int = 12) -> DataFrame:
     """(qid, id, score, rank) of the k passages nearest to each query; ties by id, scores to ``places`` decimals.
 
-    ``queries(qid, v)`` is a stated set: it is counted, and sent to the passages in blocks of at most QUERY_BLOCK, so
-    neither side is collected. Each passage task keeps its own best k of each query before the shuffle by query.
+    ``queries(qid, v)`` is a stated set. Its vectors go through the driver to the passages in blocks of about QUERY_BLOCK;
+    where there are several blocks, each one's result is written and its broadcast released before the next. The passages
+    stay where they are: each task keeps its own best k of each query before the shuffle by query.
     """
     import pandas as pd
 
@@ -75,30 +78,49 @@ def dense_top_k(queries: DataFrame, passages: DataFrame, k: int, places: int = 1
                 yield pd.DataFrame({"qid": np.repeat(np.array(qids), best_s.shape[1]), "id": best_i.ravel(), "score": best_s.ravel()})
 
         found = passages.select(F.col("id").cast("long").alias("id"), "v").mapInPandas(run, "qid long, id long, score double")
-        out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+        best = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        if blocks > 1:
+            best = written(best, "nearest")
+            sent.unpersist()
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+#: Query terms (term, query) that are broadcast to the passages at most, about 100 MB; more are joined by shuffle.
+ASKED_ROWS = 2_000_000
 
 
-def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+def bm25_top_k(queries: DataFrame, docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25, asked_rows: int = ASKED_ROWS) -> DataFrame:
     """(qid, doc_id, score, rank) by BM25 over ``docs(doc_id, tokens)`` for ``queries(qid, tokens)``; ties by doc_id.
 
-    Negative inverse frequencies become ``floor`` times their mean over all terms, as in the common Okapi variant. Only
-    postings of query terms are joined; the statistics come from grouped counts.
+    Negative inverse frequencies become ``floor`` times their mean over all terms, as in the common Okapi variant. One
+    pass gathers all statistics. In the other the passages are dealt by id: counting their terms, scoring them and
+    choosing each task's best k of each query need no further exchange, so that a frequent term is spread over all tasks
+    and only chosen rows travel to their query. The weighed terms of the queries are broadcast while there are at most
+    ``asked_rows`` of them, and joined by shuffle beyond. Null terms count for a passage's length only.
     """
-    sized = docs.select("doc_id", "tokens", F.size("tokens").alias("n"))
-    n_docs, mean = sized.agg(F.count("*")).scalar(), sized.agg(F.avg("n")).scalar()
+    # each passage has one row of no term, which counts it and its words; explode_outer, as explode tests the array first and so makes it twice
+    terms = F.array_distinct(F.concat(F.coalesce("tokens", F.array().cast("array<string>")), F.array(F.lit(None).cast("string"))))
+    whole = F.col("term").isNull()
+    seen = docs.select(F.size("tokens").alias("n"), F.explode_outer(terms).alias("term"))
+    counts = seen.groupBy("term").agg(F.count("*").alias("df"), F.avg(F.when(whole, F.col("n"))).alias("mean"))
+    counts = written(counts, "terms")
+    table = counts.where(whole).first()
+    n_docs, mean = (table.df, table["mean"] or 1.0) if table else (0, 1.0)
+    idf = F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    low = (counts.where(~whole).agg(F.avg(idf)).first()[0] or 0.0) * floor
     asked = queries.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    df = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.select("term", (F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
-    terms = raw.join(asked.select("term").distinct(), "term").withColumn("idf", F.when(F.col("idf") < 0, raw.agg(F.avg("idf")).scalar() * floor).otherwise(F.col("idf")))
-    # only postings of words that are asked for are counted
-    tf = sized.select("doc_id", "n", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
-    hits = asked.join(terms, "term").join(tf, "term")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / mean))
-    scored = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    weighed = asked.join(counts.where(~whole).select("term", idf.alias("idf")), "term")
+    weighed = written(weighed.select("term", "qid", (F.col("qtf") * F.when(F.col("idf") < 0, low).otherwise(F.col("idf"))).alias("weight")), "asked")
+    spread = F.broadcast if weighed.count() <= asked_rows else (lambda d: d)
+    dealt = docs.select("doc_id", "tokens", F.size("tokens").alias("n")).repartition("doc_id")
+    found = dealt.select("doc_id", "n", F.explode_outer("tokens").alias("term")).join(spread(weighed.select("term").distinct()), "term", "left_semi")
+    tf = found.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / mean))
+    scored = tf.join(spread(weighed), "term").groupBy("doc_id", "qid").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.select("qid", "doc_id", "score").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def fuse(rankings: list[tuple[DataFrame, float]], k: int, constant: int = 60) -> DataFrame:

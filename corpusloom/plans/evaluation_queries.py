@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import money
 from ..functions import text as T
 from ..operators import answers, integrity, judging, ledger, sampling
+from ..sources.tables import shared_folder
 from ..streaming import state
 
 
@@ -223,16 +222,9 @@ def stream_of(spark, sf_dir, name) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
-def stream_folder(spark) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/corpusloom-shared"
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def q43_stream_service_windows(spark, sf_dir):
     e = stream_of(spark, sf_dir, "events").select("ts", (F.col("event_id") % 9 != 0).alias("ok"), (F.col("value") * 100).alias("ms"))
-    at = stream_folder(spark)
+    at = shared_folder(spark, "stream")
     return state.run_available(state.service_windows(e), f"{at}/table", f"{at}/checkpoint", "complete")
 
 
@@ -241,7 +233,7 @@ Q43 = "SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, count(*) F
 
 def q44_stream_admission(spark, sf_dir):
     c = stream_of(spark, sf_dir, "events").select(F.col("user_id").alias("account"), F.col("ts"), F.col("event_id").alias("call_id"), F.col("value").alias("amount"))
-    at = stream_folder(spark)
+    at = shared_folder(spark, "stream")
     return state.run_available(state.admitted_calls(c, 500.0), f"{at}/table", f"{at}/checkpoint").select("account", "call_id", "admitted", F.round("spent", 6).alias("spent"))
 
 
@@ -251,7 +243,7 @@ Q44 = Q27.replace("SELECT user_id, event_id AS ordinal, admitted", "SELECT user_
 def q45_stream_sessions(spark, sf_dir):
     t = stream_of(spark, sf_dir, "conversations").where("role = 'user'")
     s = t.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ts"), F.col("text").alias("question"), F.lit("ok").alias("answer"), (F.col("turn") % 3 != 2).alias("ok"), F.lit(False).alias("reset"))
-    at = stream_folder(spark)
+    at = shared_folder(spark, "stream")
     return state.run_available(state.session_turns(s), f"{at}/table", f"{at}/checkpoint").select("session_id", "turn_id", "ok", F.sha2(F.col("history").cast("binary"), 256).alias("history_sha256"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import answers, evidence, integrity, judging, retrieval, sampling
+from ..sources.tables import written
 
 #: The queries: every row whose id is divisible by 20.
 EVERY = 20
@@ -79,6 +80,7 @@ Q20 = f"WITH {_BM25.format(k=10)} SELECT qid, doc_id, score, rank FROM b"
 
 def reranked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     top, asked, docs = lexical(spark, sf_dir, retrieval.POOL)
+    top = written(top, "pool")
     pairs = top.select("qid", "doc_id", "rank").join(asked.select("qid", F.col("tokens").alias("query")), "qid").join(docs, "doc_id").withColumnRenamed("doc_id", "id")
     return top, retrieval.window_rerank(pairs, 5)
 

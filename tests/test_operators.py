@@ -57,6 +57,37 @@ def test_blocks_and_coverage(spark):
     assert got == {"q": (0, 0.0, 0, 0.0, 5, 1), "r": (1, 1.0, 1, 0.0, 12, 2), "s": (0, 0.0, 0, 0.0, 0, 0)}
 
 
+def test_blocks_of_queries_change_nothing(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float((i * j) % 7 + 1) for j in range(1, 4)]) for i in range(40)], "id long, v array<float>")
+    q = v.where("id % 4 = 0").select(F.col("id").alias("qid"), "v")
+    want = sorted(retrieval.dense_top_k(q, v, 3).collect())
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    assert sorted(retrieval.dense_top_k(q, v, 3).collect()) == want and len(want) == 30
+
+
+def test_bm25(spark):
+    import math
+
+    texts = {0: "a b c a", 1: "a b", 2: "c d e", 3: "", 4: "a a a f"}
+    docs = spark.createDataFrame([(i, t.split()) for i, t in texts.items()] + [(5, [None, "a"]), (6, None)], "doc_id long, tokens array<string>").repartition(3)
+    asked = spark.createDataFrame([(1, ["c", "c", "f"]), (2, ["a"]), (3, ["zz"]), (4, [])], "qid long, tokens array<string>")
+    words = {**{i: t.split() for i, t in texts.items()}, 5: [None, "a"]}
+    n, mean = 7, sum(map(len, words.values())) / 6
+    df = {t: sum(t in w for w in words.values()) for t in "abcdef"}
+    idf = {t: math.log(n - c + 0.5) - math.log(c + 0.5) for t, c in df.items()}
+    idf = {t: x if x >= 0 else 0.25 * sum(idf.values()) / len(idf) for t, x in idf.items()}
+    want = {}
+    for qid, terms in ((1, ["c", "c", "f"]), (2, ["a"])):
+        for d, w in words.items():
+            score = sum(idf[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in terms)
+            if score > 0:
+                want[qid, d] = round(score, 6)
+    for asked_rows in (0, 1000):
+        got = {(r.qid, r.doc_id): r.score for r in retrieval.bm25_top_k(asked, docs, 10, asked_rows=asked_rows).collect()}
+        assert got == pytest.approx(want)
+    assert retrieval.bm25_top_k(asked, docs.where("doc_id < 0"), 10).isEmpty()
+
+
 def test_ranking(spark):
     v = spark.createDataFrame([(i, [float(x) for x in xs]) for i, xs in enumerate([(1, 0), (0, 1), (2, 0), (1, 1)])], "id long, v array<float>")
     q = v.where("id = 0").select(F.col("id").alias("qid"), "v")
