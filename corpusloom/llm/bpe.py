@@ -5,7 +5,8 @@ least entry merges the two symbols unless the entry is stale (one of them has me
 new neighbours are queued. Decoding concatenates the vocabulary's strings. The vocabulary file is a tokenizers JSON and
 its path a parameter; the driver reads it and broadcasts it (a vocabulary of fixed size, 1.6 MB).
 
-Null or empty text: no ids and an empty decoded text. Repeated rows each get a row. Further columns are ignored. A special
+Null or empty text: no ids and an empty decoded text. Pairs of equal rank merge from the left. Repeated rows each get a row; an
+empty table gives an empty one. Very long texts are read whole; a very long piece costs n log n. Further columns are ignored. A special
 token's string in a text becomes its id, as the tokenizers library does by default.
 """
 

@@ -2,10 +2,11 @@
 
 The ledger holds each document's measurements and one bit for each rule it fails. A policy is a version's name and the
 mask of the bits that reject; ablations count documents by their bits (at most 2 to the number of rules groups) and work
-on the counts. The query returns the ledger itself, so what is stored serves later policies and ablations without a text. Repeated three-word windows are found by sorting the windows' hashes within the document, so no row
-leaves its task.
+on the counts. The query returns the ledger itself, so what is stored serves later policies and ablations without a text.
+Repeated three-word windows are found by sorting the windows' hashes within the document, so no row leaves its task.
 
-Null or empty text: no words, so it fails the rule on length. Repeated rows each get a row, a null doc_id stays null,
+Null or empty text: no words, so it fails the rule on length. Very long texts are measured whole. A measurement equal to its
+limit does not fail. Repeated rows each get a row, a null doc_id stays null, an empty table gives an empty one,
 further columns are ignored.
 """
 

@@ -10,7 +10,9 @@ reporting, it is a quotation; otherwise abuse. A logistic model weighs exact, in
 log(1 + number), and their share of the text.
 
 Null or empty text: no match, and so the score of a text without one. Null doc_id: a training row that no label joins.
-Repeated rows each get a row. Without labels of both kinds the score is the share of toxic labels. Further columns are ignored.
+Repeated rows each get a row. Without labels of both kinds the score is the share of toxic labels. Entries of equal strength are
+taken in the order of their letters, words before beginnings. Very long texts are read whole, in linear time. An empty table
+gives an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -139,9 +141,9 @@ def features(text: str | None, matcher: Matcher, cache: dict[str, int], window:
 def learn_lexicon(rows_: DataFrame, share: float, n_rows: int) -> tuple[set[str], set[str]]:
     """Words and stems from ``rows_(text, toxic)``, whose toxic share is ``share``."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[\P{L}]+"), lambda w: F.length(w) >= 3))
-    # near copies would lend their common words false weight: one row for each least hash of the longer words
+    # near copies would lend their common words false weight: one row for each least hash of the longer words, always the same one
     near = F.coalesce(F.array_min(F.transform(F.filter(words, lambda w: F.length(w) >= 8), lambda w: F.xxhash64(w))), F.xxhash64("text"))
-    marked = rows_.select("toxic", words.alias("w"), near.alias("near")).dropDuplicates(["toxic", "near"])
+    marked = rows_.select("toxic", words.alias("w"), near.alias("near")).groupBy("toxic", "near").agg(F.min("w").alias("w"))
 
     def stems_of(n: int):
         cut = F.transform(F.filter("w", lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n))
@@ -151,7 +153,7 @@ def learn_lexicon(rows_: DataFrame, share: float, n_rows: int) -> tuple[set[str]
     counted = marked.select("toxic", F.explode(forms).alias("f")).groupBy("f.stem", "f.t").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
     # if toxic rows were dealt by chance, a of n with this share has a probability below share ** a times n over a; ask for less than one in all terms
     need = max(3, math.ceil(math.log(max(100, 50 * n_rows)) / -math.log(max(share, 1e-6)))) if share < 0.5 else 8
-    strong = counted.where((F.col("a") >= need) & (F.col("a") >= 0.9 * F.col("n"))).orderBy(F.desc("a"), "t").limit(ENTRIES).collect()
+    strong = counted.where((F.col("a") >= need) & (F.col("a") >= 0.9 * F.col("n"))).orderBy(F.desc("a"), "t", "stem").limit(ENTRIES).collect()
     words = {r.t for r in strong if not r.stem}
     stems: set[str] = set()
     for r in sorted((r for r in strong if r.stem), key=lambda r: len(r.t)):
