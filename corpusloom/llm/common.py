@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, in Java's, Python's and RE2's syntax. ``bytes.split()`` splits at the same six characters.
@@ -19,8 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a local one only where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/corpusloom-shared"
+    """The folder that driver and executors share, as the session names it. Without one, a local session uses its own; a cluster has none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or f"file://{tempfile.gettempdir()}/corpusloom-shared"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -82,6 +85,22 @@ def map_rows(df: DataFrame, make, out: str, size: int = 4096) -> DataFrame:
     return df.mapInArrow(run, kind)
 
 
+def numbered(df: DataFrame, within: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with ``idx``, each row's place from 0 in ``order`` among those of equal ``within``, and ``n``, their number.
+
+    Rows are dealt by ranges of ``within`` and ``order`` (equal rows too), numbered where they lie, and moved by what the ranges
+    before them hold: a count for each range and value of ``within``. ``df`` is read twice and should be a written table.
+    """
+    keys = [within, *order]
+    spread = df.withColumn("_salt", F.monotonically_increasing_id()).repartitionByRange(*keys, "_salt").sortWithinPartitions(*keys, "_salt").drop("_salt")
+    placed = materialise(spread.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_at")), name)
+    w = Window.partitionBy(within)
+    spans = placed.groupBy("_part", within).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = spans.select("_part", within, (before - F.col("_first")).alias("_shift"), F.sum("_n").over(w).alias("n"))
+    return placed.join(starts, ["_part", within]).withColumn("idx", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
+
+
 def row_key() -> Column:
     """128 bits that stand for a row's ``doc_id`` and ``text``, so that what is found in a text finds its row again; missing and empty text are one."""
     return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))).cast("binary")))
