@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, lattice_lm, pii, quality, secrets, simhash, substring_dedup, toxicity
+from . import bpe, collocations, decontaminate, html_extract, lattice_lm, merkle, pii, quality, quality_trees, secrets, simhash, substring_dedup, toxicity
 from .common import read
 
 
@@ -55,5 +55,17 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.query(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_html_extract, op4_decontaminate, op5_toxicity, op6_bpe, op7_quality_rules, op8_substring_dedup, op9_simhash, op10_lattice_lm)}
-ORACLES = {"op7_quality_rules": quality.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE}
+def op11_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.query(read(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.query(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_pii, op3_html_extract, op4_decontaminate, op5_toxicity, op6_bpe, op7_quality_rules, op8_substring_dedup, op9_simhash, op10_lattice_lm, op11_quality_trees, op12_merkle, op13_collocations)}
+ORACLES = {"op7_quality_rules": quality.ORACLE, "op8_substring_dedup": substring_dedup.ORACLE, "op12_merkle": merkle.ORACLE, "op13_collocations": collocations.ORACLE}
