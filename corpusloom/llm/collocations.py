@@ -28,7 +28,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of the dictionary that every task holds.
 HEAD = 500_000
 #: Words that a task sorts at once, keys of a range (a few times more may come), and ranges.
-BLOCK, RANGE, RANGES = 2_000_000, 1_000_000, 200_000
+BLOCK, RANGE, RANGES = 500_000, 1_000_000, 200_000
 _PLAIN = 32
 _SLICE = 1 << 20
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"." * 10 + b" ")
@@ -86,8 +86,8 @@ def dictionary(docs: DataFrame, least: int) -> DataFrame:
     return materialise(ids.join(totals, "lang").select("id", "lang", "word", "c", "n"), "dictionary")
 
 
-def encode(docs: DataFrame, words: DataFrame, head: int = HEAD) -> DataFrame:
-    """(ids): each document's words as 32-bit numbers, 0 for what breaks a phrase."""
+def encode(docs: DataFrame, words: DataFrame, head: int = HEAD):
+    """Each document's words as 32-bit numbers, 0 for what breaks a phrase: a table, and what makes arrays of numbers from its batches."""
     n_words = words.count()
     known: dict[str, dict[bytes, int]] = {}
     wire = F.when(F.octet_length("word") <= _PLAIN, F.col("word").cast("binary"))
@@ -108,12 +108,15 @@ def encode(docs: DataFrame, words: DataFrame, head: int = HEAD) -> DataFrame:
                     open_at += [(at + int(i), ws[i]) for i in np.flatnonzero(ids == 0) if ws[i] != b"."]
                 at += len(ids)
                 parts.append(ids)
-            ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            yield (ids.astype("<i4").tobytes(), lang, open_at) if more else (ids.astype("<i4").tobytes(),)
+            yield np.concatenate(parts) if parts else np.zeros(0, np.int32), lang, open_at
 
     if not more:
-        return map_rows(_texts(docs), make, "ids binary", 64)
-    first = materialise(map_rows(_texts(docs), make, "ids binary, lang string, open array<struct<at: int, w: binary>>", 64).withColumn("row", F.monotonically_increasing_id()), "coded")
+        return _texts(docs), lambda batches: (ids for ids, *_ in make(batches))
+
+    def keep(batches):
+        return ((ids.astype("<i4").tobytes(), *rest) for ids, *rest in make(batches))
+
+    first = materialise(map_rows(_texts(docs), keep, "ids binary, lang string, open array<struct<at: int, w: binary>>", 64).withColumn("row", F.monotonically_increasing_id()), "coded")
 
     def name(batches):
         for i, lang, word in rows(batches, "id", "lang", "word"):
@@ -124,13 +127,12 @@ def encode(docs: DataFrame, words: DataFrame, head: int = HEAD) -> DataFrame:
 
     def fill(batches):
         for ids, late in rows(batches, "ids", "found", size=64):
+            ids = np.frombuffer(ids, "<i4").copy()
             if late:
-                ids = np.frombuffer(ids, "<i4").copy()
                 ids[[f["at"] for f in late]] = [f["id"] for f in late]
-                ids = ids.tobytes()
-            yield (ids,)
+            yield ids
 
-    return map_rows(first.select("row", "ids").join(found, "row", "left").select("ids", "found"), fill, "ids binary", 64)
+    return first.select("row", "ids").join(found, "row", "left").select("ids", "found"), fill
 
 
 def pack(ids: np.ndarray, width: int) -> np.ndarray:
@@ -181,7 +183,7 @@ def _keys(a: np.ndarray, longest: int) -> np.ndarray:
     return out
 
 
-def sorted_runs(coded: DataFrame, width: int, longest: int, block: int = BLOCK) -> DataFrame:
+def sorted_runs(coded: DataFrame, arrays, width: int, longest: int, block: int = BLOCK) -> DataFrame:
     """(n, keys, counts): sorted distinct keys of a few documents, digit by digit, with their counts."""
 
     def run(parts):
@@ -190,8 +192,7 @@ def sorted_runs(coded: DataFrame, width: int, longest: int, block: int = BLOCK)
 
     def make(batches):
         held, size = [], 0
-        for (raw,) in rows(batches, "ids", size=64):
-            ids = np.frombuffer(raw, "<i4")
+        for ids in arrays(batches):
             for start in range(0, len(ids), block):
                 want = min(block, len(ids) - start) + longest - 1  # keys that begin in the block may end behind it
                 part = ids[start : start + want]
@@ -213,11 +214,11 @@ def _as_text(digits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(digits.T).astype(">u2").view(f"S{2 * digits.shape[0]}").ravel()
 
 
-def count_phrases(coded: DataFrame, n_words: int, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK, per_range: int = RANGE) -> DataFrame:
+def count_phrases(coded: DataFrame, arrays, n_words: int, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK, per_range: int = RANGE) -> DataFrame:
     """(phrase, f): the numbers of two to ``longest`` words that occur together ``f`` times, ``least`` or more."""
     width = max(2, (max(1, n_words).bit_length() + 7) // 8)
     n_digits = -(-longest * width // 2)
-    runs = materialise(sorted_runs(coded, width, longest, block), "runs")
+    runs = materialise(sorted_runs(coded, arrays, width, longest, block), "runs")
     total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     ranges = int(min(RANGES, -(-total // per_range)))
     step = max(1, total // (16 * max(1, ranges)))
@@ -282,7 +283,7 @@ def score(a: str, n: str, left: str, right: str) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, head: int = HEAD, block: int = BLOCK, per_range: int = RANGE) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases whose words are in no longer phrase as often."""
     words = dictionary(docs, least)
-    counted = materialise(count_phrases(encode(docs, words, head), words.count(), least, longest, block, per_range), "phrases")
+    counted = materialise(count_phrases(*encode(docs, words, head), words.count(), least, longest, block, per_range), "phrases")
     m = F.size("phrase")
     # what a phrase is part of: a longer one that occurs as often implies one longer by a word that does
     shorter = [counted.where(m > 2).select(F.slice("phrase", at, m - 1).alias("phrase"), F.col("f").alias("longer")) for at in (1, 2)]
