@@ -28,7 +28,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of the dictionary that every task holds.
 HEAD = 500_000
 #: Words that a task sorts at once, keys of a range (a few times more may come), and ranges.
-BLOCK, RANGE, RANGES = 500_000, 1_000_000, 200_000
+BLOCK, RANGE, RANGES = 250_000, 250_000, 200_000
 _PLAIN = 32
 _SLICE = 1 << 20
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"." * 10 + b" ")
@@ -147,7 +147,7 @@ def unpack(digits: np.ndarray, width: int, words: int) -> np.ndarray:
     raw = np.ascontiguousarray(digits.T).astype(">u2").view(np.uint8).reshape(digits.shape[1], -1)
     wide = np.zeros((len(raw), words, 4), np.uint8)
     wide[:, :, 4 - width :] = raw[:, : words * width].reshape(len(raw), words, width)
-    return wide.reshape(len(raw), -1).view(">u4").astype(np.int64)
+    return wide.reshape(len(raw), -1).view(">u4").astype(np.int32)
 
 
 def radix_order(digits: np.ndarray) -> np.ndarray:
@@ -266,7 +266,7 @@ def count_phrases(coded: DataFrame, arrays, n_words: int, least: int = LEAST, lo
             found.append(phrase)
             sums.append(f[keep])
         found, sums = np.concatenate(found), np.concatenate(sums)
-        return pa.table({**{c: found[:, j] for j, c in enumerate(names)}, "f": sums})
+        return pa.table({**{c: found[:, j].astype(np.int64) for j, c in enumerate(names)}, "f": sums})
 
     dealt = map_rows(runs, deal, "range int, keys binary, counts binary", 16)
     parts = dealt.groupBy("range").applyInArrow(merge, ", ".join(f"{c} long" for c in names) + ", f long")
