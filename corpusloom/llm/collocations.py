@@ -3,7 +3,7 @@
 Words that occur ``least`` times or more in their language are numbered, most frequent first; every other word breaks its piece, as no phrase
 with it can be frequent. What remains is one key for each place where two numbered words meet: the numbers of the up to ``longest`` words from
 there, each in as many bytes as the dictionary needs. A task sorts its keys by radix and counts runs of equal ones, so what travels is
-distinct keys; they are dealt by ranges of keys (bounds from a sample of the sorted runs), sorted again, and their counts added up. In sorted keys
+distinct keys; they are dealt by ranges of keys (bounds from a sample of the documents), sorted again, and their counts added up. In sorted keys
 all phrases of two to ``longest`` words are runs of equal beginnings; a run at the edge of a range is added to its neighbours' afterwards.
 
 The dictionary is broadcast up to ``HEAD`` words of 32 bytes at most (longer ones by a 128-bit hash). Rarer numbered words beyond these are joined
@@ -27,8 +27,8 @@ from .common import map_rows, materialise, numbered, rows
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Words of the dictionary that every task holds.
 HEAD = 500_000
-#: Words that a task sorts at once, keys of a range (a few times more may come), and ranges.
-BLOCK, RANGE, RANGES = 250_000, 250_000, 200_000
+#: Keys that a task sorts at once, keys of a range (a few times more may come), and ranges; the bounds of the ranges come from one of SAMPLE documents.
+BLOCK, RANGE, RANGES, SAMPLE = 250_000, 500_000, 200_000, 16
 _PLAIN = 32
 _SLICE = 1 << 20
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b"." * 10 + b" ")
@@ -132,7 +132,7 @@ def encode(docs: DataFrame, words: DataFrame, head: int = HEAD):
                 ids[[f["at"] for f in late]] = [f["id"] for f in late]
             yield ids
 
-    return first.select("row", "ids").join(found, "row", "left").select("ids", "found"), fill
+    return first.select("row", "ids").join(found, "row", "left").select("found", "ids"), fill
 
 
 def pack(ids: np.ndarray, width: int) -> np.ndarray:
@@ -183,30 +183,26 @@ def _keys(a: np.ndarray, longest: int) -> np.ndarray:
     return out
 
 
-def sorted_runs(coded: DataFrame, arrays, width: int, longest: int, block: int = BLOCK) -> DataFrame:
-    """(n, keys, counts): sorted distinct keys of a few documents, digit by digit, with their counts."""
+def sorted_runs(arrays, width: int, longest: int, block: int = BLOCK):
+    """Sorted distinct keys, digit by digit, and their counts, of a few documents at a time."""
 
     def run(parts):
-        digits, counts = run_lengths(pack(np.concatenate(parts), width), None)
-        return len(counts), digits.astype("<u2").tobytes(), counts.astype("<u4").tobytes()
-
-    def make(batches):
-        held, size = [], 0
-        for ids in arrays(batches):
-            for start in range(0, len(ids), block):
-                want = min(block, len(ids) - start) + longest - 1  # keys that begin in the block may end behind it
-                part = ids[start : start + want]
-                keys = _keys(np.r_[part, np.zeros(want - len(part), np.int32)], longest)
-                if len(keys):
-                    held.append(keys)
-                    size += len(keys)
-                if size >= block:
-                    yield run(held)
-                    held, size = [], 0
-        if held:
-            yield run(held)
-
-    return map_rows(coded, make, "n long, keys binary, counts binary", 1)
+        return run_lengths(pack(np.concatenate(parts), width), None)
+
+    held, size = [], 0
+    for ids in arrays:
+        for start in range(0, len(ids), block):
+            want = min(block, len(ids) - start) + longest - 1  # keys that begin in the block may end behind it
+            part = ids[start : start + want]
+            keys = _keys(np.r_[part, np.zeros(want - len(part), np.int32)], longest)
+            if len(keys):
+                held.append(keys)
+                size += len(keys)
+            if size >= block:
+                yield run(held)
+                held, size = [], 0
+    if held:
+        yield run(held)
 
 
 def _as_text(digits: np.ndarray) -> np.ndarray:
@@ -214,30 +210,28 @@ def _as_text(digits: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(digits.T).astype(">u2").view(f"S{2 * digits.shape[0]}").ravel()
 
 
-def count_phrases(coded: DataFrame, arrays, n_words: int, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK, per_range: int = RANGE) -> DataFrame:
-    """(phrase, f): the numbers of two to ``longest`` words that occur together ``f`` times, ``least`` or more."""
+def count_phrases(coded: DataFrame, arrays, n_words: int, n_keys: int, least: int = LEAST, longest: int = LONGEST, block: int = BLOCK, per_range: int = RANGE) -> DataFrame:
+    """(phrase, f): the numbers of two to ``longest`` words that occur together ``f`` times, ``least`` or more; there are ``n_keys`` keys at most."""
     width = max(2, (max(1, n_words).bit_length() + 7) // 8)
     n_digits = -(-longest * width // 2)
-    runs = materialise(sorted_runs(coded, arrays, width, longest, block), "runs")
-    total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ranges = int(min(RANGES, -(-total // per_range)))
-    step = max(1, total // (16 * max(1, ranges)))
+    ranges = int(min(RANGES, max(1, n_keys // per_range)))
+    step = max(1, n_keys // SAMPLE // (64 * ranges))
 
     def sample(batches):
-        for n, keys in rows(batches, "n", "keys", size=1):
-            digits = np.frombuffer(keys, "<u2").reshape(n_digits, n)
+        for digits, _ in sorted_runs(arrays(batches), width, longest, block):
             for key in _as_text(digits[:, int(digits.sum()) % step :: step]):
                 yield (key.ljust(2 * n_digits, b"\0"),)
 
     bounds = np.zeros(0, f"S{2 * n_digits}")
-    if ranges > 1:
-        seen = np.sort(np.array([bytes(r.key) for r in map_rows(runs.select("n", "keys"), sample, "key binary").collect()], f"S{2 * n_digits}"))
+    if ranges > 1:  # bounds only decide where a key is counted
+        some = coded.where(F.pmod(F.xxhash64(coded.columns[-1]), F.lit(SAMPLE)) == 0)
+        seen = np.sort(np.array([bytes(r.key) for r in map_rows(some, sample, "key binary").collect()], f"S{2 * n_digits}"))
         bounds = np.unique(seen[(np.arange(1, ranges) * len(seen)) // ranges]) if len(seen) else bounds
 
     def deal(batches):
-        for n, keys, counts in rows(batches, "n", "keys", "counts", size=1):
-            digits, counts = np.frombuffer(keys, "<u2").reshape(n_digits, n), np.frombuffer(counts, "<u4")
-            edges = np.r_[0, np.searchsorted(_as_text(digits), bounds, side="left"), n]
+        for digits, counts in sorted_runs(arrays(batches), width, longest, block):
+            edges = np.r_[0, np.searchsorted(_as_text(digits), bounds, side="left"), len(counts)]
+            digits, counts = digits.astype("<u2"), counts.astype("<u4")
             for i in np.flatnonzero(np.diff(edges)):
                 part = slice(edges[i], edges[i + 1])
                 yield int(i), digits[:, part].tobytes(), counts[part].tobytes()
@@ -268,7 +262,7 @@ def count_phrases(coded: DataFrame, arrays, n_words: int, least: int = LEAST, lo
         found, sums = np.concatenate(found), np.concatenate(sums)
         return pa.table({**{c: found[:, j].astype(np.int64) for j, c in enumerate(names)}, "f": sums})
 
-    dealt = map_rows(runs, deal, "range int, keys binary, counts binary", 16)
+    dealt = map_rows(coded, deal, "range int, keys binary, counts binary", 16)
     parts = dealt.groupBy("range").applyInArrow(merge, ", ".join(f"{c} long" for c in names) + ", f long")
     whole = parts.groupBy(*names).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return whole.select(F.filter(F.array(*names), lambda w: w > 0).alias("phrase"), "f")
@@ -283,7 +277,8 @@ def score(a: str, n: str, left: str, right: str) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, head: int = HEAD, block: int = BLOCK, per_range: int = RANGE) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases whose words are in no longer phrase as often."""
     words = dictionary(docs, least)
-    counted = materialise(count_phrases(*encode(docs, words, head), words.count(), least, longest, block, per_range), "phrases")
+    size = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    counted = materialise(count_phrases(*encode(docs, words, head), *size, least, longest, block, per_range), "phrases")
     m = F.size("phrase")
     # what a phrase is part of: a longer one that occurs as often implies one longer by a word that does
     shorter = [counted.where(m > 2).select(F.slice("phrase", at, m - 1).alias("phrase"), F.col("f").alias("longer")) for at in (1, 2)]
