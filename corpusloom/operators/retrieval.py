@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import written
 
-#: Queries that are broadcast to the passages at most (a few hundred MB of vectors); more go in blocks.
-QUERY_BLOCK = 20_000
+#: Queries that are broadcast to the passages at most (a few hundred MB of vectors); more go in blocks. Queries and passages that meet at once in a task.
+QUERY_BLOCK, TILE = 20_000, 1024
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,21 @@ def is_valid(v: Column, dim: int) -> Column:
     return (F.size(v) == dim) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+def best_of(scores, ids, best_s, best_i, k: int):
+    """The k best of each row of ``scores`` (columns ``ids``) and of those known before, by score and then id."""
+    import numpy as np
+
+    s = np.concatenate([best_s, scores], axis=1)
+    i = np.concatenate([best_i, np.broadcast_to(ids, scores.shape)], axis=1)
+    if s.shape[1] > 4 * k:  # all that reach the k-th score, ties too, before the sort
+        least = np.partition(s, -k, axis=1)[:, -k]
+        width = int((s >= least[:, None]).sum(axis=1).max())
+        top = np.argpartition(-s, width - 1, axis=1)[:, :width]
+        s, i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+    order = np.lexsort((i, -s), axis=1)[:, :k]
+    return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+
 def dense_top_k(queries: DataFrame, passages: DataFrame, k: int, places: int = 12) -> DataFrame:
     """(qid, id, score, rank) of the k passages nearest to each query; ties by id, scores to ``places`` decimals.
 
@@ -64,18 +79,19 @@ def dense_top_k(queries: DataFrame, passages: DataFrame, k: int, places: int = 1
                 return
             q = np.array(vectors, np.float64)
             q /= np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-300)
-            best_s, best_i = np.full((len(qids), 0), 0.0), np.full((len(qids), 0), 0, np.int64)
+            best_s, best_i = np.full((len(qids), k), -np.inf), np.full((len(qids), k), np.iinfo(np.int64).max)
             for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.stack(batch.v.to_numpy()).astype(np.float64)
-                x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-                s = np.concatenate([best_s, np.round(q @ x.T, places)], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(batch.id.to_numpy(), (len(qids), len(batch)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            if best_s.shape[1]:
-                yield pd.DataFrame({"qid": np.repeat(np.array(qids), best_s.shape[1]), "id": best_i.ravel(), "score": best_s.ravel()})
+                for start in range(0, len(batch), TILE):
+                    part = batch.iloc[start : start + TILE]
+                    x = np.stack(part.v.to_numpy()).astype(np.float64)
+                    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+                    ids = part.id.to_numpy()
+                    for at in range(0, len(qids), TILE):
+                        own = slice(at, at + TILE)
+                        best_s[own], best_i[own] = best_of(np.round(q[own] @ x.T, places), ids, best_s[own], best_i[own], k)
+            rank = best_s > -np.inf
+            if rank.any():
+                yield pd.DataFrame({"qid": np.repeat(np.array(qids), rank.sum(axis=1)), "id": best_i[rank], "score": best_s[rank]})
 
         found = passages.select(F.col("id").cast("long").alias("id"), "v").mapInPandas(run, "qid long, id long, score double")
         w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")

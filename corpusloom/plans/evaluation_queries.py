@@ -1,4 +1,4 @@
-"""Queries over labels, conversations and events: judging, ledgers, service levels, evaluation sets, streams."""
+"""Queries over labels, conversations and events: judging, ledgers, service levels, evaluation sets."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import money
 from ..functions import text as T
 from ..operators import answers, integrity, judging, ledger, sampling
-from ..sources.tables import shared_folder
-from ..streaming import state
 
 
 def read(spark, sf_dir, name) -> DataFrame:
@@ -216,42 +214,6 @@ def q42_generation_schema(spark, sf_dir):
 Q42 = "SELECT conv_id, turn, (conv_id + turn) % 5 IN (0, 3) AS valid, CAST(CASE (conv_id + turn) % 5 WHEN 0 THEN 1 WHEN 3 THEN 0 ELSE -1 END AS BIGINT) AS citations FROM conversations"
 
 
-def stream_of(spark, sf_dir, name) -> DataFrame:
-    # a pattern, as a stream's source may not be one plain file
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
-
-
-def q43_stream_service_windows(spark, sf_dir):
-    e = stream_of(spark, sf_dir, "events").select("ts", (F.col("event_id") % 9 != 0).alias("ok"), (F.col("value") * 100).alias("ms"))
-    at = shared_folder(spark, "stream")
-    return state.run_available(state.service_windows(e), f"{at}/table", f"{at}/checkpoint", "complete")
-
-
-Q43 = "SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, count(*) FILTER (event_id % 9 <> 0 AND value * 100 <= 10000) AS within, round(sum(value * 100), 6) AS total_ms FROM events GROUP BY 1"
-
-
-def q44_stream_admission(spark, sf_dir):
-    c = stream_of(spark, sf_dir, "events").select(F.col("user_id").alias("account"), F.col("ts"), F.col("event_id").alias("call_id"), F.col("value").alias("amount"))
-    at = shared_folder(spark, "stream")
-    return state.run_available(state.admitted_calls(c, 500.0), f"{at}/table", f"{at}/checkpoint").select("account", "call_id", "admitted", F.round("spent", 6).alias("spent"))
-
-
-Q44 = Q27.replace("SELECT user_id, event_id AS ordinal, admitted", "SELECT user_id AS account, event_id AS call_id, admitted").replace("ORDER BY event_id) AS k", "ORDER BY ts, event_id) AS k")
-
-
-def q45_stream_sessions(spark, sf_dir):
-    t = stream_of(spark, sf_dir, "conversations").where("role = 'user'")
-    s = t.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ts"), F.col("text").alias("question"), F.lit("ok").alias("answer"), (F.col("turn") % 3 != 2).alias("ok"), F.lit(False).alias("reset"))
-    at = shared_folder(spark, "stream")
-    return state.run_available(state.session_turns(s), f"{at}/table", f"{at}/checkpoint").select("session_id", "turn_id", "ok", F.sha2(F.col("history").cast("binary"), 256).alias("history_sha256"))
-
-
-Q45 = """WITH t AS (SELECT conv_id, turn, text, turn % 3 <> 2 AS ok FROM conversations WHERE role = 'user'),
-h AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn_id, ok, string_agg(CASE WHEN ok THEN 'user: ' || text || chr(10) || 'agent: ok' END, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS history FROM t)
-SELECT conv_id AS session_id, CAST(turn_id AS INTEGER) AS turn_id, ok, sha256(coalesce(history, '')) AS history_sha256 FROM h"""
-
-
 def q46_quality_flags(spark, sf_dir):
     t = read(spark, sf_dir, "conversations")
     item = {"category": F.when(F.col("role") == "user", "answer").when(F.col("role") == "system", "unanswerable").otherwise("clarification"), "language": F.when(F.col("conv_id") % 2 == 0, "en").otherwise("fr"), "question": F.col("text"), "reference": F.substring("text", 1, 11), "has_evidence": F.col("turn") % 2 == 0}
@@ -263,5 +225,5 @@ SELECT conv_id, turn, concat_ws(';', CASE WHEN c <> 'unanswerable' AND turn % 2
  CASE WHEN regexp_matches(text, '(?i)(lorem ipsum|\\bTODO\\b|\\bplaceholder\\b|\\x{FFFD}|\\?{3,})') THEN 'suspect_placeholder_or_garbled_text' END, CASE WHEN conv_id % 2 <> 0 THEN 'translated_text_review' END,
  CASE WHEN length(trim(text)) < 8 THEN 'very_short_question' END, 'very_short_reference') AS flags FROM t""".replace("\\\\", "\\")
 
-QUERIES = {f.__name__: f for f in (q17_correctness_bounds, q19_faithfulness, q21_history, q22_history_buckets, q23_input_limits, q24_tariff, q25_service_level, q26_receipts, q27_admission, q28_pending, q29_pools, q30_quota_sample, q31_distributions, q36_greedy_quotas, q40_exact_cache, q42_generation_schema, q43_stream_service_windows, q44_stream_admission, q45_stream_sessions, q46_quality_flags)}
-ORACLES = {"q17_correctness_bounds": Q17, "q19_faithfulness": Q19, "q21_history": Q21, "q22_history_buckets": Q22, "q23_input_limits": Q23, "q24_tariff": Q24, "q25_service_level": Q25, "q26_receipts": Q26, "q27_admission": Q27, "q28_pending": Q28, "q29_pools": Q29, "q30_quota_sample": Q30, "q31_distributions": Q31, "q40_exact_cache": Q40, "q42_generation_schema": Q42, "q43_stream_service_windows": Q43, "q44_stream_admission": Q44, "q45_stream_sessions": Q45, "q46_quality_flags": Q46}
+QUERIES = {f.__name__: f for f in (q17_correctness_bounds, q19_faithfulness, q21_history, q22_history_buckets, q23_input_limits, q24_tariff, q25_service_level, q26_receipts, q27_admission, q28_pending, q29_pools, q30_quota_sample, q31_distributions, q36_greedy_quotas, q40_exact_cache, q42_generation_schema, q46_quality_flags)}
+ORACLES = {"q17_correctness_bounds": Q17, "q19_faithfulness": Q19, "q21_history": Q21, "q22_history_buckets": Q22, "q23_input_limits": Q23, "q24_tariff": Q24, "q25_service_level": Q25, "q26_receipts": Q26, "q27_admission": Q27, "q28_pending": Q28, "q29_pools": Q29, "q30_quota_sample": Q30, "q31_distributions": Q31, "q40_exact_cache": Q40, "q42_generation_schema": Q42, "q46_quality_flags": Q46}

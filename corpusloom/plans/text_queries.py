@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, sections
-from ..operators.integrity import duplicates, table_fingerprint
+from ..operators.integrity import duplicates
 from ..operators.retrieval import reuse_by_text
 
 CJK = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{FF00}-\x{FFEF}\x{3000}-\x{303F}]"
@@ -133,15 +133,6 @@ def q08_text_reuse(spark, sf_dir):
 Q08 = "SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS reused_id, count(*) OVER (PARTITION BY text) AS copies FROM documents"
 
 
-def q34_fingerprints(spark, sf_dir):
-    docs = docs_of(spark, sf_dir).select("doc_id", sha(F.col("text")).alias("text_sha256"))
-    return table_fingerprint(docs, "doc_id", fingerprint=F.col("text_sha256"))
-
-
-Q34 = """WITH r AS (SELECT doc_id, sha256(text) AS f FROM documents), p AS (SELECT substr(f, 1, 2) AS b, sha256(string_agg(f, chr(10) ORDER BY doc_id, f)) AS part, count(*) AS n FROM r GROUP BY 1)
-SELECT sha256(string_agg(part, chr(10) ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM p"""
-
-
 def q37_section_chunks(spark, sf_dir):
     c = chunking.chunk_documents(headed(docs_of(spark, sf_dir)), 128, 16)
     return c.select("doc_id", "ordinal", "chunk_id", F.array_join("heading_path", " > ").alias("path"), "token_count", sha(F.col("text")).alias("text_sha256"))
@@ -158,5 +149,5 @@ g AS (SELECT doc_id, string_agg(repeat('#', level) || ' ' || heading || CASE WHE
 n AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(line, '\\[\[\]\$\*]')) + CASE WHEN i % 3 = 0 THEN len(regexp_extract_all(substr(line, 1, 24), '\\[\[\]\$\*]')) ELSE 0 END) AS BIGINT) AS e FROM l GROUP BY doc_id)
 SELECT doc_id, CAST(0 AS BIGINT) AS sections_dropped, e AS escapes_fixed, length(regexp_replace(c, '^\s+|\s+$', '', 'g')) + 1 AS cleaned_chars FROM g JOIN n USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (q01_profile, q02_redaction, q03_language_hint, q04_plain_text_parts, q05_sections, q06_word_windows, q07_overlap, q08_text_reuse, q34_fingerprints, q37_section_chunks, q41_clean)}
-ORACLES = {"q01_profile": Q01, "q02_redaction": Q02, "q03_language_hint": Q03, "q04_plain_text_parts": Q04, "q05_sections": Q05, "q06_word_windows": Q06, "q07_overlap": Q07, "q08_text_reuse": Q08, "q34_fingerprints": Q34, "q41_clean": Q41}
+QUERIES = {f.__name__: f for f in (q01_profile, q02_redaction, q03_language_hint, q04_plain_text_parts, q05_sections, q06_word_windows, q07_overlap, q08_text_reuse, q37_section_chunks, q41_clean)}
+ORACLES = {"q01_profile": Q01, "q02_redaction": Q02, "q03_language_hint": Q03, "q04_plain_text_parts": Q04, "q05_sections": Q05, "q06_word_windows": Q06, "q07_overlap": Q07, "q08_text_reuse": Q08, "q41_clean": Q41}

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session names in ``spark.checkpoint.dir``; a local one only where it names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/corpusloom-shared"
+    """A new path in the folder that the session names in ``spark.checkpoint.dir``. Without one, a local session, as in tests, uses its own; a cluster has none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    base = base or f"file://{tempfile.gettempdir()}/corpusloom-shared"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 

@@ -1,57 +1,174 @@
-"""Streams: session histories, budget admission, request deduplication and service levels by window."""
+"""Streams in event time: session histories, budget admission, reservations with their settlements, request deduplication, service levels.
+
+Operators that depend on order (sessions, budgets) hold a row until the watermark has passed it and then take rows in the order of their time, so
+the result is the same however the rows are dealt into files and batches, as long as none comes later than ``delay``. Rows that do
+come later are returned as such and change nothing; so are times up to 1970, where a watermark begins. What is held for a key: its pending rows, and what the operator needs of those before.
+
+A source that has ended advances the watermark by a heartbeat: a row whose key is null, with a later time. It goes no further.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
+#: States of keys are kept in RocksDB, outside the JVM's heap.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def session_turns(turns: DataFrame) -> DataFrame:
-    """Numbered turns with the history before them, from ``turns(session_id, ts, question, answer, ok, reset)``.
 
-    State is the history of a session. Failed turns are numbered but not remembered; a reset starts a new history.
+class InOrder(StatefulProcessor):
+    """Rows of a key in the order of their time, once the watermark has passed them; ``step`` and ``late`` say what they become.
+
+    ``columns`` of a row are kept while it waits; the first is its time in microseconds, and rows of one time are taken in the order of the
+    other columns. The state of the key is one tuple of ``memory``, ``start`` at first; if ``idle`` is not None, a key whose last row is longer ago is forgotten.
     """
-    import pandas as pd
 
-    def run(key, batches, state):
-        number, history = state.get if state.exists else (0, [])
-        history = list(history)
-        rows = pd.concat(list(batches)).sort_values("ts")
+    def __init__(self, columns: dict[str, str], memory: dict[str, str], start: tuple, out: list[str], step, late, idle: int | None = None):
+        kind = lambda of: StructType.fromDDL(", ".join(f"{n} {k}" for n, k in of.items()))
+        self.columns, self.row, self.memory = list(columns), kind(columns), kind({**memory, "last_us": "long"})
+        self.start, self.out, self.step, self.late, self.idle = start, out, step, late, idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.row)
+        self.kept = handle.getValueState("kept", self.memory)
+
+    def handleInputRows(self, key, rows, timerValues):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh, late = [], []
+        for batch in rows:
+            for r in batch[self.columns].itertuples(index=False, name=None):
+                (late if r[0] <= passed else fresh).append(tuple(None if v != v else v for v in r))
+        if fresh:
+            self.waiting.appendList(fresh)
+            self._wake(min(r[0] for r in fresh))
+        if late:
+            yield self._frame([self.late(key, r) for r in sorted(late, key=_order)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get(), key=_order)
+        due = [r for r in waiting if r[0] <= passed]
+        kept = tuple(self.kept.get()) if self.kept.exists() else None
+        memory, last = (kept[:-1], kept[-1]) if kept else (self.start, None)
         out = []
-        for r in rows.itertuples():
-            if r.reset:
-                number, history = 0, []
-                continue
-            number += 1
-            out.append((key[0], number, "\n".join(history), r.question, bool(r.ok)))
-            if r.ok:
-                history += [f"user: {r.question}", f"agent: {r.answer}"]
-        state.update((number, history))
-        yield pd.DataFrame(out, columns=["session_id", "turn_id", "history", "question", "ok"])
+        for r in due:
+            if self.idle is not None and last is not None and r[0] - last > self.idle:
+                memory = self.start
+            memory, row = self.step(key, memory, tuple(r))
+            last = r[0]
+            if row is not None:
+                out.append(row)
+        rest = waiting[len(due) :]
+        if due:
+            self.waiting.put([tuple(r) for r in rest]) if rest else self.waiting.clear()
+            self.kept.update((*memory, last))
+        if rest:
+            self._wake(rest[0][0])
+        elif self.idle is not None and last is not None:
+            if last + self.idle < passed:
+                self.kept.clear()
+            else:
+                self._wake(last + self.idle + 1)
+        if out:
+            yield self._frame(out)
+
+    def _wake(self, at_us: int) -> None:
+        """Once the watermark, in whole milliseconds, has passed the time."""
+        self.handle.registerTimer(-(-at_us // 1000))
+
+    def _frame(self, rows):
+        import pandas as pd
+
+        return pd.DataFrame(rows, columns=self.out, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def _real(row: Column) -> Column:
+    """Rows that are no heartbeat. The condition reads the time, so it is not moved to before the watermark, which heartbeats must reach."""
+    return F.when(F.col("ts").isNull(), F.lit(False)).otherwise(row)
+
+
+def _order(row) -> tuple:
+    return tuple((v is not None, v) for v in row)
+
+
+def _in_order(stream: DataFrame, key: str, delay: str, processor: InOrder, out: str) -> DataFrame:
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    held = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).where(_real(F.col(key).isNotNull()))
+    # the time as a number, so that late rows come to the operator instead of being dropped before it
+    timed = held.withColumn("at_us", F.unix_micros("ts")).select(key, *processor.columns)
+    return timed.groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime")
+
+
+def session_turns(turns: DataFrame, delay: str = "0 seconds", idle_seconds: int | None = None) -> DataFrame:
+    """Numbered turns with the history before them, from ``turns(session_id, ts, question, answer, ok, reset)``.
+
+    Failed turns are numbered but not remembered; a reset starts a new history, and so does a pause of more than ``idle_seconds`` of event time,
+    after which the session's state is dropped. ``late`` marks turns that came after the watermark: they have no number and no history.
+    """
 
+    def step(key, memory, row):
+        number, history = memory
+        _, question, answer, ok, reset = row
+        if reset:
+            return (0, ""), None
+        number += 1
+        told = f"user: {question}\nagent: {answer}"
+        after = history if not ok else told if not history else f"{history}\n{told}"
+        return (number, after), (key[0], number, history, question, bool(ok), False)
+
+    def late(key, row):
+        return key[0], None, None, row[1], bool(row[3]), True
+
+    columns = {"at_us": "long", "question": "string", "answer": "string", "ok": "boolean", "reset": "boolean"}
+    names = ["session_id", "turn_id", "history", "question", "ok", "late"]
+    run = InOrder(columns, {"number": "int", "history": "string"}, (0, ""), names, step, late, None if idle_seconds is None else idle_seconds * 1_000_000)
     kind = turns.schema["session_id"].dataType.simpleString()
-    return turns.groupBy("session_id").applyInPandasWithState(run, f"session_id {kind}, turn_id int, history string, question string, ok boolean", "number int, history array<string>", "append", GroupStateTimeout.NoTimeout)
+    return _in_order(turns, "session_id", delay, run, f"session_id {kind}, turn_id int, history string, question string, ok boolean, late boolean")
 
 
-def admitted_calls(calls: DataFrame, cap: float, tolerance: float = 1e-12) -> DataFrame:
-    """Calls (account, ts, call_id, amount) admitted while an account's reservations fit its cap; state is what is reserved."""
-    import pandas as pd
+def admitted_calls(calls: DataFrame, cap: float, tolerance: float = 1e-12, delay: str = "0 seconds") -> DataFrame:
+    """Calls ``(account, ts, call_id, amount)`` admitted while an account's reservations fit its cap, in the order of time and id.
 
-    def run(key, batches, state):
-        spent = state.get[0] if state.exists else 0.0
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "call_id"]).itertuples():
-            fits = spent + r.amount <= cap + tolerance
-            spent += r.amount if fits else 0.0
-            out.append((key[0], r.call_id, fits, spent))
-        state.update((spent,))
-        yield pd.DataFrame(out, columns=["account", "call_id", "admitted", "spent"])
+    State is what is reserved. A call that comes after the watermark is ``late`` and not admitted; its ``spent`` is null.
+    """
+
+    def step(key, memory, row):
+        (spent,), (_, call_id, amount) = memory, row
+        if amount is None:
+            return memory, (key[0], call_id, None, spent, False)
+        fits = spent + amount <= cap + tolerance
+        spent += amount if fits else 0.0
+        return (spent,), (key[0], call_id, fits, spent, False)
+
+    def late(key, row):
+        return key[0], row[1], False, None, True
 
+    run = InOrder({"at_us": "long", "call_id": "long", "amount": "double"}, {"spent": "double"}, (0.0,), ["account", "call_id", "admitted", "spent", "late"], step, late)
     kind = calls.schema["account"].dataType.simpleString()
-    return calls.groupBy("account").applyInPandasWithState(run, f"account {kind}, call_id long, admitted boolean, spent double", "spent double", "append", GroupStateTimeout.NoTimeout)
+    return _in_order(calls, "account", delay, run, f"account {kind}, call_id long, admitted boolean, spent double, late boolean")
+
+
+def settled_attempts(reserved: DataFrame, settled: DataFrame, open_for: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Reservations ``(attempt_id, ts, reserved, ...)`` with their settlement ``(attempt_id, ts, accounted, ...)`` and ``upper``, what they may have cost.
+
+    A settlement counts if it comes within ``open_for`` of its reservation; a reservation without one comes out at its own amount
+    when the watermark says that its time is over, and is dropped from the state. The first settlement of an attempt counts. Both streams must go on (or send heartbeats) for the watermark to advance.
+    """
+    key = F.coalesce(F.col("attempt_id").cast("string"), F.lit(""))  # a heartbeat has a key that no reservation has
+    left = reserved.withWatermark("ts", delay).where(_real(F.col("attempt_id").isNotNull())).withColumn("reserved_id", key).withColumnRenamed("ts", "reserved_at")
+    once = settled.withWatermark("ts", delay).withColumn("settled_id", key).dropDuplicatesWithinWatermark(["settled_id"])
+    right = once.withColumnRenamed("ts", "settled_at").drop("attempt_id")
+    same = (F.col("reserved_id") == F.col("settled_id")) & (F.col("settled_at") >= F.col("reserved_at")) & (F.col("settled_at") <= F.col("reserved_at") + F.expr(f"INTERVAL {open_for}"))
+    return left.join(right, same, "left_outer").drop("reserved_id", "settled_id").withColumn("upper", F.coalesce("accounted", "reserved"))
 
 
 def first_requests(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -61,10 +178,45 @@ def first_requests(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
     return hashed.where(good).dropDuplicatesWithinWatermark(["request_hash"]).unionByName(hashed.where(~good))
 
 
+#: Bits of a latency that its bucket keeps: a bucket's middle is off by at most a 2 ** SKETCH_BITS th of the value.
+SKETCH_BITS = 7
+
+
+def latency_bucket(ms: Column) -> Column:
+    """First microsecond of a latency's bucket: its leading bits, the others 0. Negative latencies count as 0."""
+    us = F.greatest(F.floor(ms * 1000).cast("long"), F.lit(0).cast("long"))
+    return F.call_function("shiftleft", F.call_function("shiftright", us, _exponent(us)), _exponent(us))
+
+
+def _exponent(us: Column) -> Column:
+    return F.greatest(F.length(F.bin(us)) - SKETCH_BITS, F.lit(0)).cast("int")
+
+
+def sketch_quantile(buckets: Column, p: float) -> Column:
+    """Milliseconds of the ``p`` quantile (nearest rank) of an array of ``(bucket, n)``: the middle of its bucket; null if there is none."""
+    sorted_ = F.array_sort(F.filter(buckets, lambda b: b["n"] > 0))
+    total = F.aggregate(sorted_, F.lit(0).cast("long"), lambda acc, b: acc + b["n"])
+    rank = F.ceil(total * p).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at"))
+    step = lambda acc, b: F.struct((acc["seen"] + b["n"]).alias("seen"), F.when(acc["at"].isNull() & (acc["seen"] + b["n"] >= rank), b["bucket"]).otherwise(acc["at"]).alias("at"))
+    at = F.aggregate(sorted_, start, step)["at"]
+    return (at + F.call_function("shiftleft", F.lit(1).cast("long"), _exponent(at)) / 2) / 1000
+
+
 def service_windows(requests: DataFrame, width: str = "1 day", delay: str = "1 hour", limit_ms: float = 10_000) -> DataFrame:
-    """Requests, successes within the limit and latency by tumbling event-time window."""
-    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    return timed.groupBy(F.window("ts", width).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("ok") & (F.col("ms") <= limit_ms)).alias("within"), F.round(F.sum("ms"), 6).alias("total_ms")).select(F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "within", "total_ms")
+    """``requests(ts, ok, ms)`` by tumbling event-time window: requests, successes within the limit, latency in all, and p50 and p90 of the successes.
+
+    Percentiles come from counts by latency bucket, which add up over partitions, batches and windows: a window has a few thousand at most, and a percentile is
+    within 1 / 128 of the exact one (nearest rank). Windows come out once, when the watermark has passed them, and their counts are dropped.
+    """
+    timed = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).where(_real(F.col("ok").isNotNull() & F.col("ms").isNotNull()))
+    by_bucket = timed.groupBy(F.window("ts", width).alias("w"), latency_bucket(F.col("ms")).alias("bucket")).agg(
+        F.count("*").alias("n"), F.count_if("ok").alias("good"), F.count_if(F.col("ok") & (F.col("ms") <= limit_ms)).alias("within"), F.sum("ms").alias("ms")
+    )
+    whole = by_bucket.groupBy(F.window("w", width).alias("w")).agg(
+        F.sum("n").alias("n"), F.sum("within").alias("within"), F.round(F.sum("ms"), 6).alias("total_ms"), F.collect_list(F.struct("bucket", F.col("good").alias("n"))).alias("sketch")
+    )
+    return whole.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "n", "within", "total_ms", sketch_quantile(F.col("sketch"), 0.5).alias("p50_ms"), sketch_quantile(F.col("sketch"), 0.9).alias("p90_ms"))
 
 
 def redacted(events: DataFrame) -> DataFrame:
@@ -80,4 +232,4 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     else:
         query = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(path)
+    return spark.read.schema(stream.schema).parquet(path)
