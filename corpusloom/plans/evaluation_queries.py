@@ -160,7 +160,7 @@ def q29_pools(spark, sf_dir):
 
 
 Q29 = """WITH e AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'system') SELECT 'dev_turns' AS rule, count(*) AS violations FROM conversations WHERE conv_id IN (SELECT conv_id FROM e)
-UNION ALL SELECT 'holdout_turns', count(*) FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.conv_id = c.conv_id) UNION ALL SELECT 'shared_dialogues', 0
+UNION ALL SELECT 'holdout_turns', count(*) FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.conv_id = c.conv_id) UNION ALL SELECT 'shared_dialogues', count(*) FROM (SELECT conv_id FROM conversations WHERE conv_id IN (SELECT conv_id FROM e) INTERSECT SELECT conv_id FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.conv_id = c.conv_id))
 UNION ALL SELECT 'repeated_turns', count(*) FROM (SELECT conv_id, turn FROM conversations GROUP BY ALL HAVING count(*) > 1)"""
 
 
