@@ -88,7 +88,7 @@ def lines_to_markdown(lines: DataFrame) -> DataFrame:
 def style_level(style: Column) -> Column:
     """Heading level of a paragraph style: titles 1, heading n one below, 6 at most; null for others."""
     s = F.trim(F.coalesce(style, F.lit("")))
-    n = F.regexp_extract(s, r"^Heading (\d+)$", 1)
+    n = F.regexp_extract(s, r"(?i)^Heading\s*(\d+)$", 1)
     return F.when(s.isin("Title", "Document Title"), 1).when(n != "", F.least(n.cast("int") + 1, F.lit(6)))
 
 

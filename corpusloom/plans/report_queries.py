@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import money
 from ..functions import text as T
 from ..operators import evalset, evidence, ledger, sampling
+from ..sources import docx
 from .retrieval_queries import ranked, ranked_sql, vectors
 
 
@@ -138,5 +139,28 @@ def q60_first_formats(spark, sf_dir):
 
 Q60 = "SELECT CASE WHEN page_id % 9 = 4 THEN 'unknown' WHEN ends_with(url, '/') THEN 'dir' WHEN contains(url, '?') THEN 'query' ELSE 'page' END AS format, count(*) AS n FROM pages GROUP BY 1"
 
-QUERIES = {f.__name__: f for f in (q51_ranking_quality, q52_retrieval_summary, q53_acceptance, q54_stage_latencies, q55_cost_forecast, q56_distinct_inputs, q57_revised_rows, q58_next_tasks, q59_payload_redaction, q60_first_formats)}
-ORACLES = {"q51_ranking_quality": Q51, "q52_retrieval_summary": Q52, "q53_acceptance": Q53, "q54_stage_latencies": Q54, "q55_cost_forecast": Q55, "q56_distinct_inputs": Q56, "q57_revised_rows": Q57, "q58_next_tasks": Q58, "q59_payload_redaction": Q59, "q60_first_formats": Q60}
+#: Styles of a document's lines in turn, and what DOCX can't hold.
+STYLES, UNFIT = ("Heading 2", "List Number", "List Number", "List Bullet 2", "Normal"), r"[\x00-\x08\x0B-\x1F]"
+
+
+def q61_docx_markdown(spark, sf_dir):
+    """Documents as DOCX files, a line a paragraph, and these files as Markdown."""
+    import pandas as pd
+
+    def files(batches):
+        for batch in batches:
+            made = [docx.document([(STYLES[i % len(STYLES)], line) for i, line in enumerate(text.split("\n"))]) for text in batch.text]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "content": made})
+
+    texts = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", UNFIT, "").alias("text"))
+    done = docx.to_markdown(texts.mapInPandas(files, "doc_id long, content binary"))
+    return done.select("doc_id", "status", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+Q61 = r"""WITH l AS (SELECT doc_id, unnest(list_transform(string_split(regexp_replace(text, '[\x00-\x08\x0B-\x1F]', '', 'g'), chr(10)), lambda x, i: {'i': i - 1, 'x': trim(x, ' ' || chr(9))}), recursive := true) FROM documents),
+k AS (SELECT doc_id, i, x, x <> '' AND i % 5 = 2 AND coalesce(lag(x <> '') OVER (PARTITION BY doc_id ORDER BY i), false) AS second FROM l),
+m AS (SELECT doc_id, i, CASE i % 5 WHEN 0 THEN '### ' WHEN 1 THEN '1. ' WHEN 2 THEN CASE WHEN second THEN '2. ' ELSE '1. ' END WHEN 3 THEN '  - ' ELSE '' END || x AS line FROM k WHERE x <> '')
+SELECT d.doc_id, 'ok' AS status, sha256(coalesce(string_agg(line, chr(10) || chr(10) ORDER BY i), '') || chr(10)) AS text_sha256 FROM documents d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id"""
+
+QUERIES = {f.__name__: f for f in (q51_ranking_quality, q52_retrieval_summary, q53_acceptance, q54_stage_latencies, q55_cost_forecast, q56_distinct_inputs, q57_revised_rows, q58_next_tasks, q59_payload_redaction, q60_first_formats, q61_docx_markdown)}
+ORACLES = {"q51_ranking_quality": Q51, "q52_retrieval_summary": Q52, "q53_acceptance": Q53, "q54_stage_latencies": Q54, "q55_cost_forecast": Q55, "q56_distinct_inputs": Q56, "q57_revised_rows": Q57, "q58_next_tasks": Q58, "q59_payload_redaction": Q59, "q60_first_formats": Q60, "q61_docx_markdown": Q61}
