@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..functions import text as T
-from ..operators import evalset, evidence, ledger, sampling
+from ..operators import evalset, evidence, items, ledger, sampling
 from ..sources import docx
 from .retrieval_queries import ranked, ranked_sql, vectors
 
@@ -162,5 +162,30 @@ k AS (SELECT doc_id, i, x, x <> '' AND i % 5 = 2 AND coalesce(lag(x <> '') OVER
 m AS (SELECT doc_id, i, CASE i % 5 WHEN 0 THEN '### ' WHEN 1 THEN '1. ' WHEN 2 THEN CASE WHEN second THEN '2. ' ELSE '1. ' END WHEN 3 THEN '  - ' ELSE '' END || x AS line FROM k WHERE x <> '')
 SELECT d.doc_id, 'ok' AS status, sha256(coalesce(string_agg(line, chr(10) || chr(10) ORDER BY i), '') || chr(10)) AS text_sha256 FROM documents d LEFT JOIN m USING (doc_id) GROUP BY d.doc_id"""
 
-QUERIES = {f.__name__: f for f in (q51_ranking_quality, q52_retrieval_summary, q53_acceptance, q54_stage_latencies, q55_cost_forecast, q56_distinct_inputs, q57_revised_rows, q58_next_tasks, q59_payload_redaction, q60_first_formats, q61_docx_markdown)}
-ORACLES = {"q51_ranking_quality": Q51, "q52_retrieval_summary": Q52, "q53_acceptance": Q53, "q54_stage_latencies": Q54, "q55_cost_forecast": Q55, "q56_distinct_inputs": Q56, "q57_revised_rows": Q57, "q58_next_tasks": Q58, "q59_payload_redaction": Q59, "q60_first_formats": Q60, "q61_docx_markdown": Q61}
+
+def q62_runtime_items(spark, sf_dir):
+    """User turns as items: candidates for review, and what reviews make of them."""
+    c = read(spark, sf_dir, "conversations").where("role = 'user'")
+    turn, text, of = F.col("turn"), F.col("text"), F.col("conv_id").cast("string")
+    none = F.lit(None).cast("string")
+    spans = F.array(F.struct(of.alias("doc_id"), F.lit("answer").alias("source_turn"), F.concat(F.lit("b"), (turn % 4).cast("string")).alias("source_block_id")), F.struct(of.alias("doc_id"), F.lit("question").alias("source_turn"), F.lit("q").alias("source_block_id")))
+    kinds = F.array(F.lit("answer"), F.lit("clarification"), F.lit("unanswerable"))
+    found = items.candidates(c.select(
+        F.concat(of, F.lit(":"), turn.cast("string")).alias("eval_item_id"), of.alias("dialogue_id"), turn.alias("question_turn_id"), (turn + 1).alias("answer_turn_id"), F.lit("respond").alias("agent_dialogue_act"), F.element_at(kinds, (turn % 3 + 1).cast("int")).alias("evaluation_category"),
+        F.lit("any").alias("domain"), F.lit("en").alias("dialogue_language"), F.lit("same").alias("language_relation"), text.alias("question"), none.alias("source_question_en"),
+        F.when(turn > 0, F.transform(F.sequence(F.lit(1), F.greatest(turn, F.lit(1)).cast("int")), lambda i: F.struct(F.lit("user").alias("role"), i.cast("string").alias("utterance")))).alias("conversation_history"), text.alias("gold_answer"), none.alias("source_gold_answer_en"),
+        F.array(of).alias("required_doc_ids"), F.array(of).alias("gold_doc_ids"), F.array(F.struct(of.alias("doc_id"), F.lit("md").alias("format"))).alias("required_documents"), spans.alias("evidence"),
+    ), "dev", ["eval_item_id"])
+    asked = F.split("question_id", ":")[1].cast("int")
+    reviews = found.select("question_id", F.element_at(F.array(F.lit("answer"), F.lit("clarify"), F.lit("refuse")), asked % 3 + 1).alias("task_label"), F.when(asked % 2 == 0, "=SOURCE").otherwise("own").alias("reviewed_reference"), F.lit("clear").alias("label_reason"), F.lit("").alias("reviewer_notes"))
+    done = items.runtime_items(found, reviews).join(found.select("question_id", "sequence"), "question_id")
+    join = lambda c: F.array_join(c, ",").alias(c)
+    return done.select("question_id", "sequence", "answerable", F.sha2(F.col("gold_answer").cast("binary"), 256).alias("gold_sha256"), join("answer_evidence_ids"), join("answer_doc_ids"), join("candidate_doc_ids"), "history_bucket", F.size("evidence").cast("long").alias("documents"))
+
+
+Q62 = """WITH c AS (SELECT conv_id || ':' || turn AS question_id, conv_id::VARCHAR AS d, turn, text, turn % 3 <> 2 AS answerable FROM conversations WHERE role = 'user')
+SELECT question_id, row_number() OVER (ORDER BY question_id) - 1 AS sequence, answerable, sha256(CASE WHEN turn % 2 = 0 THEN text ELSE 'own' END) AS gold_sha256, CASE WHEN answerable THEN 'b' || (turn % 4) ELSE '' END AS answer_evidence_ids, CASE WHEN answerable THEN d ELSE '' END AS answer_doc_ids,
+ CASE WHEN answerable THEN '' ELSE d END AS candidate_doc_ids, CASE WHEN turn = 0 THEN 'none' WHEN turn <= 4 THEN 'short' WHEN turn <= 8 THEN 'medium' ELSE 'long' END AS history_bucket, CASE WHEN answerable THEN 1 ELSE 0 END::BIGINT AS documents FROM c"""
+
+QUERIES = {f.__name__: f for f in (q51_ranking_quality, q52_retrieval_summary, q53_acceptance, q54_stage_latencies, q55_cost_forecast, q56_distinct_inputs, q57_revised_rows, q58_next_tasks, q59_payload_redaction, q60_first_formats, q61_docx_markdown, q62_runtime_items)}
+ORACLES = {"q51_ranking_quality": Q51, "q52_retrieval_summary": Q52, "q53_acceptance": Q53, "q54_stage_latencies": Q54, "q55_cost_forecast": Q55, "q56_distinct_inputs": Q56, "q57_revised_rows": Q57, "q58_next_tasks": Q58, "q59_payload_redaction": Q59, "q60_first_formats": Q60, "q61_docx_markdown": Q61, "q62_runtime_items": Q62}
