@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import keytree, textruns
 from ..sources import snapshots
 from ..sources.tables import shared_folder
-from ..streaming import feed, state
+from ..streaming import feed, state, tasks
 from . import evaluation_queries
 
 #: Files that a table is dealt into as a stream, and by how many files a row may be out of order.
@@ -150,5 +152,21 @@ p AS (SELECT doc_id, text, 'whole' AS chunk_id, substr(text, 51, 80) AS piece FR
 SELECT doc_id, chunk_id, strpos(text, piece) - 1 AS start, strpos(text, piece) - 1 + length(piece) AS "end" FROM p"""
 
 
-QUERIES = {f.__name__: f for f in (q33_vector_diff, q34_fingerprints, q43_stream_service_windows, q44_stream_admission, q45_stream_sessions, q47_stream_settlements, q48_versions, q49_text_runs)}
-ORACLES = {"q33_vector_diff": Q33, "q34_fingerprints": Q34, "q43_stream_service_windows": Q43, "q44_stream_admission": Q44, "q45_stream_sessions": Q45, "q47_stream_settlements": Q47, "q48_versions": Q48, "q49_text_runs": Q49}
+
+def q63_leased_tasks(spark, sf_dir):
+    """Documents as tasks: a worker claims 100, fails at some of them, and the next one claims 50 more; where the tasks stand then."""
+    at = shared_folder(spark, "tasks")
+    tasks.plan(read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("task_id")), at)
+    now = datetime.datetime(2024, 1, 1)
+    mine = tasks.claim(spark, at, now, 3600, 100)
+    tasks.finish(mine.select("task_id", "lease", F.when(F.col("task_id").cast("long") % 3 == 0, "failed").otherwise("ok").alias("status"), F.concat(F.lit("r"), "task_id").alias("result")), at)
+    tasks.claim(spark, at, now, 3600, 50)
+    return snapshots.read(spark, at).groupBy("status", "attempts").agg(F.count("*").alias("n"), F.min("task_id").alias("first"), F.max("result").alias("last_result"))
+
+
+Q63 = """WITH t AS (SELECT DISTINCT doc_id::VARCHAR AS id FROM documents), a AS (SELECT id, row_number() OVER (ORDER BY id) <= 100 AS claimed FROM t), b AS (SELECT id, claimed, claimed AND CAST(id AS BIGINT) % 3 <> 0 AS ok FROM a),
+c AS (SELECT *, NOT ok AND row_number() OVER (PARTITION BY ok ORDER BY id) <= 50 AS again FROM b)
+SELECT CASE WHEN ok THEN 'ok' WHEN again THEN 'leased' ELSE 'pending' END AS status, CAST(claimed AS INTEGER) + CAST(again AS INTEGER) AS attempts, count(*) AS n, min(id) AS first, max(CASE WHEN ok THEN 'r' || id END) AS last_result FROM c GROUP BY 1, 2"""
+
+QUERIES = {f.__name__: f for f in (q33_vector_diff, q34_fingerprints, q43_stream_service_windows, q44_stream_admission, q45_stream_sessions, q47_stream_settlements, q48_versions, q49_text_runs, q63_leased_tasks)}
+ORACLES = {"q33_vector_diff": Q33, "q34_fingerprints": Q34, "q43_stream_service_windows": Q43, "q44_stream_admission": Q44, "q45_stream_sessions": Q45, "q47_stream_settlements": Q47, "q48_versions": Q48, "q49_text_runs": Q49, "q63_leased_tasks": Q63}

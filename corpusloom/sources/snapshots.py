@@ -118,9 +118,12 @@ def hashed(spark: SparkSession, path: str, name: str) -> DataFrame:
     return files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def update(spark: SparkSession, path: str, change: Callable[[DataFrame | None], DataFrame | None], append: bool = False, tries: int = TRIES, put=put_if_absent) -> int:
+def update(spark: SparkSession, path: str, change: Callable[[DataFrame | None], DataFrame | None], append: bool = False, tries: int = TRIES, put=put_if_absent, batch: tuple[str, int] | None = None) -> int:
     """Make the table ``change(last version)`` the next version, or with ``append`` add its rows to it; returns the version.
 
+    ``batch``, a writer's name and the number of its batch, makes the write happen once: numbers of a writer only grow, each version keeps the last of every
+    writer, and a batch that is in the table already changes nothing.
+
     ``change`` gets None for a table that does not exist, and may return None to leave the table as it is. Where another writer was faster it is called
     again with that writer's version. Rows to append do not depend on the last version and are written once.
     """
@@ -128,6 +131,9 @@ def update(spark: SparkSession, path: str, change: Callable[[DataFrame | None],
     for _ in range(tries):
         known = versions(spark, path)
         last = entry(spark, path, known[-1]) if known else None
+        batches = last.get("batches", {}) if last else {}
+        if batch and batches.get(batch[0], -1) >= batch[1]:
+            return last["version"]
         if staged is None or not append:
             df = change(read(spark, path, last["version"]) if last else None)
             if df is None:
@@ -138,7 +144,7 @@ def update(spark: SparkSession, path: str, change: Callable[[DataFrame | None],
         name, n, schema = staged
         keep = last if append and last else {"writes": [], "rows": 0}
         version = known[-1] + 1 if known else 0
-        row = {"writes": [*keep["writes"], name], "rows": keep["rows"] + n, "schema": schema.jsonValue(), "after": known[-1] if known else None}
+        row = {"writes": [*keep["writes"], name], "rows": keep["rows"] + n, "schema": schema.jsonValue(), "after": known[-1] if known else None, "batches": batches | ({batch[0]: batch[1]} if batch else {})}
         try:
             put(spark, f"{path}/log/{version:020d}", json.dumps(row))
             return version
@@ -151,8 +157,8 @@ def replace(df: DataFrame, path: str, put=put_if_absent) -> int:
     return update(df.sparkSession, path, lambda _: df, put=put)
 
 
-def append(df: DataFrame, path: str, put=put_if_absent) -> int:
-    return update(df.sparkSession, path, lambda _: df, append=True, put=put)
+def append(df: DataFrame, path: str, put=put_if_absent, batch: tuple[str, int] | None = None) -> int:
+    return update(df.sparkSession, path, lambda _: df, append=True, put=put, batch=batch)
 
 
 def replace_changed(df: DataFrame, path: str, key: str, payload: list[str] | None = None, put=put_if_absent) -> tuple[int, int]:
