@@ -21,6 +21,7 @@ REDACTIONS = (
     (r"(?<![0-9A-Za-z])[0-9]{9,}(?![0-9A-Za-z])", "[ID_NUMBER]"),
 )
 SECRET_KEYS = ("authorization", "proxy_authorization", "api_key", "apikey", "deepseek_api_key", "openai_api_key", "password", "secret", "access_token", "refresh_token")
+LANGUAGE_HINTS = ("English", "Chinese (Simplified)", "Chinese (Simplified), naturally keeping English terms the question itself used in English", "English, naturally keeping Chinese terms the question itself used in Chinese")
 
 _SPACE = r"(?U)\s+"
 
@@ -148,12 +149,8 @@ def redact_payload(c: Column, kind: DataType) -> Column:
 def language_hint(c: Column) -> Column:
     """The language to answer in, from counts of CJK and of ASCII letters."""
     cjk, latin = F.regexp_count(c, F.lit(CJK_HINT)), F.regexp_count(c, F.lit("[A-Za-z]"))
-    return (
-        F.when(cjk == 0, "English")
-        .when(latin == 0, "Chinese (Simplified)")
-        .when(cjk >= latin, "Chinese (Simplified), naturally keeping English terms the question itself used in English")
-        .otherwise("English, naturally keeping Chinese terms the question itself used in Chinese")
-    )
+    english, chinese, mostly_chinese, mostly_english = LANGUAGE_HINTS
+    return F.when(cjk == 0, english).when(latin == 0, chinese).when(cjk >= latin, mostly_chinese).otherwise(mostly_english)
 
 
 def localised(question: Column, en: str, zh: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..functions import text as T
-from ..operators import evalset, evidence, items, ledger, sampling
+from ..operators import evalset, evidence, items, ledger, rollups, sampling
 from ..sources import docx
 from .retrieval_queries import ranked, ranked_sql, vectors
 
@@ -187,5 +187,20 @@ Q62 = """WITH c AS (SELECT conv_id || ':' || turn AS question_id, conv_id::VARCH
 SELECT question_id, row_number() OVER (ORDER BY question_id) - 1 AS sequence, answerable, sha256(CASE WHEN turn % 2 = 0 THEN text ELSE 'own' END) AS gold_sha256, CASE WHEN answerable THEN 'b' || (turn % 4) ELSE '' END AS answer_evidence_ids, CASE WHEN answerable THEN d ELSE '' END AS answer_doc_ids,
  CASE WHEN answerable THEN '' ELSE d END AS candidate_doc_ids, CASE WHEN turn = 0 THEN 'none' WHEN turn <= 4 THEN 'short' WHEN turn <= 8 THEN 'medium' ELSE 'long' END AS history_bucket, CASE WHEN answerable THEN 1 ELSE 0 END::BIGINT AS documents FROM c"""
 
-QUERIES = {f.__name__: f for f in (q51_ranking_quality, q52_retrieval_summary, q53_acceptance, q54_stage_latencies, q55_cost_forecast, q56_distinct_inputs, q57_revised_rows, q58_next_tasks, q59_payload_redaction, q60_first_formats, q61_docx_markdown, q62_runtime_items)}
-ORACLES = {"q51_ranking_quality": Q51, "q52_retrieval_summary": Q52, "q53_acceptance": Q53, "q54_stage_latencies": Q54, "q55_cost_forecast": Q55, "q56_distinct_inputs": Q56, "q57_revised_rows": Q57, "q58_next_tasks": Q58, "q59_payload_redaction": Q59, "q60_first_formats": Q60, "q61_docx_markdown": Q61, "q62_runtime_items": Q62}
+#: Stated categories of a report; some have no rows.
+LANGS, SIZES = ("de", "en", "es", "fr", "zh"), ("empty", "small", "medium", "large")
+
+
+def q64_zero_filled(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    size = F.when(F.col("n_chars") == 0, "empty").when(F.col("n_chars") < 500, "small").when(F.col("n_chars") < 5000, "medium").otherwise("large")
+    counts = d.select("lang", size.alias("size"), "n_chars").groupBy("lang", "size").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return rollups.zero_filled(counts, {"lang": list(LANGS), "size": list(SIZES)})
+
+
+Q64 = """WITH s AS (SELECT * FROM (VALUES ('de'), ('en'), ('es'), ('fr'), ('zh')) l(lang), (VALUES ('empty'), ('small'), ('medium'), ('large')) z(size)),
+c AS (SELECT lang, CASE WHEN n_chars = 0 THEN 'empty' WHEN n_chars < 500 THEN 'small' WHEN n_chars < 5000 THEN 'medium' ELSE 'large' END AS size, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL)
+SELECT lang, size, coalesce(n, 0) AS n, coalesce(chars, 0) AS chars FROM s FULL JOIN c USING (lang, size)"""
+
+QUERIES = {f.__name__: f for f in (q51_ranking_quality, q52_retrieval_summary, q53_acceptance, q54_stage_latencies, q55_cost_forecast, q56_distinct_inputs, q57_revised_rows, q58_next_tasks, q59_payload_redaction, q60_first_formats, q61_docx_markdown, q62_runtime_items, q64_zero_filled)}
+ORACLES = {"q51_ranking_quality": Q51, "q52_retrieval_summary": Q52, "q53_acceptance": Q53, "q54_stage_latencies": Q54, "q55_cost_forecast": Q55, "q56_distinct_inputs": Q56, "q57_revised_rows": Q57, "q58_next_tasks": Q58, "q59_payload_redaction": Q59, "q60_first_formats": Q60, "q61_docx_markdown": Q61, "q62_runtime_items": Q62, "q64_zero_filled": Q64}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.sections import plain_to_markdown
 
+#: Formats of the files that are exchanged.
 MANIFEST = "documents array<struct<doc_id:string,domain:string,title:string,language:string,format:string,file:string>>"
 CHUNK = "chunk_id string, doc_id string, domain string, language string, source_file string, strategy string, chunk_size_config int, overlap_config int, heading_path array<string>, text string, token_count int, source_spans array<struct<source_block_id:string,start:int,end:int,block_length:int,location:map<string,string>>>"
 LEDGER = "event string, attempt_id string, role string, model string, request_hash string, time_utc string, reserved_rmb double, input_token_upper_bound bigint, max_output_tokens int, outcome string, usage struct<prompt_tokens:bigint,completion_tokens:bigint,cached_tokens:bigint,reasoning_tokens:bigint>, usage_cost_estimate_rmb double, accounted_rmb double, usage_unknown boolean, seconds double"
