@@ -7,64 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Weights of the dimensions that a greedy pick balances.
-WEIGHTS = {"domain": 3.0, "language": 2.0, "relation": 1.0, "history": 1.0, "format": 1.0}
-
-
-def greedy_quotas(pool: DataFrame, quotas: dict[str, int], targets: dict[str, dict[str, int]], seed: int, split: str) -> list[str]:
-    """Ids picked one by one: the category with the rarest label first, one item of each dialogue, the item that best fills what is missing.
-
-    ``pool(item_id, dialogue_id, category, domain, language, relation, history, format)``. A pick depends on all before it, so
-    each is one top-1 query with the counts so far as literals; quotas bound their number, and nothing but the pick is collected.
-    """
-    counts: dict[str, dict[str, int]] = {d: {} for d in WEIGHTS}
-    picked: list[str] = []
-    dialogues: list[str] = []
-    pool = pool.withColumn("_jitter", T.jitter(seed, split, F.col("item_id")))
-    for category, n in quotas.items():
-        for _ in range(n):
-            score = F.lit(0.0)
-            for d, weight in WEIGHTS.items():
-                for value, target in targets.get(d, {}).items():
-                    if target > 0:
-                        score = score + F.when(F.col(d) == value, weight * (target - counts[d].get(value, 0)) / target).otherwise(0.0)
-            left = pool.where((F.col("category") == category) & ~F.col("dialogue_id").isin(dialogues or [""]))
-            best = left.orderBy(score.desc(), F.desc("_jitter"), "item_id").limit(1).collect()
-            if not best:
-                raise ValueError(f"no item is left for {category}")
-            picked.append(best[0].item_id)
-            dialogues.append(best[0].dialogue_id)
-            for d in WEIGHTS:
-                counts[d][best[0][d]] = counts[d].get(best[0][d], 0) + 1
-    return picked
-
-
-def smoke_set(items: DataFrame, targets: dict[str, int], seed: int, dimensions: list[str]) -> list[str]:
-    """Ids picked label by label for coverage: an item is worth the sum of 1 / (1 + times its value was picked); ties by the greatest hash."""
-    counts: dict[str, dict] = {d: {} for d in dimensions}
-    picked: list[str] = []
-    items = items.withColumn("_tie", F.sha2(F.concat(F.lit(f"{seed}:smoke:"), F.col("question_id").cast("string")).cast("binary"), 256))
-    for label in ("refuse", "clarify", "answer"):
-        for slot in range(targets.get(label, 0)):
-            worth = F.lit(0.0)
-            for d in dimensions:
-                part = F.lit(1.0)
-                for value, n in counts[d].items():
-                    part = F.when(F.col(d).eqNullSafe(F.lit(value)), 1 / (1 + n)).otherwise(part)
-                worth = worth + part
-            pool = items.where((F.col("label") == label) & ~F.col("question_id").isin(picked or [""]))
-            # of several refusals one is outside the domain and one inside, where there are such
-            outside = F.when(F.col("domain") == "out_of_domain", 1).otherwise(0)
-            first = [outside.desc() if slot == 0 else outside.asc()] if label == "refuse" and targets[label] >= 2 and slot < 2 else []
-            best = pool.orderBy(*first, worth.desc(), F.desc("_tie")).limit(1).collect()
-            if not best:
-                raise ValueError(f"no item is left for {label}")
-            picked.append(best[0].question_id)
-            for d in dimensions:
-                counts[d][best[0][d]] = counts[d].get(best[0][d], 0) + 1
-    return picked
-
-
 def quota_sample(items: DataFrame, group: str, n: int, seed: int, split: str, key: str) -> DataFrame:
     """``n`` items of each group by stable jitter: repeatable, whatever the partitions."""
     j = items.withColumn("jitter", T.jitter(seed, split, F.col(key)))

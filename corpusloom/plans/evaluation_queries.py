@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..functions import text as T
-from ..operators import answers, integrity, judging, ledger, sampling
+from ..operators import answers, integrity, judging, ledger, sampling, selection
 
 
 def read(spark, sf_dir, name) -> DataFrame:
@@ -186,8 +186,19 @@ def q36_greedy_quotas(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     pool = d.select(F.col("doc_id").cast("string").alias("item_id"), F.col("doc_id").cast("string").alias("dialogue_id"), F.element_at(F.array(F.lit("unanswerable"), F.lit("clarification"), F.lit("answer")), (F.col("doc_id") % 3 + 1).cast("int")).alias("category"), F.col("source").alias("domain"), F.col("lang").alias("language"), F.lit("same").alias("relation"), answers.history_bucket((F.col("doc_id") % 12).cast("int")).alias("history"), F.lit("md").alias("format"))
     targets = {"language": {"en": 3, "fr": 1, "de": 1, "es": 1}, "history": {"none": 1, "short": 2, "medium": 2, "long": 1}}
-    picked = sampling.greedy_quotas(pool, {"unanswerable": 1, "clarification": 2, "answer": 3}, targets, 20260906, "dev")
-    return spark.createDataFrame([(i, p) for i, p in enumerate(picked)], "ordinal int, item_id string")
+    return selection.greedy_quotas(pool, {"unanswerable": 1, "clarification": 2, "answer": 3}, targets, 20260906, "dev")
+
+
+Q36 = """WITH RECURSIVE pool AS (SELECT doc_id, CAST(doc_id % 3 AS INTEGER) AS category, lang, CASE WHEN doc_id % 12 = 0 THEN 'none' WHEN doc_id % 12 <= 4 THEN 'short' WHEN doc_id % 12 <= 8 THEN 'medium' ELSE 'long' END AS history,
+ CAST(CAST('0x' || substr(sha256('20260906:dev:' || doc_id), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 AS jitter FROM documents),
+wanted AS (SELECT * FROM (VALUES ('lang', 'en', 3, 2.0), ('lang', 'fr', 1, 2.0), ('lang', 'de', 1, 2.0), ('lang', 'es', 1, 2.0), ('history', 'none', 1, 1.0), ('history', 'short', 2, 1.0), ('history', 'medium', 2, 1.0), ('history', 'long', 1, 1.0)) v(dimension, value, target, weight)),
+slots AS (SELECT * FROM (VALUES (0, 0), (1, 1), (2, 1), (3, 2), (4, 2), (5, 2)) v(ordinal, category)),
+picks AS (SELECT 0 AS n, CAST([] AS BIGINT[]) AS ids, CAST([] AS VARCHAR[]) AS langs, CAST([] AS VARCHAR[]) AS histories
+UNION ALL SELECT n + 1, list_append(ids, best.doc_id), list_append(langs, best.lang), list_append(histories, best.history) FROM (
+ SELECT p.n, p.ids, p.langs, p.histories, arg_max({'doc_id': x.doc_id, 'lang': x.lang, 'history': x.history}, ROW(
+  coalesce(CAST(l.weight AS DOUBLE) * (l.target - len(list_filter(p.langs, lambda v: v = x.lang))) / l.target, 0.0) + coalesce(CAST(h.weight AS DOUBLE) * (h.target - len(list_filter(p.histories, lambda v: v = x.history))) / h.target, 0.0), x.jitter)) AS best
+ FROM picks p JOIN slots s ON s.ordinal = p.n JOIN pool x ON x.category = s.category AND NOT list_contains(p.ids, x.doc_id) LEFT JOIN wanted l ON l.dimension = 'lang' AND l.value = x.lang LEFT JOIN wanted h ON h.dimension = 'history' AND h.value = x.history GROUP BY ALL))
+SELECT CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS ordinal, CAST(unnest(ids) AS VARCHAR) AS item_id FROM picks WHERE n = 6"""
 
 
 def q40_exact_cache(spark, sf_dir):
@@ -226,4 +237,4 @@ SELECT conv_id, turn, concat_ws(';', CASE WHEN c <> 'unanswerable' AND turn % 2
  CASE WHEN length(trim(text)) < 8 THEN 'very_short_question' END, 'very_short_reference') AS flags FROM t""".replace("\\\\", "\\")
 
 QUERIES = {f.__name__: f for f in (q17_correctness_bounds, q19_faithfulness, q21_history, q22_history_buckets, q23_input_limits, q24_tariff, q25_service_level, q26_receipts, q27_admission, q28_pending, q29_pools, q30_quota_sample, q31_distributions, q36_greedy_quotas, q40_exact_cache, q42_generation_schema, q46_quality_flags)}
-ORACLES = {"q17_correctness_bounds": Q17, "q19_faithfulness": Q19, "q21_history": Q21, "q22_history_buckets": Q22, "q23_input_limits": Q23, "q24_tariff": Q24, "q25_service_level": Q25, "q26_receipts": Q26, "q27_admission": Q27, "q28_pending": Q28, "q29_pools": Q29, "q30_quota_sample": Q30, "q31_distributions": Q31, "q40_exact_cache": Q40, "q42_generation_schema": Q42, "q46_quality_flags": Q46}
+ORACLES = {"q17_correctness_bounds": Q17, "q19_faithfulness": Q19, "q21_history": Q21, "q22_history_buckets": Q22, "q23_input_limits": Q23, "q24_tariff": Q24, "q25_service_level": Q25, "q26_receipts": Q26, "q27_admission": Q27, "q28_pending": Q28, "q29_pools": Q29, "q30_quota_sample": Q30, "q31_distributions": Q31, "q36_greedy_quotas": Q36, "q40_exact_cache": Q40, "q42_generation_schema": Q42, "q46_quality_flags": Q46}

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import answers, chunking, evidence, integrity, judging, layout, ledger, retrieval, sampling
+from corpusloom.operators import answers, chunking, evidence, integrity, judging, layout, ledger, retrieval, sampling, selection
 
 
 def test_splitting_loses_nothing():
@@ -166,14 +166,14 @@ def test_ledger(spark):
 def test_sampling(spark):
     pool = spark.createDataFrame([(f"i{n}", f"d{n % 7}", ["unanswerable", "clarification", "answer"][n % 3], f"dom{n % 2}", "en", "same", "none", "md") for n in range(30)], "item_id string, dialogue_id string, category string, domain string, language string, relation string, history string, format string")
     quotas = {"unanswerable": 1, "clarification": 2, "answer": 3}
-    picked = sampling.greedy_quotas(pool, quotas, {"domain": {"dom0": 3, "dom1": 3}}, 1, "dev")
+    picked = [r.item_id for r in selection.greedy_quotas(pool, quotas, {"domain": {"dom0": 3, "dom1": 3}}, 1, "dev").orderBy("ordinal").collect()]
     rows = {r.item_id: r for r in pool.collect()}
     assert [rows[i].category for i in picked] == [c for c, n in quotas.items() for _ in range(n)] and len({rows[i].dialogue_id for i in picked}) == 6
     assert sorted(rows[i].domain for i in picked) == ["dom0"] * 3 + ["dom1"] * 3
-    with pytest.raises(ValueError):
-        sampling.greedy_quotas(pool, {"answer": 8}, {}, 1, "dev")
+    with pytest.raises(Exception, match="no item is left for answer"):
+        selection.greedy_quotas(pool, {"answer": 8}, {}, 1, "dev").collect()
     items = spark.createDataFrame([(f"q{n}", ["refuse", "clarify", "answer"][n % 3], "out_of_domain" if n == 3 else f"dom{n % 2}") for n in range(12)], "question_id string, label string, domain string")
-    smoke = sampling.smoke_set(items, {"refuse": 2, "clarify": 1, "answer": 1}, 1, ["domain"])
+    smoke = [r.question_id for r in selection.smoke_set(items, {"refuse": 2, "clarify": 1, "answer": 1}, 1, ["domain"]).orderBy("ordinal").collect()]
     assert smoke[0] == "q3" and len(set(smoke)) == 4
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert {r.k: r.v for r in sampling.overlay(base, spark.createDataFrame([(2, "z")], "k int, v string"), "k", ["v"]).collect()} == {1: "a", 2: "z"}
