@@ -22,7 +22,7 @@ from ..functions import text as T
 SEPARATORS = ("\n\n", "\n", "。", "！", "？", ". ", "! ", "? ", "；", "; ", "，", ", ", " ")
 WHOLE, UNCUT = 1.5, 2
 _ATOM = re.compile("[一-鿿㐀-䶿＀-￯　-〿]|[^\\s一-鿿㐀-䶿＀-￯　-〿]+")
-#: The start of each token of a text, in order.
+#: The start of each token of a text, in order; a token that starts inside a character has the start of the one before it.
 Offsets = Callable[[str], list[int]]
 Section = tuple[int, str | None, str]
 
@@ -36,11 +36,14 @@ def count_words(text: str) -> int:
 
 
 def tail(text: str, n: int, offsets: Offsets = word_offsets) -> str:
-    """The last ``n`` tokens of a text; nothing for none."""
+    """The last ``n`` tokens of a text, fewer where they begin inside a character; nothing for none."""
     if n <= 0:
         return ""
     at = offsets(text)
-    return text[at[-n] if len(at) > n else 0 :].strip()
+    if len(at) <= n:
+        return text.strip()
+    begin = next((x for y, x in pairwise(at[len(at) - n - 1 :]) if x > y), len(text))
+    return text[begin:].strip()
 
 
 def joined(*pieces: str) -> str:
@@ -57,11 +60,22 @@ def runs(sizes: list[int], budget: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def hard_cuts(at: list[int], budget: int) -> Iterator[int]:
+    """Where pieces after the first start, each of as many whole characters as the budget holds; one whose tokens exceed it stays whole."""
+    first = 0
+    while first + budget < len(at):
+        within = (i for i in range(first + budget, first, -1) if at[i] > at[i - 1])
+        beyond = (i for i in range(first + 1, len(at)) if at[i] > at[i - 1])
+        first = next(within, None) or next(beyond, len(at))
+        if first < len(at):
+            yield at[first]
+
+
 def split_to_size(text: str, budget: int, offsets: Offsets = word_offsets) -> list[str]:
     """Pieces within the budget, cut at the coarsest separator that helps; separators stay with the piece before them.
 
     Spans wait with the separators that they have not been cut at: a span between two separators of one kind has none of that or a coarser
-    kind inside, so each is tried once. Spans of white space go. Where no separator is left, every ``budget``-th token starts a piece.
+    kind inside, so each is tried once. Spans of white space go. Where no separator is left, pieces take as many tokens as the budget holds.
     """
     if budget <= 0:
         raise ValueError("the budget must be positive")
@@ -91,7 +105,7 @@ def split_to_size(text: str, budget: int, offsets: Offsets = word_offsets) -> li
             spans = [(a, b) for a, b in pairwise([lo, *(m.end() for m in cuts), hi]) if text[a:b].strip()]
             kind += 1
         if len(spans) < 2:
-            inner = at[bisect_left(at, lo) : bisect_left(at, hi)][budget::budget]
+            inner = hard_cuts(at[bisect_left(at, lo) : bisect_left(at, hi)], budget)
             out += [text[a:b] for a, b in pairwise([lo, *inner, hi]) if a < b]
             continue
         parts = [(*spans[a], kind) if b == a + 1 else "".join(text[x:y] for x, y in spans[a:b]).strip() for a, b in runs([between(x, y) for x, y in spans], budget)]
@@ -165,7 +179,7 @@ def section_chunks(sections: list[Section], budget: int, overlap: int = 0, offse
 
 
 def chunk_documents(docs: DataFrame, budget: int, overlap: int = 0, offsets: Offsets = word_offsets, keep_bare_headings: bool = True) -> DataFrame:
-    """(doc_id, ordinal, chunk_id, heading_path, text, token_count) from ``docs(doc_id, text)`` in Markdown."""
+    """(doc_id, ordinal, chunk_id, heading_path, text, token_count) from ``docs(doc_id, text)`` in Markdown; a null text has no chunks."""
     from .sections import flat_sections
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +192,7 @@ def chunk_documents(docs: DataFrame, budget: int, overlap: int = 0, offsets: Off
             yield pd.DataFrame(out, columns=["doc_id", "ordinal", "chunk_id", "heading_path", "text", "token_count"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", flat_sections(F.col("text")).alias("sections")).mapInPandas(run, f"doc_id {kind}, ordinal int, chunk_id string, heading_path array<string>, text string, token_count long")
+    return docs.select("doc_id", flat_sections(F.coalesce(F.col("text"), F.lit(""))).alias("sections")).mapInPandas(run, f"doc_id {kind}, ordinal int, chunk_id string, heading_path array<string>, text string, token_count long")
 
 
 def word_windows(docs: DataFrame, size: int = 384, stride: int = 320) -> DataFrame:

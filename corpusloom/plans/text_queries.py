@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tokens import SubwordOffsets
 from ..operators import chunking, sections
 from ..operators.integrity import duplicates
 from ..operators.retrieval import reuse_by_text
@@ -136,6 +137,15 @@ def q37_section_chunks(spark, sf_dir):
     return c.select("doc_id", "ordinal", "chunk_id", F.array_join("heading_path", " > ").alias("path"), "token_count", sha(F.col("text")).alias("text_sha256"))
 
 
+def q64_subword_chunks(spark, sf_dir):
+    """As q37, with budgets in subword tokens of a public vocabulary."""
+    import public_tokenizers
+
+    offsets = SubwordOffsets(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    c = chunking.chunk_documents(headed(docs_of(spark, sf_dir)), 256, 32, offsets)
+    return c.select("doc_id", "ordinal", "chunk_id", F.array_join("heading_path", " > ").alias("path"), "token_count", sha(F.col("text")).alias("text_sha256"))
+
+
 def q41_clean(spark, sf_dir):
     c = sections.clean(headed(docs_of(spark, sf_dir)), normalise=False)
     return c.select("doc_id", "sections_dropped", "escapes_fixed", F.length("cleaned").cast("long").alias("cleaned_chars"))
@@ -147,5 +157,5 @@ g AS (SELECT doc_id, string_agg(repeat('#', level) || ' ' || heading || CASE WHE
 n AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(line, '\\[\[\]\$\*]')) + CASE WHEN i % 3 = 0 THEN len(regexp_extract_all(substr(line, 1, 24), '\\[\[\]\$\*]')) ELSE 0 END) AS BIGINT) AS e FROM l GROUP BY doc_id)
 SELECT doc_id, CAST(0 AS BIGINT) AS sections_dropped, e AS escapes_fixed, length(regexp_replace(c, '^\s+|\s+$', '', 'g')) + 1 AS cleaned_chars FROM g JOIN n USING (doc_id)"""
 
-QUERIES = {f.__name__: f for f in (q01_profile, q02_redaction, q03_language_hint, q04_plain_text_parts, q05_sections, q06_word_windows, q07_overlap, q08_text_reuse, q37_section_chunks, q41_clean)}
+QUERIES = {f.__name__: f for f in (q01_profile, q02_redaction, q03_language_hint, q04_plain_text_parts, q05_sections, q06_word_windows, q07_overlap, q08_text_reuse, q37_section_chunks, q41_clean, q64_subword_chunks)}
 ORACLES = {"q01_profile": Q01, "q02_redaction": Q02, "q03_language_hint": Q03, "q04_plain_text_parts": Q04, "q05_sections": Q05, "q06_word_windows": Q06, "q07_overlap": Q07, "q08_text_reuse": Q08, "q41_clean": Q41}
