@@ -2,9 +2,10 @@
 
 A page is read as a stream of tags with HTML's implied ends. Text gathers in blocks; each has the tag path of its open block
 elements (tag, id and class, digits left out). Over each path the lengths, punctuation marks and linked lengths of its
-blocks are summed and divided by the number of blocks. The length and punctuation ratios are smoothed along the page and
+blocks (with what parts two links) are summed and divided by the number of blocks. The length and punctuation ratios are smoothed along the page and
 fused by a geometric mean, times the share of text outside links, times a prior of the path's names: low for elements
 and names that mark menus, headers, footers, sidebars, notices, adverts, forms and comments, double inside ``article`` and ``main``.
+A name counts if it consists of such words; inside an article words like notice, share or search mark nothing, and the ratios decide.
 
 Two thresholds select content nodes. Paths whose score exceeds a share of the deviation are strong; the deepest element
 that holds ``share`` of the strong weight is the content node. Inside it paths above a tenth of the threshold stay, so short
@@ -44,11 +45,26 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 #: Elements whose text is not shown as text, and elements of the page around an article.
 _UNSEEN = frozenset("head script style noscript template iframe svg canvas object embed audio video map title button select textarea option".split())
 _APART = frozenset("nav footer aside form menu dialog search fieldset".split())
-_APART_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adslot|adsense|sponsors?|sponsored|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|login"
-    r"|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|sidebars?|aside|widgets?|related|recommended|recommendations?|share|sharing|social|comments?|commentlist|disqus|replies|respond|footers?|foot|masthead|toolbar|skip|copyright|hidden|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+#: Words of an id, class or role that mark such parts wherever they stand; words that mark them outside an article, and that inside one may
+#: as well name what its text is about; words that say nothing beside them.
+_MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements adslot adsense sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr popup popups modal overlay newsletter subscribe subscription signup login"
+    " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars comment comments commentlist disqus replies respond footer footers masthead toolbar contentinfo complementary".split()
 )
+_OUTER_MARKS = frozenset("aside banner banners notice notices alert alerts modals overlays widget widgets related recommended recommendations share sharing social foot skip copyright hidden search".split())
+_PLAIN = frozenset("area bar block body bottom box buttons container content form global icons inner items left links list main news page post posts primary right secondary section site slot sticky stories top unit wrap wrapper".split())
+
+
+def _marked(names: list[str], inside: bool) -> bool:
+    """Whether one of the names consists of marks, and of words that say nothing, alone: ``related-posts`` does, ``related-work`` does not."""
+    marks = _MARKS if inside else _MARKS | _OUTER_MARKS
+    for name in " ".join(names).split():
+        words = [w for w in re.split(r"[_-]+", name) if w and w not in _PLAIN]
+        if words and marks.issuperset(words):
+            return True
+    return False
+
+
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？¿¡\"“”«»()]")
 
@@ -100,7 +116,7 @@ class Page:
                 names.append(re.sub(r"\d+", "", value).lower())
             hidden = hidden or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and _HIDDEN.search(value) is not None)
         framed = tag in ("article", "main")
-        apart = tag in _APART or (tag not in ("html", "body") and not framed and any(_APART_NAMES.search(n) for n in names))
+        apart = tag in _APART or (tag not in ("html", "body") and not framed and _marked(names, self.inside[above]))
         self.parent.append(above)
         self.tag.append(tag)
         block = tag in _BLOCK or apart
@@ -147,6 +163,8 @@ class Page:
                 parts.append(text)
                 if opened["a"] > 0:
                     linked += len(text.strip())
+                elif linked and not any(map(str.isalnum, text)):  # what parts two links
+                    linked += len(text.strip()) + 1
             if not m:
                 break
             at = m.end()

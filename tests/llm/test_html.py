@@ -71,6 +71,35 @@ def test_scores_decide(monkeypatch):
     assert sum(html_extract.main_text(p) != w for (p, _), w in zip(pages, want, strict=True)) == 40
 
 
+def test_names_do_not_drop_text_of_an_article():
+    rng = random.Random(43)
+    say = lambda n: f"{prose(rng, n)}, {prose(rng, 3)}. {prose(rng, 4).capitalize()}, {prose(rng, 2)}."
+    for name in ("alert", "notice", "share", "search", "copyright", "related-work", "comments-on-the-law", "legal", "side"):
+        texts = [say(40), say(25), say(30)]
+        source = f'<body><nav><a>one</a><a>two</a></nav><article><h1>Head</h1><p>{texts[0]}</p><div class="{name}"><p>{texts[1]}</p></div><p>{texts[2]}</p></article><footer>All rights, reserved.</footer></body>'
+        assert html_extract.main_text(source).split("\n") == ["Head", *texts], name
+
+
+def test_names_of_adverts_and_comments_drop_them():
+    rng = random.Random(44)
+    say = lambda n: f"{prose(rng, n)}, {prose(rng, 3)}."
+    for name in ("ad", "ad-slot-3", "sponsored box", "comments", "comment-list", "cookie-consent", "newsletter-signup", "post-comments"):
+        texts = [say(40), say(25)]
+        inner = f'<body><article><h1>Head</h1><p>{texts[0]}</p><div class="{name}"><p>{say(20)}</p></div><p>{texts[1]}</p></article></body>'
+        assert html_extract.main_text(inner).split("\n") == ["Head", *texts], name
+    for name in ("notice", "related-posts", "share-buttons", "alert bar"):
+        outer = f'<body><div class="{name}"><p>{say(20)}</p></div><article><h1>Head</h1><p>{texts[0]}</p></article></body>'
+        assert html_extract.main_text(outer).split("\n") == ["Head", texts[0]], name
+
+
+def test_links_inside_an_article_fall_by_their_ratios():
+    rng = random.Random(45)
+    texts = [f"{prose(rng, n)}, {prose(rng, 3)}." for n in (50, 40)]
+    links = "".join(f'<a href="#">{prose(rng, 3)}</a> ' for _ in range(5))
+    source = f'<article><h1>Head</h1><p>{texts[0]}</p><div class="share">{links}</div><p>{texts[1]}</p></article>'
+    assert html_extract.main_text(source).split("\n") == ["Head", *texts]
+
+
 def parsed(source):
     p = Plain()
     p.feed(source)
