@@ -36,8 +36,8 @@ Q01 = rf"""SELECT lang, source, count(*) AS docs,
 
 
 def q02_redaction(spark, sf_dir):
-    red = T.redact(F.col("text"))
-    return docs_of(spark, sf_dir).select("doc_id", (red != F.col("text")).alias("changed"), sha(red).alias("redacted_sha256"))
+    red = docs_of(spark, sf_dir).select("doc_id", "text", T.redact(F.col("text")).alias("red"))
+    return red.select("doc_id", (F.col("red") != F.col("text")).alias("changed"), sha(F.col("red")).alias("redacted_sha256"))
 
 
 def _redact_sql() -> str:

@@ -63,3 +63,21 @@ def test_tariff(spark):
     assert [u and u.cached_tokens for u in one(spark, raw, money.usage)] == [4, 3, None, None]
     calls = spark.createDataFrame([(None, None), (429, None), (503, None), (401, None), (400, None), (200, "length"), (200, "stop")], "s int, f string")
     assert [r.x for r in calls.select(money.retry_class(F.col("s"), F.col("f")).alias("x")).collect()] == ["retry", "retry", "retry", "authentication_failed", "failed", "failed", "ok"]
+
+
+def test_redaction_is_that_of_its_sql_where_matches_touch(spark):
+    import random
+
+    import duckdb
+
+    from corpusloom.plans.text_queries import _redact_sql
+
+    rng = random.Random(5)
+    bits = ["a.b@c.de", "_x@y.zz", "+86", "1", "13812345678", "138-1234-5678", "(555)123-4567", "555-123-4567", "123-45-6789", "123456789012", "12345678901234567X", "call", "@f.gh", "\n", "é", "[", "."]
+    texts = ["555-123-4567(555)123-4567", "555-123-4567 1-234-567-8901", "13812345678 +86 13912345678", "a@b.co_d@e.fr"]
+    texts += ["".join(rng.choice(bits) + rng.choice(["", " ", "-", ",", "\t"]) for _ in range(rng.randint(1, 7))) for _ in range(4000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?) AS text", [texts])
+    want = dict(con.execute(f"SELECT text, {_redact_sql()} FROM t").fetchall())
+    got = dict(map(tuple, spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.redact(F.col("text"))).collect()))
+    assert got == want
