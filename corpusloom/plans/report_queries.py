@@ -21,8 +21,7 @@ def q51_ranking_quality(spark, sf_dir):
     top = ranked(spark, sf_dir, 10, own=False)
     labels = vectors(spark, sf_dir).select("vec_id", "label")
     asked = labels.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label")
-    relevant = asked.join(labels.withColumnRenamed("vec_id", "id"), "label").where("id <> qid").select("qid", "id")
-    return evidence.ranking_quality(top, relevant, 10).select("questions", F.round("recall", 9).alias("recall"), F.round("mrr", 9).alias("mrr"))
+    return evidence.ranking_quality_by_label(top, asked, labels.withColumnRenamed("vec_id", "id"), 10).select("questions", F.round("recall", 9).alias("recall"), F.round("mrr", 9).alias("mrr"))
 
 
 Q51 = f"""WITH {ranked_sql(10, False)}, rel AS (SELECT q.vec_id AS qid, e.vec_id AS id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),

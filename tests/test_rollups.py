@@ -92,3 +92,19 @@ def test_chunks_by_a_given_tokeniser():
     assert {tuple(p) for p, _ in got[:-2]} == {("A", "B", "C")} and [p for p, _ in got[-2:]] == [["A", "D"], ["E"]] and got[-2][1] == "[A]\nD"
     words = " ".join(t for _, t in got).split()
     assert words.count("a") == 30 and words.count("b") == 30 and "intro" in words and "c" in words
+
+
+def test_quality_by_label_is_that_of_its_pairs(spark):
+    """A label of 30,000 ids and 1,500 questions has 45,000,000 pairs; without them a few thousand rows are joined."""
+    rank = spark.range(0, 30_000, 20).select(F.col("id").alias("qid"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("rank"))
+    top = rank.select("qid", ((F.col("qid") + F.col("rank") * F.col("rank") - 1) % 30_100).alias("id"), "rank")  # the question itself too
+    for kinds in (1, 7, 15_000):
+        labels = spark.range(30_100).select("id", F.when(F.col("id") % 97 != 5, F.col("id") % kinds).alias("label"))
+        asked = labels.where("id < 30000 AND id % 20 = 0").withColumnRenamed("id", "qid")
+        got = evidence.ranking_quality_by_label(top, asked, labels, 3).first()
+        if kinds > 1:
+            pairs = asked.join(labels, "label").where("id <> qid").select("qid", "id")
+            want = evidence.ranking_quality(top.where("id <> qid"), pairs, 3).first()
+            assert (got.questions, round(got.recall, 12), round(got.mrr, 12)) == (want.questions, round(want.recall, 12), round(want.mrr, 12))
+        else:
+            assert got.questions == asked.where("label IS NOT NULL").count()
