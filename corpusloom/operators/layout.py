@@ -5,6 +5,9 @@ Extraction itself (from PDF or DOCX bytes) needs optional libraries and stays be
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ CHROMA, TALL, LEVEL1, LEVEL2 = 12, 1.15, 0.85, 0.55
 JOIN_GAP, JOIN_HEIGHT, BREAK_GAP = 0.6, 0.7, 1.6
 LANGUAGE_PACKS = {"en": "eng", "zh": "chi_sim", "mixed": "chi_sim+eng"}
 DEFAULT_PACK = "chi_sim+eng"
+#: White space in Unicode's sense, which ``T.strip`` takes away.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_HEADING, _LISTED = re.compile(r"^Heading\s*(\d+)$", re.I | re.A), re.compile(r"^List (Bullet|Number)\s*(\d*)$", re.I | re.A)
 
 
 def language_pack(language: Column) -> Column:
@@ -115,3 +121,33 @@ def paragraphs_to_markdown(paragraphs: DataFrame) -> DataFrame:
     written = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), style_level(F.col("style"))), F.lit(" "), F.col("text"))).when(F.col("kind") == "bullet", F.concat(pad, F.lit("- "), F.col("text"))).when(F.col("kind") == "number", F.concat(pad, F.col("no").cast("string"), F.lit(". "), F.col("text"))).otherwise(F.col("text"))
     gathered = p.withColumn("w", written).where("w IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ix", "w"))).alias("all"))
     return gathered.select("doc_id", F.concat(T.strip(F.array_join(F.transform("all", lambda x: x["w"]), "\n\n")), F.lit("\n")).alias("markdown"))
+
+
+def blocks_to_markdown(blocks: Iterable[tuple]) -> str:
+    """The Markdown of one document's blocks ``(ix, style, runs, cells)`` in order, runs as (text, bold, italic): what ``paragraphs_to_markdown`` makes of them as a table.
+
+    A file's blocks come from one task in their order, so they need no shuffle, sort or windows.
+    """
+    out: list[str] = []
+    numbers: dict[int, int] = {}
+    for _, style, runs, cells in blocks:
+        if cells is not None:
+            numbers = {}
+            rows = [r for r in ([c.strip(_WHITE).replace("\n", " ") for c in row] for row in cells) if any(r)]
+            if rows:
+                out.append("\n".join(f"| {' | '.join(r)} |" for r in (rows[0], ["---"] * len(rows[0]), *rows[1:])))
+            continue
+        mark = lambda bold, italic: "***" if bold and italic else "**" if bold else "*" if italic else ""
+        text = "".join(mark(b, i) + t + mark(b, i) for t, b, i in runs or () if t).strip(_WHITE)
+        if not text:
+            continue
+        style = style or ""
+        title, heading, listed = style.strip(" ") in ("Title", "Document Title"), _HEADING.match(style.strip(" ")), _LISTED.match(style)
+        indent = int(listed[2]) - 1 if listed and listed[2] else 0
+        if listed and listed[1].lower() == "number":
+            numbers[indent] = numbers.get(indent, 0) + 1
+            out.append(f"{'  ' * indent}{numbers[indent]}. {text}")
+            continue
+        numbers = {}
+        out.append(f"{'#' * (1 if title else min(int(heading[1]) + 1, 6))} {text}" if title or heading else f"{'  ' * indent}- {text}" if listed else text)
+    return "\n\n".join(out).strip(_WHITE) + "\n"

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+from corpusloom.operators import layout
 from corpusloom.sources import docx
 
 SPACE = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -55,3 +56,22 @@ def test_bad_and_empty_files_do_not_stop_the_others(spark):
     got = markdown(spark, bad=b"no archive", empty=made(""), good=docx.document([("Heading 2", "A & <b>"), ("Normal", "text é")]), cut=made("<w:p>")[:60])
     assert got["good"] == ("ok", "### A & <b>\n\ntext é\n", None) and got["empty"] == ("ok", "\n", None)
     assert got["bad"][0] == got["cut"][0] == "failed" and got["bad"][1] is None and "BadZipFile" in got["bad"][2]
+
+
+def test_a_file_is_read_where_it_lies_as_its_paragraphs_in_a_table(spark):
+    import random
+
+    rng = random.Random(4)
+    styles = [None, "", "Title", " Document Title ", "heading 1", "Heading7", "Heading", "List Number", "list number 3", "List Number 0", "List Bullet", "List Bullet 2", "Normal", " List Bullet"]
+    texts = ["", " ", "a", " b\u3000", "\u00a0", "c\nd", "e\x85", "\u200bf", "g\x1c"]
+    made_up = {}
+    for doc in range(120):
+        rows = [(rng.choice(styles), [(rng.choice(texts), rng.random() < 0.2, rng.random() < 0.2) for _ in range(rng.randint(0, 3))], None) for _ in range(rng.randint(0, 12))]
+        rows += [(None, None, [[rng.choice(texts) for _ in range(2)] for _ in range(rng.randint(0, 3))]) for _ in range(rng.randint(0, 2))]
+        rng.shuffle(rows)
+        made_up[doc] = [(ix, *row) for ix, row in enumerate(rows)]
+    table = spark.createDataFrame([(d, *b) for d, all_ in made_up.items() for b in all_], f"doc_id int, {docx.PARAGRAPHS}")
+    want = {r.doc_id: r.markdown for r in layout.paragraphs_to_markdown(table).collect()}
+    assert {d: layout.blocks_to_markdown(b) for d, b in made_up.items()} == {d: want.get(d, "\n") for d in made_up}
+    plan = docx.to_markdown(spark.createDataFrame([(1, bytearray(b""))], "doc_id int, content binary"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInPandas") == 1
