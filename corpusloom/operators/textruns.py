@@ -2,7 +2,7 @@
 
 A document and its chunks are ranked together by their suffixes (ranks of 1, 2, 4, ... characters, each from the one before), so the longest match
 of every place of a chunk is with one of the two neighbours from the document, and the ranks give its length. That takes n log n time and some tens of bytes
-a character, whatever repeats in the text. Places where a match can't be extended to the left begin maximal runs. Of overlapping runs the longest is
+a character, whatever repeats in the text; of the document only stretches that share ``least`` characters with a chunk are ranked. Places where a match can't be extended to the left begin maximal runs. Of overlapping runs the longest is
 kept first, then the earliest; what that leaves of the others counts if it still has the least length.
 """
 
@@ -19,6 +19,8 @@ from ..functions import text as T
 
 #: Characters of a run at least; characters of chunks that are matched at once, if the document is not longer.
 LEAST, AT_ONCE = 16, 1_000_000
+#: Rows of runs that a task gives at once; characters of a text times those of a document up to which it is searched piece by piece.
+ROWS, SMALL = 10_000, 250_000
 
 
 def _codes(text: str) -> np.ndarray:
@@ -62,6 +64,41 @@ def matches(document: str, texts: list[str]) -> list[tuple[np.ndarray, np.ndarra
     return [(best[s : s + len(t)], where[s : s + len(t)]) for s, t in zip(starts, texts, strict=True)]
 
 
+def fresh_runs(document: str, text: str, least: int) -> list[tuple[int, int, int]]:
+    """(place in the text, place in the document, length) of maximal runs, for short texts: each search goes on from the length of the one before."""
+    found, n, end = [], 0, len(text)
+    for i in range(end):
+        before, n = n, max(n - 1, 0)
+        while i + n < end and text[i : i + n + 1] in document:
+            n += 1
+        if n >= least and (i == 0 or n != before - 1):
+            found.append((i, document.find(text[i : i + n]), n))
+    return found
+
+
+def shared(document: str, texts: list[str], least: int) -> str:
+    """The document without characters that no piece of ``least`` characters in common with a text covers; what is between two stretches becomes one separator.
+
+    Pieces are told by hashes of their first characters (a power of two of them), so what is kept may be more than needed and is never less.
+    """
+    span = 1 << (least.bit_length() - 1)
+
+    def hashes(text: str) -> np.ndarray:
+        h, step, factor = _codes(text).astype(np.uint64), 1, 0x9E3779B97F4A7C15
+        while step < span and len(h) > step:
+            h, step, factor = h[:-step] * np.uint64(factor) + h[step:], 2 * step, factor * factor & 0xFFFFFFFFFFFFFFFF | 1
+        return h if step == span else h[:0]
+
+    own, other = hashes(document), np.unique(np.concatenate([hashes(t) for t in texts]))
+    if not len(own) or not len(other):
+        return ""
+    at = np.flatnonzero(other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own)
+    if not len(at):
+        return ""
+    new = np.flatnonzero(np.diff(at) > span) + 1
+    return "\U0010ffff".join(document[a : b + span] for a, b in zip(at[np.r_[0, new]].tolist(), at[np.r_[new - 1, len(at) - 1]].tolist(), strict=True))
+
+
 def disjoint(found: list[tuple[int, int, int]], least: int = LEAST) -> list[tuple[int, int, int]]:
     """Of runs (place in the text, place in the document, length) those that share no place of the text, by place."""
     heap = [(-n, at, of) for at, of, n in found]
@@ -92,11 +129,19 @@ def runs(document: str, texts: list[str], least: int = LEAST) -> list[list[tuple
         out.append([(at, at + len(t))] if at >= 0 else [])
         if t and at < 0:
             rest.append(len(out) - 1)
-    if rest and document:
-        for k, (length, where) in zip(rest, matches(document, [texts[k] for k in rest]), strict=True):
-            fresh = np.ones(len(length), bool)
-            fresh[1:] = length[1:] != length[:-1] - 1
-            found = [(int(i), int(where[i]), int(length[i])) for i in np.flatnonzero(fresh & (length >= least))]
+    pieces = [texts[k] for k in rest]
+    # a character that may be in a text can't part stretches
+    held = document if any("\U0010ffff" in t for t in pieces) else shared(document, pieces, least) if rest else ""
+    if held:
+        small = len(held) * sum(map(len, pieces)) <= SMALL
+        for k, ranked in zip(rest, pieces if small else matches(held, pieces), strict=True):
+            if small:
+                found = fresh_runs(held, texts[k], least)
+            else:
+                length, where = ranked
+                fresh = np.ones(len(length), bool)
+                fresh[1:] = length[1:] != length[:-1] - 1
+                found = [(int(i), int(where[i]), int(length[i])) for i in np.flatnonzero(fresh & (length >= least))]
             for i, _, n in disjoint(found, least):
                 of = document.find(texts[k][i : i + n])
                 out[k].append((of, of + n))
@@ -123,28 +168,36 @@ def chunk_runs(docs: DataFrame, chunks: DataFrame, normalise: bool | None = True
     ordered = body.withColumn("piece", F.lit(False)).unionByName(pieces.withColumn("piece", F.lit(True))).repartition("doc_id").sortWithinPartitions("doc_id", "piece")
 
     def run(batches):
-        owner, document, held, size = None, None, [], 0
+        owner, document, held, size, out = None, None, [], 0, []
 
         def flush():
             nonlocal held, size
-            found = runs(document, [t for _, t in held], least) if held else []
-            out = [(owner, c, s, e) for (c, _), of in zip(held, found, strict=True) for s, e in of]
+            found = runs(document, [t for _, t in held], least)
+            out.extend((owner, c, s, e) for (c, _), of in zip(held, found, strict=True) for s, e in of)
             held, size = [], 0
-            return pd.DataFrame(out, columns=["doc_id", "chunk_id", "start", "end"])
+
+        def given():
+            nonlocal out
+            frame, out = pd.DataFrame(out, columns=["doc_id", "chunk_id", "start", "end"]), []
+            return frame
 
         for batch in batches:
             for doc, chunk, text, piece in zip(batch.doc_id, batch.chunk_id, batch.text, batch.piece, strict=True):
                 if not piece:
                     if held:
-                        yield flush()
+                        flush()
                     owner, document = doc, text
                 elif document is not None and doc == owner:
                     held.append((chunk, text))
                     size += len(text)
                     if size > max(AT_ONCE, len(document)):
-                        yield flush()
+                        flush()
+                if len(out) >= ROWS:
+                    yield given()
         if held:
-            yield flush()
+            flush()
+        if out:
+            yield given()
 
     return ordered.mapInPandas(run, f"doc_id {kinds[0]}, chunk_id {kinds[1]}, start int, end int")
 

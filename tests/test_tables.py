@@ -199,3 +199,16 @@ def test_spans_of_blocks_and_visible_headings(spark):
     )
     got = {(r.chunk_id, r.block_id, r.start, r.end, r.length) for r in textruns.source_spans(docs, chunks, blocks, normalise=None).collect()}
     assert got == {("a", "head", 0, 18, 18), ("a", "first", 0, 38, 38), ("b", "first", 0, 26, 38)}
+
+
+def test_short_texts_and_ranks_give_the_same_runs_and_few_frames(spark, monkeypatch):
+    rng = random.Random(8)
+    cases = []
+    for _ in range(300):
+        document = "".join(rng.choice(rng.choice(["ab", "abcdefgh", "a\U0010ffff😀"])) for _ in range(rng.randint(0, 90)))
+        cut = lambda: document[(at := rng.randint(0, len(document))) : at + rng.randint(0, 40)]  # noqa: B023, E731
+        cases.append((document, [cut() + rng.choice("x\x01a") + cut() for _ in range(3)], rng.choice([1, 3, 8, 16, 17])))
+    short = [textruns.runs(*c) for c in cases]
+    monkeypatch.setattr(textruns, "SMALL", 0)
+    assert short == [textruns.runs(*c) for c in cases] == [[plain_runs(d, t, least) for t in texts] for d, texts, least in cases]
+    assert len(textruns.shared("x" * 50 + "abcdefghijklmnopqrst" + "y" * 5000, ["?abcdefghijklmnopqrs?"], 16)) < 40
