@@ -92,3 +92,22 @@ def test_chunks_of_documents(spark, offsets, library):
         assert r.token_count == len(library.encode_ordinary(r.text)) <= 2 * 64 + 8 + 16
     held = "".join(r.text for r in got if r.doc_id == 1)
     assert all(held.count(w) >= rows[0][1].count(w) for w in ("court", "fine", "pay", "法院", "😀"))
+
+
+def test_lines_encoded_apart_have_the_tokens_of_the_whole_text():
+    import random
+
+    import public_tokenizers
+
+    from corpusloom.functions import tokens
+
+    whole = tokens.SubwordOffsets(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rng = random.Random(2)
+    bits = ["\n", "\n\n", " ", "\t", "\r", "\x0b", "\x1c", "\x85", "　", "\xa0", "word", "'s", "12", "!?", "é", "😀", "漢", ". A"]
+    for _ in range(5000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert whole(text) == whole._encoded(text) and whole.count(text) == len(whole(text))
+    asked = []
+    whole.counts.clear()
+    made, whole._count = whole._count, lambda line: asked.append(line) or made(line)
+    assert whole.count("one line\nanother\n\nthird") == whole.count("third\nanother\n\none line") and len(asked) <= 5  # each line is encoded once
