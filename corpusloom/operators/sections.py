@@ -49,14 +49,16 @@ def clean(docs: DataFrame, body: str = "text", normalise: bool = True) -> DataFr
     """Adds ``cleaned``, ``sections_dropped`` and ``escapes_fixed``: boilerplate sections go, texts are unescaped and tidied."""
     tidy = lambda c: T.tidy(T.unescape(c))
     source = T.nfc(F.col(body)) if normalise else F.col(body)
+    # texts are tidied once, in an array that the next one is made from; columns that are used twice stand in a projection of their own
     cut = docs.withColumn("_s", flat_sections(source))
-    kept = F.filter("_s", lambda s: ~T.is_boilerplate(s["heading"]))
-    parts = F.flatten(F.transform(kept, lambda s: F.array(F.when(s["heading"].isNotNull(), F.concat(F.repeat(F.lit("#"), s["level"]), F.lit(" "), tidy(s["heading"]))), F.when(tidy(s["text"]) != "", tidy(s["text"])))))
-    joined = T.strip(F.array_join(F.array_compact(parts), "\n\n"))
+    cut = cut.withColumn("_k", F.filter("_s", lambda s: ~T.is_boilerplate(s["heading"])))
+    done = F.transform("_k", lambda s: F.struct(F.concat(F.repeat(F.lit("#"), s["level"]), F.lit(" "), tidy(s["heading"])).alias("heading"), tidy(s["text"]).alias("text")))
+    parts = F.flatten(F.transform(done, lambda d: F.array(d["heading"], F.when(d["text"] != "", d["text"]))))
+    cut = cut.withColumn("_j", T.strip(F.array_join(F.array_compact(parts), "\n\n")))
     return cut.select(
         *docs.columns,
-        F.when(joined != "", F.concat(joined, F.lit("\n"))).otherwise("").alias("cleaned"),
-        (F.size("_s") - F.size(kept)).cast("long").alias("sections_dropped"),
+        F.when(F.col("_j") != "", F.concat("_j", F.lit("\n"))).otherwise("").alias("cleaned"),
+        (F.size("_s") - F.size("_k")).cast("long").alias("sections_dropped"),
         T.escape_count(F.col(body)).alias("escapes_fixed"),
     )
 
