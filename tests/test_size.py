@@ -22,3 +22,12 @@ def test_blocks_are_found_in_slices_of_documents(spark, monkeypatch):
     texts = [(r.doc_id, r.text) for r in docs.where(F.col("text").isNotNull()).collect()]
     want = [(d, b, t.index(x), t.index(x) + len(x), len(t), "en") for d, t in texts for b, x in [(1, "ab"), (2, " ab"), (3, "ab")] if x in t]
     assert got == sorted(want)
+
+
+def test_blocks_are_located_in_one_pass_without_gathering(spark):
+    docs = spark.createDataFrame([(1, "Ab cd. Ab ef. Gh"), (2, None), (4, "ｆｕｌｌ")], "doc_id long, text string")
+    rows = [(1, 0, "Ab"), (1, 1, "ef."), (1, 2, "Ab"), (1, 3, "none"), (1, 4, ""), (1, 5, None), (1, 6, "Gh"), (2, 0, "x"), (3, 0, "y"), (4, 0, "full")]
+    found = evidence.locate_blocks(docs, spark.createDataFrame([(d, i, i, t) for d, i, t in rows], "doc_id long, block_ix int, block_id int, text string"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {(1, "0", 0, 2, 2), (1, "1", 7, 10, 3), (1, "2", 0, 2, 2), (1, "3", None, None, 4), (1, "4", None, None, 0), (1, "5", None, None, None), (1, "6", 10, 12, 2), (2, "0", None, None, 1), (4, "0", 0, 4, 4)}
+    assert set(map(tuple, found.collect())) == want
