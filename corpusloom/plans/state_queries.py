@@ -13,7 +13,7 @@ from ..sources.tables import shared_folder
 from ..streaming import feed, state, tasks
 from . import evaluation_queries
 
-#: Files that a table is dealt into as a stream, and by how many files a row may be out of order.
+#: Parts that a table is dealt into as a stream, and by how many parts a row may be out of order.
 FILES, OUT_OF_ORDER = 4, 1
 #: When conversations begin whose turns have no time. A watermark begins at 1970, so what is not after that is late.
 BEGUN = 1_700_000_000
@@ -24,13 +24,14 @@ def read(spark, sf_dir, name) -> DataFrame:
 
 
 def streamed(spark, df: DataFrame, key) -> tuple[DataFrame, str]:
-    """``df`` as a stream of several files, rows of which are out of order by up to a file, and the delay that covers it."""
+    """``df`` as a stream of several parts, rows of which are out of order by up to a part, and the delay that covers it."""
     lo, hi = df.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))), F.max(F.unix_seconds(F.col("ts").cast("timestamp")))).first()
     width = max(1, ((hi or 0) - (lo or 0)) // FILES + 1)
     bucket = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(lo or 0)) / width).cast("int")
-    parts = feed.by_time(df, bucket, F.pmod(F.xxhash64(key, F.col("ts").cast("string")), F.lit(OUT_OF_ORDER + 1)).cast("int"), FILES)
-    at = feed.deal(spark, parts, "ts", shared_folder(spark, "feed"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    parts = feed.by_time(df, bucket, F.pmod(F.xxhash64(key, F.col("ts")), F.lit(OUT_OF_ORDER + 1)).cast("int"), FILES)
+    files = df.rdd.getNumPartitions() or 1  # a part is written, and read as a batch, by as many tasks as the table
+    at = feed.deal(spark, parts, "ts", shared_folder(spark, "feed"), files=files)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(at)
     return stream, f"{(OUT_OF_ORDER + 1) * width} seconds"
 
 

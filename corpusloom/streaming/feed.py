@@ -11,20 +11,20 @@ from pyspark.sql import functions as F
 FAR = 3650
 
 
-def deal(spark: SparkSession, parts: list[DataFrame], ts: str, folder: str, first: int = 0, heartbeat: bool = True) -> str:
-    """Write each part as one file below ``folder``, in order, and last a heartbeat: a row with a time long after all others, and nulls. Returns a pattern of the files.
+def deal(spark: SparkSession, parts: list[DataFrame], ts: str, folder: str, first: int = 0, heartbeat: bool = True, files: int = 1) -> str:
+    """Write each part as ``files`` files below ``folder``, in order, and last a heartbeat: a row with a time long after all others, and nulls. Returns a pattern of the files.
 
-    A file source takes files by the time of their last change, so a part is written only after the one before is there.
+    A file source takes files by the time of their last change, so a part is written only after the one before is there. The files of one part are written at once, by a task each, and have no order.
     """
+    names = [f"{folder}/part-{k:05d}" for k in range(first, first + len(parts) + heartbeat)]
+    for part, name in zip(parts, names):
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.parquet(name)
+        time.sleep(0.02)  # changed later than the one before
     if heartbeat:
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
+        fields = parts[0].schema.fields
+        whole = spark.read.schema(parts[0].schema).parquet(*names[:-1])
         last = whole.agg((F.max(ts) + F.expr(f"INTERVAL {FAR} DAYS")).cast(whole.schema[ts].dataType).alias(ts))
-        parts = [*parts, last.select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in whole.schema.fields])]
-    for k, part in enumerate(parts, first):
-        part.coalesce(1).write.parquet(f"{folder}/part-{k:05d}")
-        time.sleep(0.02)  # changed later than the one before
+        last.select(*[F.col(ts) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in fields]).coalesce(1).write.parquet(names[-1])
     return f"{folder}/part-*"
 
 

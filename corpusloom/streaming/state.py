@@ -2,7 +2,7 @@
 
 Operators that depend on order (sessions, budgets) hold a row until the watermark has passed it and then take rows in the order of their time, so
 the result is the same however the rows are dealt into files and batches, as long as none comes later than ``delay``. Rows that do
-come later are returned as such and change nothing; so are times up to 1970, where a watermark begins. What is held for a key: its pending rows, and what the operator needs of those before.
+come later are returned as such and change nothing; so are times up to 1970, where a watermark begins. What is held for a key: its pending rows, and what the operator needs of those before; keys are dealt into SHARDS states.
 
 A source that has ended advances the watermark by a heartbeat: a row whose key is null, with a later time. It goes no further.
 """
@@ -20,66 +20,77 @@ from ..functions import text as T
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups of keys that share a state. A call to Python for each key and batch takes milliseconds, whatever its rows are.
+SHARDS = 512
+
+
 class InOrder(StatefulProcessor):
-    """Rows of a key in the order of their time, once the watermark has passed them; ``step`` and ``late`` say what they become.
+    """Rows of each ``key`` of a shard in the order of their time, once the watermark has passed them; ``step`` and ``late`` say what they become.
 
     ``columns`` of a row are kept while it waits; the first is its time in microseconds, and rows of one time are taken in the order of the
-    other columns. The state of the key is one tuple of ``memory``, ``start`` at first; if ``idle`` is not None, a key whose last row is longer ago is forgotten.
+    other columns. The state of a shard is one value: its timer, and pickled the tuple of each key (``start`` at first) with the time of its last row, and the waiting rows, each with its
+    key at the end. If ``idle`` is not None, a key whose last row is longer ago is forgotten.
     """
 
-    def __init__(self, columns: dict[str, str], memory: dict[str, str], start: tuple, out: list[str], step, late, idle: int | None = None):
-        kind = lambda of: StructType.fromDDL(", ".join(f"{n} {k}" for n, k in of.items()))
-        self.columns, self.row, self.memory = list(columns), kind(columns), kind({**memory, "last_us": "long"})
-        self.start, self.out, self.step, self.late, self.idle = start, out, step, late, idle
+    def __init__(self, key: str, columns: dict[str, str], start: tuple, out: list[str], step, late, idle: int | None = None):
+        self.key, self.columns, self.start, self.out, self.step, self.late, self.idle = key, columns, start, out, step, late, idle
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.row)
-        self.kept = handle.getValueState("kept", self.memory)
+        self.kept = handle.getValueState("kept", StructType().add("timer_ms", "long").add("held", "binary"))
 
     def handleInputRows(self, key, rows, timerValues):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         fresh, late = [], []
         for batch in rows:
-            for r in batch[self.columns].itertuples(index=False, name=None):
-                (late if r[0] <= passed else fresh).append(tuple(None if v != v else v for v in r))
+            for r in zip(*[_values(batch[c], kind) for c, kind in self.columns.items()], batch[self.key].tolist()):
+                (late if r[0] <= passed else fresh).append(r)
         if fresh:
-            self.waiting.appendList(fresh)
-            self._wake(min(r[0] for r in fresh))
+            timer, memory, waiting = self._held()
+            self._hold(timer, memory, waiting + fresh, min(r[0] for r in fresh))
         if late:
-            yield self._frame([self.late(key, r) for r in sorted(late, key=_order)])
+            yield self._frame([self.late((r[-1],), r[:-1]) for r in _in_turn(late)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self.waiting.get(), key=_order)
-        due = [r for r in waiting if r[0] <= passed]
-        kept = tuple(self.kept.get()) if self.kept.exists() else None
-        memory, last = (kept[:-1], kept[-1]) if kept else (self.start, None)
-        out = []
-        for r in due:
+        timer, memory, waiting = self._held()
+        out, rest = [], [r for r in waiting if r[0] > passed]
+        for r in _in_turn([r for r in waiting if r[0] <= passed]):
+            kept, last = memory.get(r[-1], (self.start, None))
             if self.idle is not None and last is not None and r[0] - last > self.idle:
-                memory = self.start
-            memory, row = self.step(key, memory, tuple(r))
-            last = r[0]
+                kept = self.start
+            kept, row = self.step((r[-1],), kept, r[:-1])
+            memory[r[-1]] = kept, r[0]
             if row is not None:
                 out.append(row)
-        rest = waiting[len(due) :]
-        if due:
-            self.waiting.put([tuple(r) for r in rest]) if rest else self.waiting.clear()
-            self.kept.update((*memory, last))
-        if rest:
-            self._wake(rest[0][0])
-        elif self.idle is not None and last is not None:
-            if last + self.idle < passed:
-                self.kept.clear()
-            else:
-                self._wake(last + self.idle + 1)
+        ends = []
+        if self.idle is not None:
+            memory = {k: m for k, m in memory.items() if m[1] + self.idle >= passed}
+            ends = [last + self.idle + 1 for _, last in memory.values()]
+        if timer is not None and timer * 1000 <= passed:
+            timer = None  # it is this one, or came before
+        if rest or memory:
+            self._hold(timer, memory, rest, min([r[0] for r in rest] + ends, default=None))
+        else:
+            self.kept.clear()
         if out:
             yield self._frame(out)
 
-    def _wake(self, at_us: int) -> None:
-        """Once the watermark, in whole milliseconds, has passed the time."""
-        self.handle.registerTimer(-(-at_us // 1000))
+    def _held(self) -> tuple:
+        import pickle
+
+        kept = self.kept.get()
+        return (kept[0], *pickle.loads(kept[1])) if kept else (None, {}, [])
+
+    def _hold(self, timer: int | None, memory: dict, waiting: list, next_us: int | None) -> None:
+        """With a timer for when the watermark, in whole milliseconds, has passed ``next_us``, if none comes before."""
+        import pickle
+
+        at = None if next_us is None else -(-next_us // 1000)
+        if at is not None and (timer is None or at < timer):
+            self.handle.registerTimer(at)
+            timer = at
+        self.kept.update((timer, pickle.dumps((memory, waiting), 5)))
 
     def _frame(self, rows):
         import pandas as pd
@@ -90,22 +101,33 @@ class InOrder(StatefulProcessor):
         pass
 
 
+def _values(column, kind: str) -> list:
+    """Of a column of a frame, with None for what is null; whole numbers among nulls, which come as fractions, are whole again."""
+    if column.dtype.kind in "iub":
+        return column.tolist()
+    whole = int if kind == "long" else (lambda v: v)
+    return [None if v is None or v != v else whole(v) for v in column.tolist()]
+
+
+def _in_turn(rows: list[tuple]) -> list[tuple]:
+    try:
+        return sorted(rows)
+    except TypeError:  # nulls come first
+        return sorted(rows, key=lambda row: tuple((v is not None, v) for v in row))
+
+
 def _real(row: Column) -> Column:
     """Rows that are no heartbeat. The condition reads the time, so it is not moved to before the watermark, which heartbeats must reach."""
     return F.when(F.col("ts").isNull(), F.lit(False)).otherwise(row)
 
 
-def _order(row) -> tuple:
-    return tuple((v is not None, v) for v in row)
-
-
-def _in_order(stream: DataFrame, key: str, delay: str, processor: InOrder, out: str) -> DataFrame:
-    spark = stream.sparkSession
+def _in_order(stream: DataFrame, delay: str, processor: InOrder, out: str) -> DataFrame:
+    spark, key = stream.sparkSession, processor.key
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     held = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).where(_real(F.col(key).isNotNull()))
     # the time as a number, so that late rows come to the operator instead of being dropped before it
-    timed = held.withColumn("at_us", F.unix_micros("ts")).select(key, *processor.columns)
-    return timed.groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime")
+    timed = held.withColumn("at_us", F.unix_micros("ts")).select(F.pmod(F.xxhash64(key), F.lit(SHARDS)).alias("shard"), key, *processor.columns)
+    return timed.groupBy("shard").transformWithStateInPandas(processor, out, "Append", "EventTime")
 
 
 def session_turns(turns: DataFrame, delay: str = "0 seconds", idle_seconds: int | None = None) -> DataFrame:
@@ -130,9 +152,9 @@ def session_turns(turns: DataFrame, delay: str = "0 seconds", idle_seconds: int
 
     columns = {"at_us": "long", "question": "string", "answer": "string", "ok": "boolean", "reset": "boolean"}
     names = ["session_id", "turn_id", "history", "question", "ok", "late"]
-    run = InOrder(columns, {"number": "int", "history": "string"}, (0, ""), names, step, late, None if idle_seconds is None else idle_seconds * 1_000_000)
+    run = InOrder("session_id", columns, (0, ""), names, step, late, None if idle_seconds is None else idle_seconds * 1_000_000)
     kind = turns.schema["session_id"].dataType.simpleString()
-    return _in_order(turns, "session_id", delay, run, f"session_id {kind}, turn_id int, history string, question string, ok boolean, late boolean")
+    return _in_order(turns, delay, run, f"session_id {kind}, turn_id int, history string, question string, ok boolean, late boolean")
 
 
 def admitted_calls(calls: DataFrame, cap: float, tolerance: float = 1e-12, delay: str = "0 seconds") -> DataFrame:
@@ -152,9 +174,9 @@ def admitted_calls(calls: DataFrame, cap: float, tolerance: float = 1e-12, delay
     def late(key, row):
         return key[0], row[1], False, None, True
 
-    run = InOrder({"at_us": "long", "call_id": "long", "amount": "double"}, {"spent": "double"}, (0.0,), ["account", "call_id", "admitted", "spent", "late"], step, late)
+    run = InOrder("account", {"at_us": "long", "call_id": "long", "amount": "double"}, (0.0,), ["account", "call_id", "admitted", "spent", "late"], step, late)
     kind = calls.schema["account"].dataType.simpleString()
-    return _in_order(calls, "account", delay, run, f"account {kind}, call_id long, admitted boolean, spent double, late boolean")
+    return _in_order(calls, delay, run, f"account {kind}, call_id long, admitted boolean, spent double, late boolean")
 
 
 def settled_attempts(reserved: DataFrame, settled: DataFrame, open_for: str = "1 hour", delay: str = "1 hour") -> DataFrame:
