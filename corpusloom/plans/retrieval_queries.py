@@ -62,12 +62,12 @@ Q10 = f"""WITH {ranked_sql(5, False)}, g AS (SELECT qid, count(*) AS n, max(scor
 SELECT qid, n, top_score, CASE WHEN top_score < 0.55 THEN 'low_retrieval_confidence' ELSE 'answerable' END AS decision, CASE WHEN top_score < 0.55 THEN '' ELSE c END AS contexts FROM g"""
 
 
-def lexical(spark, sf_dir, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """BM25 ranking of documents for the benchmark's texts, with both sides' tokens."""
+def lexical(spark, sf_dir, k: int) -> tuple[DataFrame, DataFrame]:
+    """BM25 ranking of documents for the benchmark's texts, and the tokens of these."""
     tokens = T.words(F.lower(F.col("text")))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", tokens.alias("tokens"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lower("text").alias("text"))
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), tokens.alias("tokens"))
-    return retrieval.bm25_top_k(asked, docs, k), asked, docs
+    return retrieval.bm25_top_k(asked, docs, k), asked
 
 
 _BM25 = r"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS w FROM documents), n AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM t),
@@ -87,8 +87,12 @@ Q20 = f"WITH {_BM25.format(k=10)} SELECT qid, doc_id, score, rank FROM b"
 
 
 def reranked(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    top, asked, docs = lexical(spark, sf_dir, retrieval.POOL)
+    top, asked = lexical(spark, sf_dir, retrieval.POOL)
     top = written(top, "pool")
+    # only the pool's texts are split into words again
+    pool = top.select("doc_id").distinct()
+    pool = F.broadcast(pool) if top.count() <= retrieval.ASKED_ROWS else pool
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(pool, "doc_id", "left_semi").select("doc_id", T.words(F.lower(F.col("text"))).alias("tokens"))
     pairs = top.select("qid", "doc_id", "rank").join(asked.select("qid", F.col("tokens").alias("query")), "qid").join(docs, "doc_id").withColumnRenamed("doc_id", "id")
     return top, retrieval.window_rerank(pairs, 5)
 
