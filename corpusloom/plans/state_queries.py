@@ -35,15 +35,15 @@ def streamed(spark, df: DataFrame, key) -> tuple[DataFrame, str]:
     return stream, f"{(OUT_OF_ORDER + 1) * width} seconds"
 
 
-def ran(stream: DataFrame) -> DataFrame:
+def ran(stream: DataFrame, partitions: int | None = None) -> DataFrame:
     at = shared_folder(stream.sparkSession, "stream")
-    return state.run_available(stream, f"{at}/table", f"{at}/checkpoint")
+    return state.run_available(stream, f"{at}/table", f"{at}/checkpoint", partitions=partitions)
 
 
 def q43_stream_service_windows(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("ts", (F.col("event_id") % 9 != 0).alias("ok"), (F.col("value") * 100).alias("ms"))
     stream, delay = streamed(spark, e, F.col("ms"))
-    return ran(state.service_windows(stream, delay=delay)).select("day", "n", "within", "total_ms", F.round("p50_ms", 6).alias("p50_ms"), F.round("p90_ms", 6).alias("p90_ms"))
+    return ran(state.service_windows(stream, delay=delay), state.FEW).select("day", "n", "within", "total_ms", F.round("p50_ms", 6).alias("p50_ms"), F.round("p90_ms", 6).alias("p90_ms"))
 
 
 Q43 = """WITH e AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_id % 9 <> 0 AS ok, value * 100 AS ms, CAST(floor(value * 100 * 1000) AS BIGINT) AS us FROM events),

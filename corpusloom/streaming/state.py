@@ -9,7 +9,9 @@ A source that has ended advances the watermark by a heartbeat: a row whose key i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import contextlib
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -246,12 +248,34 @@ def redacted(events: DataFrame) -> DataFrame:
     return events.select(*[T.redact(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in events.schema.fields])
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what is there, into a table at ``path``, and read it. Other modes than append keep each batch's last whole result."""
+#: Partitions of a state that does not grow with the rows of its stream, as the counts of ``service_windows``. Each partition of a state writes files in every batch, with rows or without.
+FEW = 8
+
+
+@contextlib.contextmanager
+def _at_most(spark: SparkSession, partitions: int | None):
+    """Queries that start inside have so many partitions of a state at most. A query copies the session's settings when it starts, so the session has its own again when that is done."""
+    name = "spark.sql.shuffle.partitions"
+    own = spark.conf.get(name)
+    if partitions is not None and partitions < int(own):
+        spark.conf.set(name, partitions)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", partitions: int | None = None) -> DataFrame:
+    """Process what is there, into a table at ``path``, and read it. Other modes than append keep each batch's last whole result.
+
+    States have the session's shuffle partitions, or ``partitions`` if those are fewer; a query that goes on from its checkpoint keeps the number it began with.
+    """
     spark = stream.sparkSession
     if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+        writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
     else:
-        query = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+        writer = stream.writeStream.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True)
+    with _at_most(spark, partitions):
+        query = writer.start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)

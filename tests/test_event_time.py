@@ -1,12 +1,15 @@
 """Event-time streams: the same result for any dealing of rows into batches within the watermark."""
 
+import collections
 import datetime as dt
+import glob
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ledger
+from corpusloom.plans import state_queries
 from corpusloom.streaming import state
 from corpusloom.streaming.feed import deal
 
@@ -120,6 +123,21 @@ def test_percentiles_of_windows_are_within_their_bound(spark, tmp_path):
             assert abs(found - exact) <= exact / 128 + 0.001
 
 
+def test_counts_of_windows_have_few_states_whatever_the_shuffle_partitions(spark, tmp_path, monkeypatch):
+    rows = [(i, at(600 * i), float(i % 50)) for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(state_queries, "shared_folder", lambda _, name: str(tmp_path / name))
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 20)
+    try:
+        got = state_queries.q43_stream_service_windows(spark, str(tmp_path)).collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "20"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+    assert {r.day.date(): r.n for r in got} == collections.Counter(ts.date() for _, ts, _ in rows) and len(got) == 5
+    assert {len(glob.glob(f"{tmp_path}/stream/checkpoint/state/{k}/[0-9]*")) for k in (0, 1)} == {8}
+
+
 def test_latency_buckets(spark):
     values = [0.0, 0.001, 0.127, 0.128, 1.0, 12.345, 99999.9, -3.0]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "ms double").select(state.latency_bucket(F.col("ms"))).collect()]
