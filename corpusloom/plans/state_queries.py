@@ -55,7 +55,7 @@ SELECT day, n, within, total_ms, round(mids[CAST(ceil(len(mids) * 0.5::DOUBLE) A
 def q44_stream_admission(spark, sf_dir):
     c = read(spark, sf_dir, "events").select(F.col("user_id").alias("account"), "ts", F.col("event_id").alias("call_id"), F.col("value").alias("amount"))
     stream, delay = streamed(spark, c, F.col("call_id"))
-    return ran(state.admitted_calls(stream, 500.0, delay=delay)).select("account", "call_id", "admitted", F.round("spent", 6).alias("spent"))
+    return ran(state.admitted_calls(stream, 500.0, delay=delay), state.SHARD_PARTITIONS).select("account", "call_id", "admitted", F.round("spent", 6).alias("spent"))
 
 
 Q44 = evaluation_queries.Q27.replace("SELECT user_id, event_id AS ordinal, admitted", "SELECT user_id AS account, event_id AS call_id, admitted").replace("ORDER BY event_id) AS k", "ORDER BY ts, event_id) AS k")
@@ -65,7 +65,7 @@ def q45_stream_sessions(spark, sf_dir):
     t = read(spark, sf_dir, "conversations").where("role = 'user'")
     s = t.select(F.col("conv_id").alias("session_id"), F.timestamp_seconds(F.lit(BEGUN) + F.col("turn") * 60).alias("ts"), F.col("text").alias("question"), F.lit("ok").alias("answer"), (F.col("turn") % 3 != 2).alias("ok"), F.lit(False).alias("reset"))
     stream, delay = streamed(spark, s, F.col("session_id"))
-    return ran(state.session_turns(stream, delay)).select("session_id", "turn_id", "ok", F.sha2(F.col("history").cast("binary"), 256).alias("history_sha256"))
+    return ran(state.session_turns(stream, delay), state.SHARD_PARTITIONS).select("session_id", "turn_id", "ok", F.sha2(F.col("history").cast("binary"), 256).alias("history_sha256"))
 
 
 Q45 = """WITH t AS (SELECT conv_id, turn, text, turn % 3 <> 2 AS ok FROM conversations WHERE role = 'user'),

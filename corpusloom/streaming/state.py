@@ -24,6 +24,8 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 #: Groups of keys that share a state. A call to Python for each key and batch takes milliseconds, whatever its rows are.
 SHARDS = 512
+#: Partitions for these: 8 groups each, as every partition opens a store in every batch.
+SHARD_PARTITIONS = SHARDS // 8
 
 
 class InOrder(StatefulProcessor):

@@ -138,6 +138,21 @@ def test_counts_of_windows_have_few_states_whatever_the_shuffle_partitions(spark
     assert {len(glob.glob(f"{tmp_path}/stream/checkpoint/state/{k}/[0-9]*")) for k in (0, 1)} == {8}
 
 
+def test_shards_have_a_bounded_number_of_partitions(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 13, at(60 * i), float(i % 50)) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(state_queries, "shared_folder", lambda _, name: str(tmp_path / name))
+    monkeypatch.setattr(state, "SHARD_PARTITIONS", 3)  # the session has 4
+    got = state_queries.q44_stream_admission(spark, str(tmp_path)).collect()
+    spent, want = {}, set()
+    for i, user, _, value in rows:
+        fits = spent.get(user, 0.0) + value <= 500 + 1e-12
+        spent[user] = spent.get(user, 0.0) + (value if fits else 0.0)
+        want.add((user, i, fits, spent[user]))
+    assert set(map(tuple, got)) == want and len(got) == 400
+    assert len(glob.glob(f"{tmp_path}/stream/checkpoint/state/0/[0-9]*")) == 3
+
+
 def test_latency_buckets(spark):
     values = [0.0, 0.001, 0.127, 0.128, 1.0, 12.345, 99999.9, -3.0]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "ms double").select(state.latency_bucket(F.col("ms"))).collect()]
